@@ -17,44 +17,33 @@ RENT_LABELS = [f"${low}–${low + 200}" for low in RENT_BREAKS[:-1]]
 
 
 def band_rank(
-    value: Column, breaks: Sequence[float], right: bool = False, tolerance: float = 0.0
+    value: str, breaks: Sequence[float], right: bool = False, tolerance: float = 0.0
 ) -> Column:
-    """1-based band number; NULL outside the breaks.
+    """1-based band number of column ``value``; NULL outside the breaks.
 
     Bands are closed on the left and the last one on both sides; with ``right``
     they are closed on the right and the first one on both sides. ``tolerance``
     widens the closed ends, as histograms do.
     """
     last = len(breaks) - 1
-    if right:
-        rank = F.when(value < F.lit(breaks[0] - tolerance), None)
-        for i in range(1, last + 1):
-            rank = rank.when(value <= F.lit(breaks[i] + tolerance), i)
-        return rank
-    rank = F.when(value < F.lit(breaks[0] - tolerance), None)
-    for i in range(1, last):
-        rank = rank.when(value < F.lit(breaks[i] - tolerance), i)
-    return rank.when(value <= F.lit(breaks[last] + tolerance), last)
+    inner = "<=" if right else "<"
+    shift = tolerance if right else -tolerance
+    cases = [f"WHEN {value} < {_literal(breaks[0] - tolerance)} THEN NULL"]
+    cases += [
+        f"WHEN {value} {inner} {_literal(breaks[i] + shift)} THEN {i}" for i in range(1, last)
+    ]
+    cases.append(f"WHEN {value} <= {_literal(breaks[last] + tolerance)} THEN {last}")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
-def band_label(rank: Column, labels: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(label) for label in labels]), rank - 1)
+def _literal(number: float) -> str:
+    return f"{number!r}D" if isinstance(number, float) else str(number)
 
 
-def burden_band_rank(burden: Column) -> Column:
-    return band_rank(burden, BURDEN_BREAKS)
-
-
-def burden_band(rank: Column) -> Column:
-    return band_label(rank, BURDEN_LABELS)
-
-
-def rent_band_rank(rent: Column) -> Column:
-    return band_rank(rent, RENT_BREAKS)
-
-
-def rent_band(rank: Column) -> Column:
-    return band_label(rank, RENT_LABELS)
+def band_label(rank: str, labels: Sequence[str]) -> Column:
+    """Label of the 1-based band number in column ``rank``."""
+    listed = ", ".join(f"'{label}'" for label in labels)
+    return F.expr(f"get(array({listed}), {rank} - 1)")
 
 
 def rent_per_family(rent: Column, nfams: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Row-wise recodes of census codes. Every function maps columns to a column."""
+"""Row-wise recodes of census codes."""
 
 from __future__ import annotations
 
@@ -10,81 +10,61 @@ from pyspark.sql import functions as F
 HOUSEHOLD_GQ = (0, 1, 2)
 FIRST_GROUP_QUARTERS_CODE = 3
 
-# Display names of race_bucket codes.
-RACE_NAMES = {
-    "black": "Black",
-    "aapi": "AAPI",
-    "aian": "AIAN",
-    "multi": "Multiracial",
-    "white": "White",
-    "other": "Other",
-}
-
-
-def family_count(nfams: Column) -> Column:
-    """Families in the household, five or more counted as five."""
-    return F.when(nfams.between(0, 4), nfams).when(nfams >= 5, F.lit(5)).cast("int")
-
-
-def is_multifamily(n_multifam: Column) -> Column:
-    """False for one family, true for more, NULL for none."""
-    return F.when(n_multifam == 1, False).when(n_multifam >= 2, True)
-
-
-def room_count(rooms: Column) -> Column:
-    """Rooms, top-coded at nine."""
-    return F.when(rooms < 9, rooms).when(rooms >= 9, F.lit(9)).cast("int")
-
-
-def bedroom_count(bedrooms: Column) -> Column:
-    """Bedrooms from the code: zero is unknown, a studio counts as one room."""
-    return (
-        F.when(bedrooms == 1, 1)
-        .when(bedrooms.between(2, 5), bedrooms - 1)
-        .when(bedrooms >= 6, 5)
-        .cast("int")
-    )
-
-
-def persons_per_bedroom(numprec: Column, bedroom: Column) -> Column:
-    return F.try_divide(numprec.cast("double"), bedroom.cast("double"))
-
-
-def age_bucket(age: Column) -> Column:
-    """Age group. The fourth label says 65 although the group ends at 64."""
-    return (
-        F.when(age < 18, "17 or younger")
-        .when(age < 30, "18-29")
-        .when(age < 50, "30-49")
-        .when(age < 65, "50-65")
-        .when(age >= 65, "65 and older")
-    )
-
-
-def is_hispanic(hispan: Column) -> Column:
-    return F.when(hispan == 0, False).when(hispan.between(1, 4), True)
-
-
-def race_bucket(race: Column) -> Column:
-    return (
-        F.when(race == 1, "white")
-        .when(race == 2, "black")
-        .when(race == 3, "aian")
-        .when(race.between(4, 6), "aapi")
-        .when(race == 7, "other")
-        .when(race.isin(8, 9), "multi")
-    )
-
-
-def race_ethnicity(hispanic: Column, bucket: Column) -> Column:
-    """Hispanic whatever the race, otherwise the race group's display name.
-
-    Unknown Hispanic origin falls through to race.
-    """
-    names = F.when(hispanic, "Hispanic")
-    for code, name in RACE_NAMES.items():
-        names = names.when(bucket == code, name)
-    return names
+# Derived column, the columns it needs, and its rule. A code no branch names is NULL.
+# - five or more families count as five; a studio (code 2) counts as one bedroom
+# - the fourth age label says 65 although the group ends at 64
+# - Hispanic wins over race; unknown Hispanic origin falls through to race
+PERSON_RECODES = (
+    (
+        "n_multifam",
+        ("NFAMS",),
+        "CASE WHEN NFAMS BETWEEN 0 AND 4 THEN NFAMS WHEN NFAMS >= 5 THEN 5 END",
+    ),
+    (
+        "is_multifam",
+        ("NFAMS",),
+        "CASE WHEN n_multifam = 1 THEN FALSE WHEN n_multifam >= 2 THEN TRUE END",
+    ),
+    ("room", ("ROOMS",), "CASE WHEN ROOMS < 9 THEN ROOMS WHEN ROOMS >= 9 THEN 9 END"),
+    (
+        "bedroom",
+        ("BEDROOMS",),
+        "CASE WHEN BEDROOMS = 1 THEN 1 WHEN BEDROOMS BETWEEN 2 AND 5 THEN BEDROOMS - 1 "
+        "WHEN BEDROOMS >= 6 THEN 5 END",
+    ),
+    (
+        "ppbr",
+        ("NUMPREC", "BEDROOMS"),
+        "try_divide(CAST(NUMPREC AS DOUBLE), CAST(bedroom AS DOUBLE))",
+    ),
+    (
+        "age_bucket",
+        ("AGE",),
+        "CASE WHEN AGE < 18 THEN '17 or younger' WHEN AGE < 30 THEN '18-29' "
+        "WHEN AGE < 50 THEN '30-49' WHEN AGE < 65 THEN '50-65' "
+        "WHEN AGE >= 65 THEN '65 and older' END",
+    ),
+    (
+        "is_hispan",
+        ("HISPAN",),
+        "CASE WHEN HISPAN = 0 THEN FALSE WHEN HISPAN BETWEEN 1 AND 4 THEN TRUE END",
+    ),
+    (
+        "race_bucket",
+        ("RACE",),
+        "CASE WHEN RACE = 1 THEN 'white' WHEN RACE = 2 THEN 'black' WHEN RACE = 3 THEN 'aian' "
+        "WHEN RACE BETWEEN 4 AND 6 THEN 'aapi' WHEN RACE = 7 THEN 'other' "
+        "WHEN RACE IN (8, 9) THEN 'multi' END",
+    ),
+    (
+        "race_eth",
+        ("HISPAN", "RACE"),
+        "CASE WHEN is_hispan THEN 'Hispanic' WHEN race_bucket = 'black' THEN 'Black' "
+        "WHEN race_bucket = 'aapi' THEN 'AAPI' WHEN race_bucket = 'aian' THEN 'AIAN' "
+        "WHEN race_bucket = 'multi' THEN 'Multiracial' WHEN race_bucket = 'white' THEN 'White' "
+        "WHEN race_bucket = 'other' THEN 'Other' END",
+    ),
+)
 
 
 def in_group_quarters(gq: Column) -> Column:
@@ -100,23 +80,16 @@ def household_population(df: DataFrame) -> DataFrame:
     return df.where(F.col("GQ").isin(*HOUSEHOLD_GQ))
 
 
-# Derived column, its inputs, and its recode; later ones may use earlier ones.
-PERSON_RECODES = (
-    ("n_multifam", ("NFAMS",), family_count),
-    ("is_multifam", ("n_multifam",), is_multifamily),
-    ("room", ("ROOMS",), room_count),
-    ("bedroom", ("BEDROOMS",), bedroom_count),
-    ("ppbr", ("NUMPREC", "bedroom"), persons_per_bedroom),
-    ("age_bucket", ("AGE",), age_bucket),
-    ("is_hispan", ("HISPAN",), is_hispanic),
-    ("race_bucket", ("RACE",), race_bucket),
-    ("race_eth", ("is_hispan", "race_bucket"), race_ethnicity),
-)
-
-
 def recode_person(df: DataFrame) -> DataFrame:
-    """Add every derived person column, except income, whose inputs are present."""
-    for name, inputs, recode in PERSON_RECODES:
-        if set(inputs) <= set(df.columns):
-            df = df.withColumn(name, recode(*[F.col(column) for column in inputs]))
-    return df
+    """Add the derived person columns, except income, that are not there yet.
+
+    Columns whose inputs the extract lacks are left out. A rule may use columns
+    derived before it.
+    """
+    present = set(df.columns)
+    added = [
+        f"{rule} AS {name}"
+        for name, inputs, rule in PERSON_RECODES
+        if name not in present and set(inputs) <= present
+    ]
+    return df.selectExpr("*", *added)

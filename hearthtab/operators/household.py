@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthtab.operators.skew import HeavyKeys, find_heavy, salted_join
 
@@ -26,26 +27,26 @@ RELATIONSHIP_CODES = {
 HOUSEHOLD_CONSTANTS = ("NUMPREC", "room", "bedroom", "GQ", "HHWT")
 
 
-def _count_where(condition: Column) -> Column:
-    """Rows meeting the condition; NULL if it is unknown for every row."""
-    return F.sum(condition.cast("int"))
+# Counts stay NULL where the code is unknown for every person of the household.
+HOUSEHOLD_COLUMNS = {
+    "hh_size": "count(*)",
+    **{name: f"min_by({name}, PERNUM)" for name in HOUSEHOLD_CONSTANTS},
+    "n_multifam": "max(n_multifam)",
+    "is_multifam": "max(is_multifam)",
+    "hhinc_harmonized": "CAST(sum(inctot_harmonized) AS DOUBLE)",
+    "n_adults": f"sum(CAST(AGE >= {ADULT_AGE} AS INT))",
+    "n_children": f"sum(CAST(AGE < {ADULT_AGE} AS INT))",
+    **{
+        name: f"sum(CAST(RELATE IN ({', '.join(map(str, codes))}) AS INT))"
+        for name, codes in RELATIONSHIP_CODES.items()
+    },
+}
 
 
-def _household_columns() -> list[Column]:
-    constants = [F.min_by(name, "PERNUM").alias(name) for name in HOUSEHOLD_CONSTANTS]
-    relations = [
-        _count_where(F.col("RELATE").isin(*codes)).alias(name)
-        for name, codes in RELATIONSHIP_CODES.items()
-    ]
+def _household_columns(suffix: dict[str, str] | None = None) -> list[Column]:
+    names = suffix or {}
     return [
-        F.count("*").alias("hh_size"),
-        *constants,
-        F.max("n_multifam").alias("n_multifam"),
-        F.max("is_multifam").alias("is_multifam"),
-        F.sum("inctot_harmonized").cast("double").alias("hhinc_harmonized"),
-        _count_where(F.col("AGE") >= ADULT_AGE).alias("n_adults"),
-        _count_where(F.col("AGE") < ADULT_AGE).alias("n_children"),
-        *relations,
+        F.expr(f"{text} AS {names.get(name, name)}") for name, text in HOUSEHOLD_COLUMNS.items()
     ]
 
 
@@ -76,17 +77,11 @@ def reference_persons(person: DataFrame) -> DataFrame:
     are numbers, which keeps the aggregation hash-based. Recode the result with
     ``recode_person``.
     """
-    own = [
-        name
-        for name in person.columns
-        if name not in HOUSEHOLD_KEY and person.schema[name].dataType.typeName() != "string"
+    text = {f.name for f in person.schema.fields if isinstance(f.dataType, T.StringType)}
+    own = [name for name in person.columns if name not in HOUSEHOLD_KEY and name not in text]
+    first = [
+        F.expr(f"max(CASE WHEN PERNUM = 1 THEN {name} END) AS {name}") for name in own
     ]
-    is_first = F.col("PERNUM") == 1
-    first = [F.max(F.when(is_first, F.col(name))).alias(f"first_{name}") for name in own]
-    rolled = person.groupBy(*HOUSEHOLD_KEY).agg(*_household_columns(), *first)
-    household = [c for c in rolled.columns if c not in HOUSEHOLD_KEY and not c.startswith("first_")]
-    return rolled.where("first_PERNUM = 1").select(
-        *HOUSEHOLD_KEY,
-        *[F.col(f"first_{name}").alias(name) for name in own],
-        *[F.col(name).alias(f"{name}_hh" if name in own else name) for name in household],
-    )
+    shared = {name: f"{name}_hh" for name in HOUSEHOLD_COLUMNS if name in own}
+    rolled = person.groupBy(*HOUSEHOLD_KEY).agg(*first, *_household_columns(shared))
+    return rolled.where("PERNUM = 1")

@@ -46,16 +46,19 @@ def burden_between(data: DataFrame, low: float, high: float) -> DataFrame:
     return data.where((F.col("rent_burden") > low) & (F.col("rent_burden") < high))
 
 
+def _with_band(
+    data: DataFrame, value: str, breaks: Sequence[float], labels: Sequence[str]
+) -> DataFrame:
+    ranked = data.withColumn("band_rank", bands.band_rank(value, breaks))
+    return ranked.withColumn("band", bands.band_label("band_rank", labels))
+
+
 def with_burden_band(data: DataFrame) -> DataFrame:
-    return data.withColumn("band_rank", bands.burden_band_rank(F.col("rent_burden"))).withColumn(
-        "band", bands.burden_band(F.col("band_rank"))
-    )
+    return _with_band(data, "rent_burden", bands.BURDEN_BREAKS, bands.BURDEN_LABELS)
 
 
 def with_rent_band(data: DataFrame, value: str = "RENT") -> DataFrame:
-    return data.withColumn("band_rank", bands.rent_band_rank(F.col(value))).withColumn(
-        "band", bands.rent_band(F.col("band_rank"))
-    )
+    return _with_band(data, value, bands.RENT_BREAKS, bands.RENT_LABELS)
 
 
 def _in_years(data: DataFrame, years: Sequence[int] | None) -> DataFrame:
@@ -102,7 +105,7 @@ def rent_burden_histogram(data: DataFrame, months: int = 13) -> DataFrame:
     """
     burden = burden_between(with_rent_burden(renters(data), months), 0, 2)
     rank = bands.band_rank(
-        F.col("rent_burden"), bands.BURDEN_BREAKS, right=True, tolerance=HISTOGRAM_TOLERANCE
+        "rent_burden", bands.BURDEN_BREAKS, right=True, tolerance=HISTOGRAM_TOLERANCE
     )
     return (
         burden.withColumn("band_rank", rank)

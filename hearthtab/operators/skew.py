@@ -84,7 +84,7 @@ def salted_join(
 
 
 def _split_points(
-    heavy_rows: DataFrame, key: str, position: Column, row_id: Sequence[str], share: int
+    heavy_rows: DataFrame, keys: list[str], position: Column, row_id: Sequence[str], share: int
 ) -> DataFrame:
     """Split points of every heavy key, as sorted blocks.
 
@@ -100,9 +100,9 @@ def _split_points(
     )
     return (
         heavy_rows.where(F.pmod(F.xxhash64(*row_id), F.lit(rate)) == 0)
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(position)).alias("points"))
-        .select(key, blocks.alias("blocks"), (F.size("points") + 1).alias("leaves"))
+        .select(*keys, blocks.alias("blocks"), (F.size("points") + 1).alias("leaves"))
         .withColumn("heads", F.transform("blocks", lambda block: F.get(block, F.lit(0))))
     )
 
@@ -120,7 +120,7 @@ def _leaf(position: Column) -> Column:
 
 @dataclass(frozen=True)
 class NumberedRows:
-    """Rows with their numbers, the keys they are laid out by, and the leaves."""
+    """Rows with their numbers, the columns they are laid out by, and the leaves."""
 
     rows: DataFrame
     layout: list[str]
@@ -129,7 +129,7 @@ class NumberedRows:
 
 def number_rows(
     rows: DataFrame,
-    key: str,
+    keys: Sequence[str],
     order: Sequence[str],
     row_id: Sequence[str],
     number_col: str,
@@ -143,47 +143,45 @@ def number_rows(
     plus the rows of all earlier leaves. ``row_id`` makes positions unique, so even
     copies of one row are cut apart. Rows of all other keys are leaf 0.
     """
+    keys = list(keys)
+    of_key = Window.partitionBy(*keys)
     if not heavy.keys:
-        whole = Window.partitionBy(key)
         plain = rows.drop(*row_id).withColumns(
             {
-                number_col: F.row_number().over(whole.orderBy(*order)),
-                size_col: F.count("*").over(whole),
+                number_col: F.row_number().over(of_key.orderBy(*order)),
+                size_col: F.count("*").over(of_key),
             }
         )
-        return NumberedRows(plain, [key])
+        return NumberedRows(plain, keys)
 
+    layout = [*keys, "leaf"]
+    columns = [c for c in rows.columns if c not in row_id]
     position = F.struct(*order, *row_id)
-    heavy_rows = rows.where(F.col(key).isin([row[key] for row in heavy.keys]))
-    splits = F.broadcast(_split_points(heavy_rows, key, position, row_id, heavy.share))
-    leaf_columns = [*rows.columns, "leaf"]
-    with_leaf = rows.join(splits, key, "left").withColumn("leaf", _leaf(position))
+    heavy_rows = rows.join(F.broadcast(_key_table(rows, keys, heavy)), keys, "left_semi")
+    splits = F.broadcast(_split_points(heavy_rows, keys, position, row_id, heavy.share))
+    with_leaf = rows.join(splits, keys, "left").select(*columns, _leaf(position).alias("leaf"))
     # One row per leaf of a heavy key: bounded like the split points.
-    of_key = Window.partitionBy(key)
     earlier = of_key.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     leaf_sizes = (
-        heavy_rows.join(splits, key)
-        .withColumn("leaf", _leaf(position))
-        .groupBy(key, "leaf")
+        heavy_rows.join(splits, keys)
+        .select(*keys, _leaf(position).alias("leaf"))
+        .groupBy(*layout)
         .agg(F.count("*").alias("rows_in_leaf"))
         .select(
-            key,
-            "leaf",
+            *layout,
             F.coalesce(F.sum("rows_in_leaf").over(earlier), F.lit(0)).alias("earlier_rows"),
             F.sum("rows_in_leaf").over(of_key).alias("all_rows"),
         )
     )
-    in_leaf = Window.partitionBy(key, "leaf")
+    in_leaf = Window.partitionBy(*layout)
     numbered = (
-        with_leaf.select(*leaf_columns)
-        .drop(*row_id)
-        .withColumns(
+        with_leaf.withColumns(
             {
                 "row_in_leaf": F.row_number().over(in_leaf.orderBy(*order)),
                 "rows_in_leaf": F.count("*").over(in_leaf),
             }
         )
-        .join(F.broadcast(leaf_sizes), [key, "leaf"], "left")
+        .join(F.broadcast(leaf_sizes), layout, "left")
         .withColumns(
             {
                 number_col: F.col("row_in_leaf") + F.coalesce("earlier_rows", F.lit(0)),
@@ -192,20 +190,21 @@ def number_rows(
         )
         .drop("row_in_leaf", "rows_in_leaf", "earlier_rows", "all_rows")
     )
-    return NumberedRows(numbered, [key, "leaf"], splits.select(key, "leaves"))
+    return NumberedRows(numbered, layout, splits.select(*keys, "leaves"))
 
 
-def join_per_leaf(numbered: NumberedRows, attributes: DataFrame, key: str) -> DataFrame:
+def join_per_leaf(numbered: NumberedRows, attributes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of numbered rows to one ``attributes`` row per key.
 
     The attribute row of a heavy key is repeated for each of its leaves, so the join
     keeps the layout of the numbering and needs no second shuffle of the rows.
     """
+    keys = list(keys)
     if numbered.leaves is None:
-        return numbered.rows.join(attributes, key)
+        return numbered.rows.join(attributes, keys)
     last = F.coalesce("leaves", F.lit(1)) - 1
     repeated = (
-        attributes.join(F.broadcast(numbered.leaves), key, "left")
+        attributes.join(F.broadcast(numbered.leaves), keys, "left")
         .withColumn("leaf", F.explode(F.sequence(F.lit(0), last)))
         .drop("leaves")
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from hearthtab.operators.household import HOUSEHOLD_KEY
 from hearthtab.operators.skew import (
     DEFAULT_LIMITS,
     HeavyKeys,
@@ -26,13 +26,14 @@ _LINE_ORDER = (
     "l_shipdate",
 )
 
+# The year follows from the order number, so both tables can be laid out by household.
+_YEAR = (
+    "CAST(CASE WHEN SERIAL % 28 < 4 THEN 1960 + 10 * (SERIAL % 28) ELSE 1996 + SERIAL % 28 END "
+    "AS INT) AS YEAR"
+)
+
 # Column, type, Spark SQL expression.
 _HOUSEHOLD_COLUMNS = (
-    (
-        "YEAR",
-        "int",
-        "CASE WHEN SERIAL % 28 < 4 THEN 1960 + 10 * (SERIAL % 28) ELSE 1996 + SERIAL % 28 END",
-    ),
     ("HHWT", "double", "1 + o_custkey % 100"),
     (
         "GQ",
@@ -101,26 +102,34 @@ RECORD_LAYOUT = (
     Field("INCTOT", 82, 7),
 )
 
-_COLUMNS = (("PERNUM", "int", "PERNUM"), ("NUMPREC", "int", "NUMPREC"), *_HOUSEHOLD_COLUMNS,
-            *_PERSON_COLUMNS)
+_COLUMNS = {
+    name: f"CAST({text} AS {kind}) AS {name}"
+    for name, kind, text in (
+        ("YEAR", "int", "YEAR"),
+        ("SERIAL", "bigint", "SERIAL"),
+        ("PERNUM", "int", "PERNUM"),
+        ("NUMPREC", "int", "NUMPREC"),
+        *_HOUSEHOLD_COLUMNS,
+        *_PERSON_COLUMNS,
+    )
+}
 
 
-def _typed(columns):
-    return [F.expr(text).cast(kind).alias(name) for name, kind, text in columns]
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.withColumnRenamed("l_orderkey", "SERIAL")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed(
-        "l_orderkey", "SERIAL"
-    )
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.selectExpr("o_orderkey AS SERIAL", "o_custkey")
 
 
 def heavy_households(
     spark: SparkSession, sf_dir: str, limits: SkewLimits = DEFAULT_LIMITS
 ) -> HeavyKeys:
-    """Households too large for one task, with both key columns."""
-    keys = _lines(spark, sf_dir).select(*_typed(_HOUSEHOLD_COLUMNS[:1]), "SERIAL")
-    return find_heavy(keys, ["YEAR", "SERIAL"], limits)
+    """Households too large for one task."""
+    return find_heavy(_lines(spark, sf_dir).selectExpr(_YEAR, "SERIAL"), HOUSEHOLD_KEY, limits)
 
 
 def person(
@@ -134,35 +143,27 @@ def person(
     Name the ``columns`` needed: without PERNUM, RELATE and NUMPREC, which depend
     on the whole household, it is one join of a few columns.
     """
-    lines = _lines(spark, sf_dir)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("SERIAL"), "o_custkey"
-    )
+    lines, orders = _lines(spark, sf_dir), _orders(spark, sf_dir)
     if not {"PERNUM", "RELATE", "NUMPREC"} & set(columns):
         # Both sides are read straight from their tables, so adaptive execution can
         # split a household that is too large.
-        joined = lines.join(orders, "SERIAL")
-    else:
-        if heavy is None:
-            heavy = heavy_households(spark, sf_dir)
-        # A row's place in its file is needed only to cut heavy households apart.
-        row_id = {"file_path": "_metadata.file_path", "row_index": "_metadata.row_index"}
-        if not heavy.keys:
-            row_id = {}
-        numbered = number_rows(
-            lines.select(
-                "SERIAL", *_LINE_ORDER, *[F.col(path).alias(name) for name, path in row_id.items()]
-            ),
-            key="SERIAL",
-            order=_LINE_ORDER,
-            row_id=list(row_id),
-            number_col="PERNUM",
-            size_col="NUMPREC",
-            heavy=heavy,
-        )
-        joined = join_per_leaf(numbered, orders, "SERIAL")
-    typed = {
-        "SERIAL": F.col("SERIAL").cast("bigint"),
-        **{name: F.expr(text).cast(kind) for name, kind, text in _COLUMNS},
-    }
-    return joined.select(*[typed[name].alias(name) for name in columns])
+        joined = lines.join(orders, "SERIAL").selectExpr("*", _YEAR)
+        return joined.selectExpr(*[_COLUMNS[name] for name in columns])
+
+    if heavy is None:
+        heavy = find_heavy(lines.selectExpr(_YEAR, "SERIAL"), HOUSEHOLD_KEY)
+    # A row's place in its file is needed only to cut heavy households apart.
+    row_id = ("file_path", "row_index") if heavy.keys else ()
+    numbered = number_rows(
+        lines.selectExpr(
+            _YEAR, "SERIAL", *_LINE_ORDER, *[f"_metadata.{name} AS {name}" for name in row_id]
+        ),
+        keys=HOUSEHOLD_KEY,
+        order=_LINE_ORDER,
+        row_id=row_id,
+        number_col="PERNUM",
+        size_col="NUMPREC",
+        heavy=heavy,
+    )
+    joined = join_per_leaf(numbered, orders.selectExpr("*", _YEAR), HOUSEHOLD_KEY)
+    return joined.selectExpr(*[_COLUMNS[name] for name in columns])
