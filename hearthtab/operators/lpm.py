@@ -31,6 +31,8 @@ RESULT_SCHEMA = (
 # A column is collinear with earlier ones when less than this part of its squared
 # length is left after removing them.
 _COLLINEAR = 1e-10
+# A fit is perfect when less than this part of the outcome's squares is left.
+_PERFECT = 1e-12
 
 
 def _split_controls(data: DataFrame, controls: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -177,14 +179,15 @@ def solve_year(stats: pd.DataFrame, outcome_slot: int) -> pd.DataFrame:
     inverse = np.linalg.inv(xx[np.ix_(kept, kept)])
     beta = inverse @ xy[kept]
     residual = gram[outcome, outcome] - 2 * beta @ xy[kept] + beta @ xx[np.ix_(kept, kept)] @ beta
+    if residual < _PERFECT * gram[outcome, outcome]:
+        residual = 0.0
     freedom = rows - len(kept)
 
     estimate = np.full(outcome, np.nan)
     error = np.full(outcome, np.nan)
     estimate[kept] = beta / scale[kept]
     if freedom > 0:
-        variance = max(residual, 0.0) / freedom
-        error[kept] = np.sqrt(np.diag(inverse) * variance) / scale[kept]
+        error[kept] = np.sqrt(np.diag(inverse) * residual / freedom) / scale[kept]
     with np.errstate(divide="ignore", invalid="ignore"):
         statistic = estimate / error
     statistic[~np.isfinite(statistic)] = np.nan

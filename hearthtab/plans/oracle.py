@@ -293,7 +293,7 @@ def _rent_table(kind: str, year: str, city: str = "TRUE") -> str:
     return f"{_ON_MODEL},{_percent(source, weight, groups, within, where, keep)}"
 
 
-def _lpm_sql(controls: tuple[str, ...], income_unit: str = "1") -> str:
+def _lpm_sql(controls: tuple[str, ...], income: str = "hhinc_harmonized") -> str:
     """Cross products of the model's terms per year, in long form, as CTEs.
 
     ``terms`` numbers the terms of each year, the outcome last; ``cross0`` holds
@@ -311,10 +311,9 @@ def _lpm_sql(controls: tuple[str, ...], income_unit: str = "1") -> str:
             )
         else:
             name = control.strip('"')
-            unit = income_unit if name == "hhinc_harmonized" else "1"
+            value = income if name == "hhinc_harmonized" else control
             parts.append(
-                f"""SELECT rid, "YEAR", w, {slot}, '{name}', CAST({control} AS DOUBLE) / {unit}
-                FROM obs"""
+                f"""SELECT rid, "YEAR", w, {slot}, '{name}', CAST({value} AS DOUBLE) FROM obs"""
             )
     parts.append(
         f"""SELECT rid, "YEAR", w, {len(controls) + 1}, 'is_multifam',
@@ -346,8 +345,8 @@ sized AS (
 
 def _lpm_stats() -> str:
     controls = ("age_bucket", '"SEX"', "hhinc_harmonized", '"EDUC"')
-    return f"""{_lpm_sql(controls, "100000.0")}
-SELECT c."YEAR", a.term AS i, b.term AS j, round(c.v, 4) AS value
+    return f"""{_lpm_sql(controls, "floor(hhinc_harmonized / 100)")}
+SELECT c."YEAR", a.term AS i, b.term AS j, c.v AS value
 FROM cross0 c JOIN terms a ON a."YEAR" = c."YEAR" AND a.k = c.i
 JOIN terms b ON b."YEAR" = c."YEAR" AND b.k = c.j
 WHERE (a.slot, a.term) <= (b.slot, b.term) AND (a.slot < b.slot OR a.term = b.term)
@@ -370,6 +369,12 @@ full0 AS MATERIALIZED (
 last AS (SELECT "YEAR", max(k) AS y FROM terms GROUP BY "YEAR")"""
     sweeps = [
         f"""
+pivot{k} AS MATERIALIZED (
+  SELECT f."YEAR", {k} AS k, f.v FROM full{k - 1} f
+  JOIN full0 o ON o."YEAR" = f."YEAR" AND o.i = f.i AND o.j = f.j
+  JOIN last l ON l."YEAR" = f."YEAR"
+  WHERE f.i = {k} AND f.j = {k} AND {k} < l.y AND f.v > 1e-10 * o.v
+),
 full{k} AS MATERIALIZED (
   SELECT m."YEAR", m.i, m.j,
     CASE WHEN p.v IS NULL THEN m.v
@@ -377,28 +382,38 @@ full{k} AS MATERIALIZED (
       WHEN m.i = {k} OR m.j = {k} THEN m.v / p.v
       ELSE m.v - r.v * c.v / p.v END AS v
   FROM full{k - 1} m
-  LEFT JOIN (SELECT f.* FROM full{k - 1} f JOIN last l ON l."YEAR" = f."YEAR"
-             WHERE f.i = {k} AND f.j = {k} AND {k} < l.y) p ON p."YEAR" = m."YEAR"
+  LEFT JOIN pivot{k} p ON p."YEAR" = m."YEAR"
   LEFT JOIN full{k - 1} r ON r."YEAR" = m."YEAR" AND r.i = m.i AND r.j = {k}
   LEFT JOIN full{k - 1} c ON c."YEAR" = m."YEAR" AND c.i = {k} AND c.j = m.j
 )"""
         for k in range(1, max_terms + 1)
     ]
+    pivots = " UNION ALL ".join(f"SELECT * FROM pivot{k}" for k in range(1, max_terms + 1))
     swept = f"full{max_terms}"
     fit = f"""
+pivots AS MATERIALIZED ({pivots}),
+fitted AS (
+  SELECT s."YEAR", s.baseline, l.y, s.n - p.rank AS df,
+    CASE WHEN r.v < 1e-12 * o.v THEN 0 ELSE r.v END AS rss
+  FROM sized s JOIN last l ON l."YEAR" = s."YEAR"
+  JOIN (SELECT "YEAR", count(*) AS rank FROM pivots GROUP BY "YEAR") p ON p."YEAR" = s."YEAR"
+  JOIN {swept} r ON r."YEAR" = s."YEAR" AND r.i = l.y AND r.j = l.y
+  JOIN full0 o ON o."YEAR" = s."YEAR" AND o.i = l.y AND o.j = l.y
+),
 fit AS MATERIALIZED (
-  SELECT t."YEAR", t.term, s.baseline, b.v AS estimate,
-    sqrt(-d.v * greatest(rss.v, 0) / (s.n - l.y + 1)) AS std_error,
-    s.n - l.y + 1 AS df
-  FROM terms t JOIN last l ON l."YEAR" = t."YEAR" AND t.k < l.y
-  JOIN sized s ON s."YEAR" = t."YEAR"
-  JOIN {swept} b ON b."YEAR" = t."YEAR" AND b.i = t.k AND b.j = l.y
+  SELECT t."YEAR", t.term, f.baseline, f.df,
+    CASE WHEN p.k IS NOT NULL THEN b.v END AS estimate,
+    CASE WHEN p.k IS NOT NULL AND f.df > 0 THEN sqrt(greatest(-d.v, 0) * f.rss / f.df) END
+      AS std_error
+  FROM terms t JOIN fitted f ON f."YEAR" = t."YEAR" AND t.k < f.y
+  JOIN {swept} b ON b."YEAR" = t."YEAR" AND b.i = t.k AND b.j = f.y
   JOIN {swept} d ON d."YEAR" = t."YEAR" AND d.i = t.k AND d.j = t.k
-  JOIN {swept} rss ON rss."YEAR" = t."YEAR" AND rss.i = l.y AND rss.j = l.y
+  LEFT JOIN pivots p ON p."YEAR" = t."YEAR" AND p.k = t.k
 ),
 angle AS (
   SELECT *, estimate / nullif(std_error, 0) AS statistic,
-    atan(abs(estimate / nullif(std_error, 0)) / sqrt(df)) AS theta FROM fit
+    CASE WHEN df > 0 THEN atan(abs(estimate / nullif(std_error, 0)) / sqrt(df)) END AS theta
+  FROM fit
 ),
 steps AS (
   SELECT "YEAR", term, df, theta, unnest(generate_series(1, (df - 2 - df % 2) // 2)) AS s

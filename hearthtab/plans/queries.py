@@ -103,12 +103,11 @@ def _lpm_all_terms(controls: Sequence[str]) -> Query:
 
 
 def lpm_sufficient_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross products of the SES model, income in units of 100,000."""
-    scaled = model_frame(spark, sf_dir).withColumn(
-        "hhinc_harmonized", F.col("hhinc_harmonized") / 100000
+    """Cross products of the SES model, income in whole hundreds to keep the sums exact."""
+    hundreds = model_frame(spark, sf_dir).withColumn(
+        "hhinc_harmonized", F.floor(F.col("hhinc_harmonized") / 100)
     )
-    stats = lpm.lpm_sufficient_stats(scaled, SES_CONTROLS)
-    return stats.select("YEAR", "i", "j", F.round("value", 4).alias("value"))
+    return lpm.lpm_sufficient_stats(hundreds, SES_CONTROLS).select("YEAR", "i", "j", "value")
 
 
 def row_count_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
