@@ -14,6 +14,8 @@ FIRST_GROUP_QUARTERS_CODE = 3
 # - five or more families count as five; a studio (code 2) counts as one bedroom
 # - the fourth age label says 65 although the group ends at 64
 # - Hispanic wins over race; unknown Hispanic origin falls through to race
+# Groups used in filters come straight from the codes, so that a filter pushed to the
+# scan stays short.
 PERSON_RECODES = (
     (
         "n_multifam",
@@ -23,7 +25,7 @@ PERSON_RECODES = (
     (
         "is_multifam",
         ("NFAMS",),
-        "CASE WHEN n_multifam = 1 THEN FALSE WHEN n_multifam >= 2 THEN TRUE END",
+        "CASE WHEN NFAMS = 1 THEN FALSE WHEN NFAMS >= 2 THEN TRUE END",
     ),
     ("room", ("ROOMS",), "CASE WHEN ROOMS < 9 THEN ROOMS WHEN ROOMS >= 9 THEN 9 END"),
     (
@@ -59,10 +61,9 @@ PERSON_RECODES = (
     (
         "race_eth",
         ("HISPAN", "RACE"),
-        "CASE WHEN is_hispan THEN 'Hispanic' WHEN race_bucket = 'black' THEN 'Black' "
-        "WHEN race_bucket = 'aapi' THEN 'AAPI' WHEN race_bucket = 'aian' THEN 'AIAN' "
-        "WHEN race_bucket = 'multi' THEN 'Multiracial' WHEN race_bucket = 'white' THEN 'White' "
-        "WHEN race_bucket = 'other' THEN 'Other' END",
+        "CASE WHEN HISPAN BETWEEN 1 AND 4 THEN 'Hispanic' WHEN RACE = 1 THEN 'White' "
+        "WHEN RACE = 2 THEN 'Black' WHEN RACE = 3 THEN 'AIAN' WHEN RACE BETWEEN 4 AND 6 THEN 'AAPI' "
+        "WHEN RACE = 7 THEN 'Other' WHEN RACE IN (8, 9) THEN 'Multiracial' END",
     ),
 )
 
