@@ -107,14 +107,24 @@ def _split_points(
     )
 
 
-def _leaf(position: Column) -> Column:
-    """Number of split points at or before ``position``, by a two-step search."""
-    block = F.size(F.filter("heads", lambda head: head <= position))
-    within = F.size(F.filter(F.get(F.col("blocks"), block - 1), lambda point: point <= position))
+def _with_leaf(
+    rows: DataFrame, splits: DataFrame, keys: list[str], position: Column, how: str
+) -> DataFrame:
+    """Add ``leaf``, the number of the key's split points at or before the row's position.
+
+    The search takes two steps, block and point within the block, on a position built
+    once per row. The leaf is never NULL, so that joins on it add no NULL check that
+    would repeat the search.
+    """
+    blocks_before = F.size(F.filter("heads", lambda head: head <= F.col("position")))
+    block = F.get(F.col("blocks"), F.col("block") - 1)
+    within = F.size(F.filter(block, lambda point: point <= F.col("position")))
+    leaf = F.when(F.col("block") > 0, (F.col("block") - 1) * _SEARCH_BLOCK + within)
     return (
-        F.when(F.col("heads").isNull() | (block == 0), F.lit(0))
-        .otherwise((block - 1) * _SEARCH_BLOCK + within)
-        .cast("int")
+        rows.join(splits, keys, how)
+        .withColumn("position", position)
+        .withColumn("block", blocks_before)
+        .withColumn("leaf", F.coalesce(leaf, F.lit(0)).cast("int"))
     )
 
 
@@ -159,12 +169,11 @@ def number_rows(
     position = F.struct(*order, *row_id)
     heavy_rows = rows.join(F.broadcast(_key_table(rows, keys, heavy)), keys, "left_semi")
     splits = F.broadcast(_split_points(heavy_rows, keys, position, row_id, heavy.share))
-    with_leaf = rows.join(splits, keys, "left").select(*columns, _leaf(position).alias("leaf"))
+    with_leaf = _with_leaf(rows, splits, keys, position, "left").select(*columns, "leaf")
     # One row per leaf of a heavy key: bounded like the split points.
     earlier = of_key.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     leaf_sizes = (
-        heavy_rows.join(splits, keys)
-        .select(*keys, _leaf(position).alias("leaf"))
+        _with_leaf(heavy_rows, splits, keys, position, "inner")
         .groupBy(*layout)
         .agg(F.count("*").alias("rows_in_leaf"))
         .select(
