@@ -23,6 +23,14 @@ ROWS_TERM = "(rows)"
 # Race terms shown, in legend order.
 SHOWN_RACES = ("Hispanic", "AIAN", "AAPI", "Black", "White")
 
+# Controls of the model variants. Education enters as a number, as published.
+MODEL_CONTROLS = {
+    "base": (),
+    "child": ("n_child",),
+    "demo": ("age_bucket", "SEX"),
+    "ses": ("age_bucket", "SEX", "hhinc_harmonized", "EDUC"),
+}
+
 RESULT_SCHEMA = (
     "term string, estimate double, std_error double, statistic double, p_value double, "
     "YEAR int, baseline string"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +29,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAT_COLUMNS = tuple(
     name for name in fixture.PERSON_COLUMNS if name not in ("PERNUM", "RELATE", "NUMPREC")
 )
-SES_CONTROLS = ("age_bucket", "SEX", "hhinc_harmonized", "EDUC")
-DEMO_CONTROLS = ("age_bucket", "SEX")
 # Smallest cell of the crowding table; the test tables' cells are far below 100.
 TEST_MIN_COUNT = 5
 CITY_SHOWN = 5350
@@ -86,28 +84,21 @@ def _household_size_counts(person: DataFrame) -> DataFrame:
     return crosstab_count(sized, "PERWT", ["size_group", "race_eth"])
 
 
-def _lpm(controls: Sequence[str]) -> Query:
+def _lpm(variant: str, all_terms: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shown = lpm.filter_by_race(lpm.run_lpm_by_year(model_frame(spark, sf_dir), controls))
+        results = lpm.run_lpm_by_year(model_frame(spark, sf_dir), lpm.MODEL_CONTROLS[variant])
+        shown = results if all_terms else lpm.filter_by_race(results)
         return _rounded(shown, 6, "estimate", "std_error", "statistic", "p_value")
 
     return query
 
 
-def _lpm_all_terms(controls: Sequence[str]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        results = lpm.run_lpm_by_year(model_frame(spark, sf_dir), controls)
-        return _rounded(results, 6, "estimate", "std_error", "statistic", "p_value")
-
-    return query
-
-
 def lpm_sufficient_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross products of the SES model, income in whole hundreds to keep the sums exact."""
     hundreds = model_frame(spark, sf_dir).withColumn(
         "hhinc_harmonized", F.floor(F.col("hhinc_harmonized") / 100)
     )
-    return lpm.lpm_sufficient_stats(hundreds, SES_CONTROLS).select("YEAR", "i", "j", "value")
+    return lpm.lpm_sufficient_stats(hundreds, lpm.MODEL_CONTROLS["ses"]).select("YEAR", "i", "j", "value")
 
 
 def row_count_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,10 +253,10 @@ QUERIES: dict[str, Query] = {
             rent.ppbr_by_rent_burden(frame, min_count=TEST_MIN_COUNT), 6, "weighted_mean"
         ),
     ),
-    "lpm_base": _lpm(()),
-    "lpm_child": _lpm(("n_child",)),
-    "lpm_demo": _lpm(DEMO_CONTROLS),
-    "lpm_ses": _lpm(SES_CONTROLS),
-    "lpm_ses_terms": _lpm_all_terms(SES_CONTROLS),
+    "lpm_base": _lpm("base"),
+    "lpm_child": _lpm("child"),
+    "lpm_demo": _lpm("demo"),
+    "lpm_ses": _lpm("ses"),
+    "lpm_ses_terms": _lpm("ses", all_terms=True),
     "lpm_sufficient_stats": lpm_sufficient_stats,
 }

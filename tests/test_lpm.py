@@ -176,7 +176,7 @@ def test_p_value_of_many_rows_is_normal():
 
 def test_only_sums_reach_python(spark, small):
     """Rows are reduced before the grouped solve: its input is a final aggregate."""
-    model = lpm.run_lpm_by_year(queries.model_frame(spark, small), queries.SES_CONTROLS)
+    model = lpm.run_lpm_by_year(queries.model_frame(spark, small), lpm.MODEL_CONTROLS["ses"])
     plan = model._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("FlatMapGroupsInPandas", 1)[1]
     assert below.strip().splitlines()[1].strip().lstrip("+- ").startswith(("Aggregate", "Project"))
