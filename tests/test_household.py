@@ -112,7 +112,8 @@ def test_merge_shares_one_shuffle_of_the_persons(spark, small):
     final = plan.split("== Initial Plan ==")[0]
     shuffles = re.findall(r"[+:]- Exchange hashpartitioning", final)
     assert len(shuffles) == 2  # lines and orders
-    assert len(re.findall(r"ReusedExchange \[(?:YEAR|SERIAL)", final)) == 2
+    reused = [line for line in final.splitlines() if "ReusedExchange" in line]
+    assert len([line for line in reused if "BroadcastExchange" not in line]) == 2
 
 
 def test_sizes_agree(spark, small):
