@@ -32,7 +32,8 @@ def test_count_keeps_null_groups(spark):
 
 
 def test_mean_skips_unknown_values_and_weights(spark):
-    df = frame(spark, [("a", None, 4.0, 1), ("a", None, None, 7), ("a", None, 8.0, 3), ("a", None, 9.0, None)])
+    values = [(4.0, 1), (None, 7), (8.0, 3), (9.0, None)]
+    df = frame(spark, [("a", None, x, w) for x, w in values])
     row = crosstab_mean(df, "x", "w", ["g"]).first()
     assert (row.weighted_count, row["count"], row.weighted_mean) == (11.0, 4, 7.0)
 

@@ -10,7 +10,10 @@ from hearthtab.operators import lpm
 from hearthtab.operators.crosstab import crosstab_mean
 from hearthtab.plans import queries
 
-SCHEMA = "YEAR int, race_eth string, is_multifam boolean, PERWT double, n_child int, x double, age_bucket string"
+SCHEMA = (
+    "YEAR int, race_eth string, is_multifam boolean, PERWT double, n_child int, x double, "
+    "age_bucket string"
+)
 
 
 @pytest.fixture(scope="module")
