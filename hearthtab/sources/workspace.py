@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one on a local master only."""
+    """The folder all executors share.
+
+    The setting ``spark.checkpoint.dir`` comes first, then a folder given to
+    ``SparkContext.setCheckpointDir``, then a folder in the session's warehouse,
+    which a cluster shares as well. A ``file:`` folder is taken as it is: it may be
+    a mounted network disk, which cannot be told from here.
+    """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="hearthtab-")
+    if not folder:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = chosen.get() if chosen.isDefined() else None
+    if not folder:
+        folder = f"{spark.conf.get(WAREHOUSE_SETTING).rstrip('/')}/_shared"
+    return folder.rstrip("/")
 
 
 def new_location(spark: SparkSession, name: str) -> str:
