@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import language_id, packing, sharding
+from hearthtab.llm import language_id, packing, quality, secrets, sharding
 from hearthtab.llm.common import id_crc32
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language_id.held_out(id_crc32(F.col("doc_id")))
@@ -37,6 +41,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    counts = [_count_of("spans", kind).alias(f"n_{kind}") for kind in base]
+    found = F.filter("spans", lambda s: s["kind"].isin(base))
+    return rows.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.span_text(found).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -47,6 +68,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
+    "op6_quality": op6_quality,
     "op10_sharding": op10_sharding,
 }
 LLM_ORACLES: dict[str, str] = {}
