@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import language_id, packing, quality, secrets, sharding
+from hearthtab.llm import language_id, packing, quality, secrets, sharding, simhash
 from hearthtab.llm.common import id_crc32
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,15 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +78,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op10_sharding": op10_sharding,
 }
