@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,48 +35,108 @@ HARD_STEP = 64
 # Tokens laid out before their cuts are chosen; the last window goes on to the next round.
 BLOCK_TOKENS = 64 * WINDOW
 # Bounds of the cache of encoded words, per Python worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 48
 
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
-_ENDS = frozenset(".!?")
+_ENDS = (".", "!", "?")
+# Latin words, which need no normalisation but lower case, and their division: endings after an
+# apostrophe, runs of letters, single digits, runs of marks.
+_LATIN = [chr(c) for c in range(0x21, 0x250) if c not in (0x85, 0xA0, 0x130) and not 0x7F <= c < 0xA0]
+_LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
+_NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
+_SIMPLE = re.compile(f"[{re.escape(''.join(_LATIN))}]+").fullmatch
+_PARTS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+"
+).findall
+
+
+def _byte_symbols() -> dict[int, str]:
+    """Byte to the printable character that stands for it in byte-level vocabularies."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_SYMBOLS = _byte_symbols()
+# Characters that are encoded together.
+_SLICE_CHARS = 1_000_000
+
+
+class _Words(dict):
+    """Ids of words as little-endian bytes; a new word is encoded when first asked for.
+
+    A word of Latin letters, digits and marks is divided the way the tokenizer does it and
+    its parts go straight to the tokenizer's model. Any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self._tokenizer = tokenizer
+        self._model = tokenizer.model
+        self._parts: dict[str, bytes] = {}
+
+    def whole(self, word: str) -> bytes:
+        found = self._tokenizer.encode_batch_fast([word], add_special_tokens=False)
+        return np.asarray(found[0].ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if _SIMPLE(word) and "<|" not in word:
+            parts = self._parts
+            ids = b""
+            for part in _PARTS(word.lower()):
+                known = parts.get(part)
+                if known is None:
+                    symbols = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+                    tokens = self._model.tokenize(symbols)
+                    known = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                    if len(part) <= CACHED_LENGTH:
+                        if len(parts) >= CACHED_WORDS:
+                            parts.clear()
+                        parts[part] = known
+                ids += known
+        else:
+            ids = self.whole(word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
     """Token ids of texts, the same as the tokenizer's own for whole texts.
 
-    The tokenizers used here never join characters across ASCII white space, so a text is
-    encoded word by word and the ids of words are kept.
+    ``word_bpe`` vocabularies never join characters across ASCII white space, so texts are encoded
+    word by word and the ids of words are kept.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._cache: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        encoded = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, encoded, strict=True)}
-
-    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Ids as little-endian bytes, and the number of ids before each sentence end."""
-        words = _WORD.findall(text)
-        cache = self._cache
-        try:
-            parts = [cache[w] for w in words]
-        except KeyError:
-            unseen = list({w for w in words if w not in cache})
-            if len(cache) + len(unseen) > CACHED_WORDS:
-                cache.clear()
-                unseen = list(set(words))
-            learned = self._learn(unseen)
-            parts = [learned.get(w) or cache.get(w, b"") for w in words]
-            cache.update({w: ids for w, ids in learned.items() if len(w) <= CACHED_LENGTH})
-        before = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
-        ends = [k for k, w in enumerate(words) if w[-1] in _ENDS]
-        return b"".join(parts), before[ends]
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self._words = _Words(tokenizer)
+        # Tokens that close a sentence: marks at the end of a word.
+        closing = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, number in tokenizer.get_vocab().items():
+            closing[number] = token.removesuffix("</w>").endswith(_ENDS)
+        self._closing = closing
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the ids, and the number of ids before each sentence end."""
+        words_of = [_WORD.findall(t) for t in texts]
+        if len(self._words) >= CACHED_WORDS:
+            self._words.clear()
+        parts = list(map(self._words.__getitem__, chain.from_iterable(words_of)))
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]) >> 2
+        stops = before[np.cumsum([len(w) for w in words_of])]
+        closing = np.flatnonzero(self._closing[ids]) + 1
+        found, start = [], 0
+        for stop in stops.tolist():
+            ends = closing[np.searchsorted(closing, start, "right") : np.searchsorted(closing, stop, "right")]
+            found.append((ids[start:stop], ends - start))
+            start = stop
+        return found
 
 
 def candidate_cuts(length: int, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +258,19 @@ class _Packer:
         self._held = total - done
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``_SLICE_CHARS`` characters, with the place of the first."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= _SLICE_CHARS:
+            yield k + 1 - len(held), held
+            held, size = [], 0
+    if held:
+        yield len(texts) - len(held), held
+
+
 _FIELDS = {
     "doc_id": pa.int64(),
     "start": pa.int64(),
@@ -232,11 +308,12 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
         for batch in batches:
-            for doc_id, text in zip(batch["_id"], batch["_text"], strict=True):
-                ids, ends = encoder.encode(text.as_py() or "")
-                packer.add(doc_id.as_py(), np.append(np.frombuffer(ids, "<u4"), end), ends)
-                if len(packer.rows["doc_id"]) >= _BATCH_PIECES:
-                    yield taken()
+            ids = batch["_id"].to_pylist()
+            for start, texts in _slices(batch["_text"]):
+                for k, (tokens, ends) in enumerate(encoder.encode(texts), start):
+                    packer.add(ids[k], np.append(tokens, end), ends)
+                    if len(packer.rows["doc_id"]) >= _BATCH_PIECES:
+                        yield taken()
         packer.finish()
         if packer.rows["doc_id"]:
             yield taken()
