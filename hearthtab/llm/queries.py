@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import language_id, packing, quality, secrets, sharding, simhash
+from hearthtab.llm import language_id, packing, quality, secrets, sharding, simhash, toxicity
 from hearthtab.llm.common import id_crc32
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def _toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel | None:
+    return toxicity.fit(docs, labels.where(id_crc32(F.col("doc_id")) % 5 != 0))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = _toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(id_crc32(F.col("doc_id")) % 5 == 0, F.lit(False))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -80,6 +93,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 LLM_ORACLES: dict[str, str] = {}
