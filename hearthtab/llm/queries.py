@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import language_id, packing, quality, secrets, sharding, simhash, toxicity
+from hearthtab.llm import decontaminate, language_id, packing, quality, secrets, sharding, simhash, toxicity
 from hearthtab.llm.common import id_crc32
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def _toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel | None:
     return toxicity.fit(docs, labels.where(id_crc32(F.col("doc_id")) % 5 != 0))
 
@@ -93,6 +99,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
