@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import decontaminate, language_id, packing, quality, secrets, sharding, simhash, toxicity
+from hearthtab.llm import decontaminate, extract, language_id, packing, quality, secrets, sharding, simhash, toxicity
 from hearthtab.llm.common import id_crc32
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def _count_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language_id.held_out(id_crc32(F.col("doc_id")))
@@ -94,6 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
