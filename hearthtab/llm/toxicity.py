@@ -24,9 +24,10 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthtab.llm.common import pick
@@ -39,8 +40,8 @@ SYMBOLS = 40
 # A longer word is scored by pieces of this size, each overlapping the next by half.
 LONGEST = 24
 # Bounds of the training sample, in documents, and of what is learned from it.
-SAMPLE_TOXIC = 3000
-SAMPLE_CLEAN = 9000
+SAMPLE_TOXIC = 2000
+SAMPLE_CLEAN = 6000
 WORDS_PER_PIECE = 60
 CLEAN_WORDS = 12_000
 HARD_WORDS = 4000
@@ -54,6 +55,7 @@ CACHED_WORDS = 500_000
 
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 _SAMPLE_PARTS = 1_000_000
+_CHUNK_WORDS = 2048
 _SCORE_STEEPNESS = 4.0
 
 
@@ -91,35 +93,34 @@ def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(chosen, np.int64).reshape(-1, ORDER), np.array(weight)
 
 
-def subsequences(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: places of the words, subsequence numbers (words x entries), normalised values.
+def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length, in bounded chunks: places of the words, subsequence numbers (words x entries),
+    normalised values.
 
     Equal subsequences of a word appear as several entries; the norm takes their sum.
     """
     by_length = defaultdict(list)
     for k, word in enumerate(words):
         by_length[len(word)].append(k)
-    found = []
-    for length, places in by_length.items():
+    for length, all_places in by_length.items():
         index, weight = _places(length)
         if not len(index):
             continue
-        symbols = np.array([codes(words[k]) for k in places], np.int64)
-        number = np.zeros((len(places), len(index)), np.int64)
-        for k in range(ORDER):
-            number = number * SYMBOLS + symbols[:, index[:, k]]
-        order = np.argsort(number, axis=1)
-        sorted_number = np.take_along_axis(number, order, axis=1)
-        value = np.broadcast_to(weight, number.shape)
-        sorted_value = np.take_along_axis(value, order, axis=1)
-        # Sum of values over runs of equal numbers, squared and summed.
-        new = np.ones(number.shape, bool)
-        new[:, 1:] = sorted_number[:, 1:] != sorted_number[:, :-1]
-        flat = np.flatnonzero(new.ravel())
-        sums = np.add.reduceat(sorted_value.ravel(), flat)
-        norm = np.sqrt(np.bincount(flat // number.shape[1], sums * sums, len(places)))
-        found.append((np.array(places), number, value / norm[:, None]))
-    return found
+        for start in range(0, len(all_places), _CHUNK_WORDS):
+            places = all_places[start : start + _CHUNK_WORDS]
+            symbols = np.array([codes(words[k]) for k in places], np.int64)
+            number = np.zeros((len(places), len(index)), np.int64)
+            for k in range(ORDER):
+                number = number * SYMBOLS + symbols[:, index[:, k]]
+            order = np.argsort(number, axis=1)
+            sorted_number = np.take_along_axis(number, order, axis=1)
+            # Sum of values over runs of equal numbers, squared and summed.
+            new = np.ones(number.shape, bool)
+            new[:, 1:] = sorted_number[:, 1:] != sorted_number[:, :-1]
+            flat = np.flatnonzero(new.ravel())
+            sums = np.add.reduceat(weight[order].ravel(), flat)
+            norm = np.sqrt(np.bincount(flat // number.shape[1], sums * sums, len(places)))
+            yield np.array(places), number, weight[None, :] / norm[:, None]
 
 
 def feature_rows(words: list[str]) -> list[dict[int, float]]:
@@ -218,28 +219,53 @@ def _unrelated(signatures: list[tuple]) -> list[int]:
     return [root(k) for k in range(len(signatures))]
 
 
-def learn(sample: list[tuple[bool, list[str], tuple]]) -> ToxicityModel | None:
-    """Fit on (toxic, distinct normal words, signatures) of documents; None without both labels."""
-    toxic = [row for row in sample if row[0]]
-    clean = [row for row in sample if not row[0]]
-    if not toxic or not clean:
+@dataclass
+class Evidence:
+    """What the sample says: words of unrelated toxic documents, word counts of clean ones."""
+
+    toxic_groups: list[set[str]]
+    clean_words: Counter
+    clean_groups: int
+
+
+def gather(sample: Iterator[tuple[bool, list[str], tuple]]) -> Evidence:
+    """From (toxic, distinct normal words, signatures) of documents."""
+    toxic, clean_words, clean_signatures, pool = [], Counter(), [], {}
+    for is_toxic, words, signature in sample:
+        own = [pool.setdefault(w, w) for w in words]
+        if is_toxic:
+            toxic.append((signature, own))
+        else:
+            clean_words.update(own)
+            clean_signatures.append(signature)
+    toxic.sort()
+    groups: dict[int, set[str]] = defaultdict(set)
+    for number, (_, words) in zip(_unrelated([s for s, _ in toxic]), toxic, strict=True):
+        groups[number].update(words)
+    return Evidence(
+        list(groups.values()), clean_words, len(set(_unrelated(sorted(clean_signatures))))
+    )
+
+
+def learn(evidence: Evidence) -> ToxicityModel | None:
+    """Fit on the evidence; None without both labels, or if no word tells them apart."""
+    clean_words = evidence.clean_words
+    n_toxic, n_clean = len(evidence.toxic_groups), evidence.clean_groups
+    if not n_toxic or not n_clean:
         return None
-    group = _unrelated([row[2] for row in toxic])
-    n_toxic = len(set(group))
-    n_clean = len(set(_unrelated([row[2] for row in clean])))
-    clean_words = Counter(w for row in clean for w in row[1])
     clean_grams = {g for w in clean_words for g in _grams(w)}
-    support: dict[str, set[int]] = defaultdict(set)
-    words_with: dict[str, set[str]] = defaultdict(set)
-    for k, row in enumerate(toxic):
-        for w in row[1]:
-            if w not in clean_words:
-                for g in _grams(w) - clean_grams:
-                    support[g].add(group[k])
-                    words_with[g].add(w)
+    suspects = [words.difference(clean_words) for words in evidence.toxic_groups]
+    support: Counter = Counter()
+    for words in suspects:
+        support.update({g for w in words for g in _grams(w) if g not in clean_grams})
     share = n_toxic / (n_toxic + n_clean)
     enough = max(3, math.ceil(math.log(ACCIDENT) / math.log(share)))
-    pieces = {g for g, groups in support.items() if len(groups) >= enough}
+    pieces = {g for g, n in support.items() if n >= enough}
+    words_with: dict[str, set[str]] = defaultdict(set)
+    for words in suspects:
+        for w in words:
+            for g in _grams(w) & pieces:
+                words_with[g].add(w)
     bad = sorted({w for g in pieces for w in sorted(words_with[g])[:WORDS_PER_PIECE]})
     if not bad:
         return None
@@ -287,11 +313,13 @@ def learn(sample: list[tuple[bool, list[str], tuple]]) -> ToxicityModel | None:
     return model
 
 
-def _signatures(text: str) -> tuple:
+def _signatures(text: str) -> list[int]:
     """Smallest hashes of five-word shingles under four seeds."""
     words = text.split()
     lines = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-    return tuple(f"{seed}:{min(xxhash.xxh64_intdigest(x, seed) for x in lines)}" for seed in range(4))
+    return [
+        (min(xxhash.xxh64_intdigest(x, seed) for x in lines) >> 3) * 4 + seed for seed in range(4)
+    ]
 
 
 def fit(
@@ -340,18 +368,17 @@ def fit(
                         [" ".join(sorted({normal(w) for w in _WORD.findall(t)} - {""})) for t in texts],
                         pa.string(),
                     ),
-                    "signatures": pa.array([" ".join(_signatures(t)) for t in texts], pa.string()),
+                    "signatures": pa.array([_signatures(t) for t in texts], pa.list_(pa.int64())),
                 }
             )
 
     gathered = chosen.select("_text", "_label").mapInArrow(
-        reduce, "toxic boolean, words string, signatures string"
+        reduce, "toxic boolean, words string, signatures array<long>"
     )
-    sample = sorted(
-        ((r["toxic"], r["words"].split(), tuple(r["signatures"].split())) for r in gathered.toLocalIterator()),
-        key=lambda r: (r[2], r[0]),
+    sample = (
+        (r["toxic"], r["words"].split(), tuple(r["signatures"])) for r in gathered.toLocalIterator()
     )
-    return learn(sample)
+    return learn(gather(sample))
 
 
 class Scorer:
@@ -384,40 +411,40 @@ class Scorer:
 _SLICE_CHARS = 1_000_000
 
 
-def score_toxicity(
-    docs: DataFrame, model: ToxicityModel | None, id_column="doc_id", text_column="text"
-) -> DataFrame:
-    """Score (0 to 1) and prediction of every text: the identifier, ``score``, ``predicted``.
-
-    Whole texts are scored, of any length. A null, empty or wordless text scores like a
-    clean word, as does every text if there is no model. Rows with equal identifiers stay rows of
-    their own; extra columns are not read; an empty table gives an empty result.
-    """
-    rows = pick(docs, _id=id_column, _text=text_column)
-    kind = rows.schema["_id"].dataType.simpleString()
+def toxicity_score(spark: SparkSession, model: ToxicityModel | None):
+    """Column function: score of each text; without a model all score like clean words."""
     known = model or ToxicityModel(np.zeros(SYMBOLS**ORDER, np.float32), -1.0)
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = spark.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            margins, held, size = [], [], 0
-            for text in batch["_text"]:
-                held.append(text.as_py() or "")
+            margins, held, size = [np.zeros(0)], [], 0
+            for text in batch:
+                held.append(text or "")
                 size += len(held[-1])
                 if size >= _SLICE_CHARS:
                     margins.append(scorer(held))
                     held, size = [], 0
             if held:
                 margins.append(scorer(held))
-            margin = np.concatenate(margins) if margins else np.zeros(0)
-            score = 1 / (1 + np.exp(-_SCORE_STEEPNESS * margin))
-            yield pa.RecordBatch.from_arrays(
-                [batch["_id"], pa.array(score, pa.float64())], names=["_id", "score"]
-            )
+            yield pd.Series(1 / (1 + np.exp(-_SCORE_STEEPNESS * np.concatenate(margins))))
+
+    return score
 
-    return rows.mapInArrow(run, f"_id {kind}, score double").select(
-        F.col("_id").alias(id_column),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+
+def score_toxicity(
+    docs: DataFrame, model: ToxicityModel | None, id_column="doc_id", text_column="text"
+) -> DataFrame:
+    """Score (0 to 1) and prediction of every text: the identifier, ``score``, ``predicted``.
+
+    Whole texts are scored, of any length. A null, empty or wordless text scores like a
+    clean word, as does every text if there is no model. Rows with equal identifiers stay rows of
+    their own; extra columns are not read; an empty table gives an empty result.
+    """
+    rows = pick(docs, _id=id_column, _text=text_column)
+    score = toxicity_score(docs.sparkSession, model)
+    return rows.select(F.col("_id").alias(id_column), score("_text").alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
     )
