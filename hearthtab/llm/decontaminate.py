@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,17 +206,11 @@ def find_leaks(
     index of its own that is broadcast; usually there is one part. Extra columns are not
     read, and an empty table gives an empty result.
     """
-    items = pick(benchmark, _item=item_column, _text=item_text_column).where("_text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, math.ceil(size / INDEX_CHARS))
     rows = pick(docs, _id=id_column, _text=text_column).where("_text IS NOT NULL")
     id_kind = rows.schema["_id"].dataType.simpleString()
-    item_kind = items.schema["_item"].dataType
+    item_kind = benchmark.schema[item_column].dataType
     found = None
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == part).collect()
-        known = [i for i in (Item.of(r["_item"], r["_text"]) for r in mine) if i.words]
-        known.sort(key=lambda i: (i.words, str(i.item_id)))
+    for known in _item_parts(benchmark, item_column, item_text_column):
         hits = _search(rows, known, id_kind, item_kind)
         found = hits if found is None else found.unionByName(hits)
     return found.select(
@@ -224,6 +219,36 @@ def find_leaks(
     )
 
 
+def has_leak(benchmark: DataFrame, item_column="item_id", item_text_column="text") -> list:
+    """Column functions, one per part of the benchmark: whether a text holds an item of it."""
+    spark = benchmark.sparkSession
+
+    def of(items: list[Item]):
+        sent = spark.sparkContext.broadcast(items)
+
+        @F.pandas_udf("boolean")
+        def leak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            index = Index(sent.value) if sent.value else None
+            for batch in batches:
+                yield pd.Series([bool(index and t and matches_in(index, t)) for t in batch], dtype=bool)
+
+        return leak
+
+    return [of(items) for items in _item_parts(benchmark, item_column, item_text_column)]
+
+
+def _item_parts(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[list[Item]]:
+    """Items with words, in parts of bounded size; one part at least, maybe empty."""
+    items = pick(benchmark, _item=item_column, _text=text_column).where("_text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, math.ceil(size / INDEX_CHARS))
+    for part in range(parts):
+        mine = items.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == part).collect()
+        known = [i for i in (Item.of(r["_item"], r["_text"]) for r in mine) if i.words]
+        known.sort(key=lambda i: (i.words, str(i.item_id)))
+        yield known
+
+
 def _search(rows: DataFrame, items: list[Item], id_kind: str, item_kind) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(items)
 
