@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import decontaminate, extract, language_id, packing, quality, secrets, sharding, simhash, toxicity
+from hearthtab.llm import decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, toxicity
 from hearthtab.llm.common import id_crc32
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = pii.find_personal_data(docs, pii.fit(docs)).withColumn("_base", pii.base_only(F.col("spans")))
+    return rows.select(
+        "doc_id",
+        *[_count_of("_base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(secrets.span_text(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def _toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel | None:
     return toxicity.fit(docs, labels.where(id_crc32(F.col("doc_id")) % 5 != 0))
 
@@ -105,6 +116,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
