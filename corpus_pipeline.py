@@ -16,12 +16,30 @@ from hearthtab.llm.common import id_crc32, staged
 TOKENIZER = "word_bpe_49k.json"
 
 
+class _Aside:
+    """Documents under positional column names, so that columns of any name may come along."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self._names = docs.columns
+        self.rows = docs.toDF(*[f"_c{k}" for k in range(len(self._names))])
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"_c{self._names.index(name)}")
+
+    def back(self, rows: DataFrame, **changed: Column) -> DataFrame:
+        """The columns of the documents, some of them changed, under their own names."""
+        return rows.select(
+            *[changed.get(n, F.col(f"_c{k}")).alias(f"_c{k}") for k, n in enumerate(self._names)]
+        ).toDF(*self._names)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(id_crc32(F.col("doc_id")) % 5 != 0))
     score = toxicity.toxicity_score(spark, model)
-    return docs.where(score("text") < 0.5)
+    held = _Aside(docs)
+    return held.back(held.rows.where(score(held["text"]) < 0.5))
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +48,30 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by identifier and text; of rows equal in both, one stays. A null identifier
     counts as the smallest.
     """
-    marked = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("content")))
-    groups = simhash.near_duplicates(marked, id_column="_row")
+    held = _Aside(docs)
+    marked = held.rows.withColumn(
+        "_row", F.struct(held["doc_id"].alias("doc_id"), F.xxhash64(held["text"]).alias("content"))
+    )
+    groups = simhash.near_duplicates(marked.select("_row", held["text"].alias("text")), id_column="_row")
     first = groups.where("_row = component").groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"))
     first = first.select(
         F.col("_row.doc_id").alias("_first"), F.col("_row.content").alias("_content"), "_copies"
     )
     chosen = marked.join(
-        first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_row.content") == F.col("_content"))
+        first, held["doc_id"].eqNullSafe(F.col("_first")) & (F.col("_row.content") == F.col("_content"))
     )
     once = chosen.where("_copies = 1")
-    repeated = chosen.where("_copies > 1").dropDuplicates(["doc_id", "_content"])
-    return once.unionByName(repeated).select(*docs.columns)
+    repeated = chosen.where("_copies > 1").dropDuplicates(["_first", "_content"])
+    return held.back(once.unionByName(repeated))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    held = _Aside(docs)
+    rows = held.rows
     for leak in decontaminate.has_leak(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        docs = docs.where(~leak("text"))
-    return docs
+        rows = rows.where(~leak(held["text"]))
+    return held.back(rows)
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -85,16 +108,19 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.scan_secrets(docs).where(F.size("spans") > 0)
     # One row per blob: texts of equal content share their spans.
     by_blob = staged(found.select("blob", "spans").dropDuplicates(["blob"]), "secret_spans")
-    marked = docs.withColumn("_blob", secrets.blob_of(F.col("text")))
-    joined = marked.join(by_blob.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    text = F.when(F.col("spans").isNotNull(), _masked(F.col("text"), F.col("spans"))).otherwise(
-        F.col("text")
+    held = _Aside(docs)
+    text = held["text"]
+    joined = held.rows.withColumn("_blob", secrets.blob_of(text)).join(
+        by_blob.toDF("_blob", "_spans"), "_blob", "left"
     )
-    changed = joined.withColumn("text", text).withColumn(
-        "n_chars",
-        F.when(F.col("spans").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")),
+    masked = joined.withColumn(
+        "_masked", F.when(F.col("_spans").isNotNull(), _masked(text, F.col("_spans"))).otherwise(text)
     )
-    return changed.select(*docs.columns)
+    length = F.when(F.col("_spans").isNotNull(), F.char_length("_masked").cast("long"))
+    changed = {"text": F.col("_masked")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(length, held["n_chars"])
+    return held.back(masked, **changed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

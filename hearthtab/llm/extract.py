@@ -1,6 +1,6 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Tokens are tags with the path of tags they stand in. Over all pages of a host each token has an
+Tokens are tags, told apart by their first class name and the path of tags they stand in. Over all pages of a host each token has an
 occurrence vector: how often it stands on each page. Tokens with equal vectors form an
 equivalence class; the vectors are compared by their support and a sum of hashes of page and
 count, so that no vector is ever gathered. Classes are valid if they are supported by enough
@@ -71,6 +71,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*["']?\s*([^\s"'/>]+)""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -111,7 +112,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
     Unclosed and stray tags are mended as browsers do: a block closes an open paragraph and
     whatever is open in it; an end tag closes up to its element, if that is open.
     """
-    stack: list[tuple[str, bool]] = []  # tag, left out (of it or an ancestor)
+    # Tag, whether it or an ancestor is left out, and the name it has in paths.
+    stack: list[tuple[str, bool, str]] = []
     blocks: list[Block] = []
     tags: Counter = Counter()
     held: list[str] = []
@@ -119,7 +121,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
     path: tuple[str, ...] = ()
 
     def block_path() -> tuple[str, ...]:
-        return tuple(t for t, _ in stack if t in _BLOCK)
+        return tuple(label for t, _, label in stack if t in _BLOCK)
 
     def flush() -> None:
         nonlocal linked
@@ -132,7 +134,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
 
     def close(position: int) -> None:
         nonlocal path
-        if any(t in _BLOCK for t, _ in stack[position:]):
+        if any(t in _BLOCK for t, *_ in stack[position:]):
             flush()
         del stack[position:]
         path = block_path()
@@ -152,7 +154,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if start > end:
             text = page[end:start]
             held.append(text)
-            if any(t == "a" for t, _ in stack):
+            if any(t == "a" for t, *_ in stack):
                 linked += len(text)
         if start >= length:
             break
@@ -174,7 +176,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             k = opened(tag)
             if k >= 0:
                 # An end tag of an inline element does not reach beyond its block.
-                if tag not in _BLOCK and any(t in _BLOCK for t, _ in stack[k:]):
+                if tag not in _BLOCK and any(t in _BLOCK for t, *_ in stack[k:]):
                     continue
                 close(k)
             continue
@@ -210,11 +212,12 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if tag in _VOID:
             continue
         out = bool(stack and stack[-1][1]) or _marked(
-            tag, attributes, any(t in ("article", "main") for t, _ in stack)
+            tag, attributes, any(t in ("article", "main") for t, *_ in stack)
         )
         if out and not (stack and stack[-1][1]):
             flush()
-        stack.append((tag, out))
+        named = _CLASS.search(attributes) if attributes and tag in _BLOCK else None
+        stack.append((tag, out, f"{tag}.{named[1].lower()}" if named else tag))
         if tag in _BLOCK:
             path = block_path()
             tags["/".join(path)] += 1
@@ -239,7 +242,7 @@ def main_text(page: str, slot: str | None) -> str:
 def _usual_slots(tags: Counter) -> list[str]:
     """Articles or main parts by their tags, the outermost first; then the whole page."""
     paths = sorted(tags, key=lambda p: (p.count("/"), p))
-    found = [p for name in ("article", "main") for p in paths if p.rpartition("/")[2] == name]
+    found = [p for name in ("article", "main") for p in paths if p.rpartition("/")[2].partition(".")[0] == name]
     return [*found, ""]
 
 
