@@ -2,7 +2,10 @@
 
 Rows are reduced to weighted moments per (year, race, text controls) before
 anything is shuffled; the regression of each year is then solved from its
-cross-product sums, a few dozen numbers per year.
+cross-product sums, a few dozen numbers per year. Numeric controls are centred on
+their weighted mean of the year, so that a large mean costs no digits; the race terms
+are moved back afterwards. Text controls of many levels give levels squared sums per
+year, which one task solves.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 RACE = "race_eth"
 WEIGHT = "PERWT"
 ROWS_TERM = "(rows)"
+CENTRE_TERM = "(centre)"
 
 # Race terms shown, in legend order.
 SHOWN_RACES = ("Hispanic", "AIAN", "AAPI", "Black", "White")
@@ -36,9 +40,12 @@ RESULT_SCHEMA = (
     "YEAR int, baseline string"
 )
 
-# A column is collinear with earlier ones when less than this part of its squared
-# length is left after removing them.
-_COLLINEAR = 1e-10
+# A centred column is collinear with earlier ones when less than this part of its squared
+# length is left after removing them, and constant when less of the uncentred one is.
+_COLLINEAR = 1e-12
+_CONSTANT = 1e-24
+# Degrees of freedom from which p-values come from the normal distribution with a correction.
+_MANY = 1e4
 # A fit is perfect when less than this part of the outcome's squares is left.
 _PERFECT = 1e-12
 
@@ -55,12 +62,12 @@ def _moment(a: int, b: int) -> str:
     return f"m_{min(a, b)}_{max(a, b)}"
 
 
-def _cells(
+def _prepared(
     data: DataFrame, categories: Sequence[str], numbers: Sequence[str], outcome: str
 ) -> DataFrame:
-    """Weighted moments of 1, the numeric controls and the outcome per cell.
+    """Year, race, text controls, weight ``w`` and values ``z_*``: 1, numeric controls, outcome.
 
-    Rows with an unknown control or no weight count for the baseline only.
+    Rows with an unknown control or no weight have no ``w`` and count for the baseline only.
     """
     known = (
         F.col(outcome).isNotNull() & F.col(RACE).isNotNull() & F.col(WEIGHT).isNotNull()
@@ -69,15 +76,29 @@ def _cells(
     for control in [*categories, *numbers]:
         complete = complete & F.col(control).isNotNull()
     values = [F.lit(1.0), *(F.col(c).cast("double") for c in [*numbers, outcome])]
-    names = [f"z_{k}" for k in range(len(values))]
-    prepared = data.where(known).select(
+    return data.where(known).select(
         "YEAR",
         RACE,
         *[F.upper(F.col(c).cast("string")).alias(c) if _is_boolean(data, c) else F.col(c)
           for c in categories],
         F.when(complete, F.col(WEIGHT).cast("double")).alias("w"),
-        *[value.alias(name) for value, name in zip(values, names)],
+        *[value.alias(f"z_{k}") for k, value in enumerate(values)],
     )
+
+
+def _centres(prepared: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """Weighted mean of each numeric control per year: one row per year."""
+    return prepared.groupBy("YEAR").agg(
+        *[
+            (F.sum(F.col("w") * F.col(f"z_{k}")) / F.sum("w")).alias(f"c_{k}")
+            for k in range(1, 1 + len(numbers))
+        ]
+    )
+
+
+def _cells(prepared: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """Weighted moments of 1, the numeric controls and the outcome per cell."""
+    names = [c for c in prepared.columns if c.startswith("z_")]
     moments = [
         F.sum(F.col("w") * F.col(names[a]) * F.col(names[b])).alias(_moment(a, b))
         for a in range(len(names))
@@ -102,10 +123,18 @@ def lpm_sufficient_stats(
     outcome. ``(rows)`` holds the number of complete rows.
     """
     categories, numbers = _split_controls(data, controls)
+    return _sums(_prepared(data, categories, numbers, outcome), controls, categories, numbers, outcome)
+
+
+def _sums(
+    prepared: DataFrame,
+    controls: Sequence[str],
+    categories: Sequence[str],
+    numbers: Sequence[str],
+    outcome: str,
+) -> DataFrame:
     year = Window.partitionBy("YEAR")
-    cells = _cells(data, categories, numbers, outcome).withColumn(
-        "baseline", F.min(RACE).over(year)
-    )
+    cells = _cells(prepared, categories).withColumn("baseline", F.min(RACE).over(year))
     cells = cells.where("rows > 0")
     # Slots: the race, each control in the given order, the outcome.
     slots: list[tuple[Column, int]] = [(F.concat(F.lit(RACE), F.col(RACE)), 0)]
@@ -150,22 +179,48 @@ def run_lpm_by_year(
     data: DataFrame, controls: Sequence[str] = (), outcome: str = "is_multifam"
 ) -> DataFrame:
     """Weighted least squares of ``outcome`` on all races and ``controls`` per year."""
-    outcome_slot = 1 + len(controls)
-
-    def solve(stats: pd.DataFrame) -> pd.DataFrame:
-        return solve_year(stats, outcome_slot)
+    categories, numbers = _split_controls(data, controls)
+    prepared = _prepared(data, categories, numbers, outcome)
+    if not numbers:
+        sums = _sums(prepared, controls, categories, numbers, outcome)
+        return sums.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
 
-    return (
-        lpm_sufficient_stats(data, controls, outcome)
-        .groupBy("YEAR")
-        .applyInPandas(solve, RESULT_SCHEMA)
+    centres = _centres(prepared, numbers)
+    centred = prepared.join(centres, "YEAR").withColumns(
+        {
+            f"z_{k}": F.col(f"z_{k}") - F.coalesce(f"c_{k}", F.lit(0.0))
+            for k in range(1, 1 + len(numbers))
+        }
     )
+    sums = _sums(
+        centred.drop(*[f"c_{k}" for k in range(1, 1 + len(numbers))]),
+        controls, categories, numbers, outcome,
+    )
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(CENTRE_TERM).alias("i"),
+                F.lit(name).alias("j"),
+                F.lit(-1).alias("slot_i"),
+                F.lit(1 + list(controls).index(name)).alias("slot_j"),
+                F.col(f"c_{k}").alias("value"),
+            )
+            for k, name in enumerate(numbers, 1)
+        ]
+    )
+    moved = centres.select("YEAR", F.explode(entries).alias("entry")).select(
+        "YEAR", F.lit(None).cast("string").alias("baseline"), "entry.*"
+    )
+    # A year without complete rows has no sums, and no centre either.
+    both = sums.unionByName(moved.where("value IS NOT NULL"))
+    return both.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
 
 
-def solve_year(stats: pd.DataFrame, outcome_slot: int) -> pd.DataFrame:
-    """Coefficient rows of one year from its cross products."""
+def solve_year(stats: pd.DataFrame) -> pd.DataFrame:
+    """Coefficient rows of one year from its centred cross products and the centres."""
     rows = float(stats.loc[stats["i"] == ROWS_TERM, "value"].iloc[0])
-    stats = stats[stats["i"] != ROWS_TERM]
+    centre_of = stats[stats["i"] == CENTRE_TERM].set_index("slot_j")["value"].to_dict()
+    stats = stats[~stats["i"].isin([ROWS_TERM, CENTRE_TERM])]
     ends = [
         stats[["slot_i", "i"]].set_axis(["slot", "term"], axis=1),
         stats[["slot_j", "j"]].set_axis(["slot", "term"], axis=1),
@@ -179,9 +234,17 @@ def solve_year(stats: pd.DataFrame, outcome_slot: int) -> pd.DataFrame:
 
     outcome = len(place) - 1
     terms = list(ordered["term"])[:outcome]
-    scale = np.sqrt(np.diag(gram)[:outcome])
+    slots = list(ordered["slot"])[:outcome]
+    centre = np.array([centre_of.get(slot, 0.0) for slot in slots])
+    races = np.array(slots) == 0
+    weight = gram[:outcome, :outcome][np.ix_(races, races)].trace()
+    lengths = np.diag(gram)[:outcome].copy()
+    # A constant control keeps nothing but rounding when it is centred.
+    lengths[lengths < _CONSTANT * (lengths + weight * centre**2)] = 0.0
+    scale = np.sqrt(lengths)
     scale[scale == 0] = 1.0
     xx = gram[:outcome, :outcome] / np.outer(scale, scale)
+    xx[lengths == 0, :] = xx[:, lengths == 0] = 0.0
     xy = gram[:outcome, outcome] / scale
     kept = independent_columns(xx)
     inverse = np.linalg.inv(xx[np.ix_(kept, kept)])
@@ -191,11 +254,15 @@ def solve_year(stats: pd.DataFrame, outcome_slot: int) -> pd.DataFrame:
         residual = 0.0
     freedom = rows - len(kept)
 
+    # Back from centred controls: each race term loses the controls' part at their centres.
+    back = np.eye(len(kept))
+    back[np.ix_(races[kept], ~races[kept])] -= centre[kept][~races[kept]]
+    back = back / scale[kept]
     estimate = np.full(outcome, np.nan)
     error = np.full(outcome, np.nan)
-    estimate[kept] = beta / scale[kept]
+    estimate[kept] = back @ beta
     if freedom > 0:
-        error[kept] = np.sqrt(np.diag(inverse) * residual / freedom) / scale[kept]
+        error[kept] = np.sqrt(np.diag(back @ inverse @ back.T) * residual / freedom)
     with np.errstate(divide="ignore", invalid="ignore"):
         statistic = estimate / error
     statistic[~np.isfinite(statistic)] = np.nan
@@ -207,7 +274,7 @@ def solve_year(stats: pd.DataFrame, outcome_slot: int) -> pd.DataFrame:
             "statistic": statistic,
             "p_value": [two_sided_p(t, freedom) for t in statistic],
             "YEAR": int(stats["YEAR"].iloc[0]),
-            "baseline": stats["baseline"].iloc[0],
+            "baseline": stats["baseline"].dropna().iloc[0],
         }
     )
 
@@ -227,20 +294,37 @@ def two_sided_p(statistic: float, freedom: float) -> float:
     """P(|T| > |statistic|) of Student's t, by the incomplete beta function."""
     if math.isnan(statistic) or freedom <= 0:
         return math.nan
-    x = freedom / (freedom + statistic * statistic)
-    return _incomplete_beta(freedom / 2, 0.5, x)
+    ratio = statistic * statistic / freedom
+    if freedom >= _MANY:
+        # Hill's expansion around the normal distribution; its next term is below rounding here.
+        a = freedom - 0.5
+        w = math.sqrt(a * math.log1p(ratio))
+        return math.erfc((w + (w**3 + 3 * w) / (48 * a * a)) / math.sqrt(2))
+    return _t_tail(freedom / 2, ratio)
+
+
+def _log_gamma_step(a: float) -> float:
+    """log of gamma(a + 1/2) / gamma(a)."""
+    if a < 50:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    # Stirling's series of the ratio; differences of large lgammas would lose digits.
+    return (
+        0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5) + 17 / (14336 * a**7)
+    )
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
+def _t_tail(a: float, ratio: float) -> float:
+    """Incomplete beta function at x = 1 / (1 + ratio), with parameters a and 1/2."""
+    if ratio <= 0.0:
+        return 1.0
+    b = 0.5
+    x, rest = 1.0 / (1.0 + ratio), ratio / (1.0 + ratio)
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
+        _log_gamma_step(a) - math.lgamma(b) - a * math.log1p(ratio) + b * math.log(rest)
     )
     if x < (a + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -260,8 +344,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
 
 
 def filter_by_race(results: DataFrame) -> DataFrame:
@@ -269,6 +353,6 @@ def filter_by_race(results: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(name) for name in SHOWN_RACES]), F.col("term"))
     return (
         results.where(F.col("term").isin(*[f"{RACE}{name}" for name in SHOWN_RACES]))
-        .withColumn("term", F.substring("term", len(RACE) + 1, 100))
+        .withColumn("term", F.expr(f"substring(term, {len(RACE) + 1})"))
         .withColumn("term_rank", rank.cast("int"))
     )

@@ -293,13 +293,20 @@ def _rent_table(kind: str, year: str, city: str = "TRUE") -> str:
     return f"{_ON_MODEL},{_percent(source, weight, groups, within, where, keep)}"
 
 
-def _lpm_sql(controls: tuple[str, ...], income: str = "hhinc_harmonized") -> str:
+def _lpm_sql(
+    controls: tuple[str, ...],
+    income: str = "hhinc_harmonized",
+    centred: bool = True,
+    shift: str = "0",
+) -> str:
     """Cross products of the model's terms per year, in long form, as CTEs.
 
     ``terms`` numbers the terms of each year, the outcome last; ``cross0`` holds
-    every product in both orders.
+    every product in both orders. ``centred`` takes the weighted mean of the year off numeric controls;
+    ``shift`` is added to the rent where that is a control.
     """
     text_controls = {"age_bucket"}
+    numeric = [k for k, c in enumerate(controls, 1) if centred and c not in text_controls]
     known = " AND ".join(f"{c} IS NOT NULL" for c in controls) or "TRUE"
     parts = ["SELECT rid, \"YEAR\", w, 0 AS slot, 'race_eth' || race_eth AS term, 1.0 AS x FROM obs"]
     for slot, control in enumerate(controls, 1):
@@ -312,6 +319,8 @@ def _lpm_sql(controls: tuple[str, ...], income: str = "hhinc_harmonized") -> str
         else:
             name = control.strip('"')
             value = income if name == "hhinc_harmonized" else control
+            if name == "shifted_rent":
+                value = f'"RENT" + {shift}'
             parts.append(
                 f"""SELECT rid, "YEAR", w, {slot}, '{name}', CAST({value} AS DOUBLE) FROM obs"""
             )
@@ -322,11 +331,19 @@ def _lpm_sql(controls: tuple[str, ...], income: str = "hhinc_harmonized") -> str
     return f"""{_ON_MODEL},
 pool AS (
   SELECT *, "PERWT" AS w, min(race_eth) OVER (PARTITION BY "YEAR") AS baseline
-  FROM model
+  FROM (SELECT *, "RENT" AS shifted_rent FROM model)
   WHERE is_multifam IS NOT NULL AND race_eth IS NOT NULL AND "PERWT" IS NOT NULL
 ),
 obs AS (SELECT *, row_number() OVER () AS rid FROM pool WHERE w > 0 AND {known}),
-design AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+design0 AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+centres AS MATERIALIZED (
+  SELECT "YEAR", slot, term, sum(w * x) / sum(w) AS c FROM design0
+  WHERE slot IN ({', '.join(map(str, numeric)) or '-1'}) GROUP BY "YEAR", slot, term
+),
+design AS MATERIALIZED (
+  SELECT d.rid, d."YEAR", d.w, d.slot, d.term, d.x - coalesce(c.c, 0) AS x
+  FROM design0 d LEFT JOIN centres c ON c."YEAR" = d."YEAR" AND c.slot = d.slot
+),
 terms AS MATERIALIZED (
   SELECT "YEAR", slot, term, row_number() OVER (PARTITION BY "YEAR" ORDER BY slot, term) AS k
   FROM (SELECT DISTINCT "YEAR", slot, term FROM design)
@@ -345,7 +362,7 @@ sized AS (
 
 def _lpm_stats() -> str:
     controls = ("age_bucket", '"SEX"', "hhinc_harmonized", '"EDUC"')
-    return f"""{_lpm_sql(controls, "floor(hhinc_harmonized / 100)")}
+    return f"""{_lpm_sql(controls, "floor(hhinc_harmonized / 100)", centred=False)}
 SELECT c."YEAR", a.term AS i, b.term AS j, c.v AS value
 FROM cross0 c JOIN terms a ON a."YEAR" = c."YEAR" AND a.k = c.i
 JOIN terms b ON b."YEAR" = c."YEAR" AND b.k = c.j
@@ -353,7 +370,9 @@ WHERE (a.slot, a.term) <= (b.slot, b.term) AND (a.slot < b.slot OR a.term = b.te
 UNION ALL SELECT "YEAR", '(rows)', '(rows)', CAST(n AS DOUBLE) FROM sized"""
 
 
-def _lpm_fit(controls: tuple[str, ...], max_terms: int, all_terms: bool = False) -> str:
+def _lpm_fit(
+    controls: tuple[str, ...], max_terms: int, all_terms: bool = False, shift: str = "0"
+) -> str:
     """Regression by sweeping the cross products, and exact p-values.
 
     Sweeping every predictor leaves the coefficients in the outcome's column, the
@@ -373,7 +392,7 @@ pivot{k} AS MATERIALIZED (
   SELECT f."YEAR", {k} AS k, f.v FROM full{k - 1} f
   JOIN full0 o ON o."YEAR" = f."YEAR" AND o.i = f.i AND o.j = f.j
   JOIN last l ON l."YEAR" = f."YEAR"
-  WHERE f.i = {k} AND f.j = {k} AND {k} < l.y AND f.v > 1e-10 * o.v
+  WHERE f.i = {k} AND f.j = {k} AND {k} < l.y AND f.v > 1e-12 * o.v
 ),
 full{k} AS MATERIALIZED (
   SELECT m."YEAR", m.i, m.j,
@@ -400,15 +419,35 @@ fitted AS (
   JOIN {swept} r ON r."YEAR" = s."YEAR" AND r.i = l.y AND r.j = l.y
   JOIN full0 o ON o."YEAR" = s."YEAR" AND o.i = l.y AND o.j = l.y
 ),
+known AS MATERIALIZED (SELECT "YEAR", k FROM pivots),
+-- Every kept term is its own swept coefficient; race terms lose the controls at their centres.
+moves AS MATERIALIZED (
+  SELECT k."YEAR", k.k AS t, k.k AS s, 1.0 AS m FROM known k
+  UNION ALL
+  SELECT g."YEAR", g.k, n.k, -c.c
+  FROM known g JOIN terms tg ON tg."YEAR" = g."YEAR" AND tg.k = g.k AND tg.slot = 0
+  JOIN known n ON n."YEAR" = g."YEAR"
+  JOIN terms tn ON tn."YEAR" = n."YEAR" AND tn.k = n.k
+  JOIN centres c ON c."YEAR" = n."YEAR" AND c.slot = tn.slot AND c.term = tn.term
+),
+moved AS MATERIALIZED (
+  SELECT m."YEAR", m.t, sum(m.m * b.v) AS b
+  FROM moves m JOIN fitted f ON f."YEAR" = m."YEAR"
+  JOIN {swept} b ON b."YEAR" = m."YEAR" AND b.i = m.s AND b.j = f.y
+  GROUP BY m."YEAR", m.t
+),
+spread AS MATERIALIZED (
+  SELECT m."YEAR", m.t, sum(m.m * n.m * -d.v) AS v
+  FROM moves m JOIN moves n ON n."YEAR" = m."YEAR" AND n.t = m.t
+  JOIN {swept} d ON d."YEAR" = m."YEAR" AND d.i = m.s AND d.j = n.s
+  GROUP BY m."YEAR", m.t
+),
 fit AS MATERIALIZED (
-  SELECT t."YEAR", t.term, f.baseline, f.df,
-    CASE WHEN p.k IS NOT NULL THEN b.v END AS estimate,
-    CASE WHEN p.k IS NOT NULL AND f.df > 0 THEN sqrt(greatest(-d.v, 0) * f.rss / f.df) END
-      AS std_error
+  SELECT t."YEAR", t.term, f.baseline, f.df, b.b AS estimate,
+    CASE WHEN f.df > 0 THEN sqrt(greatest(d.v, 0) * f.rss / f.df) END AS std_error
   FROM terms t JOIN fitted f ON f."YEAR" = t."YEAR" AND t.k < f.y
-  JOIN {swept} b ON b."YEAR" = t."YEAR" AND b.i = t.k AND b.j = f.y
-  JOIN {swept} d ON d."YEAR" = t."YEAR" AND d.i = t.k AND d.j = t.k
-  LEFT JOIN pivots p ON p."YEAR" = t."YEAR" AND p.k = t.k
+  LEFT JOIN moved b ON b."YEAR" = t."YEAR" AND b.t = t.k
+  LEFT JOIN spread d ON d."YEAR" = t."YEAR" AND d.t = t.k
 ),
 angle AS (
   SELECT *, estimate / nullif(std_error, 0) AS statistic,
@@ -444,7 +483,7 @@ tested AS (
         select = f"""SELECT shown AS term, {rounded}, term_rank
 FROM tested JOIN (VALUES ('Hispanic', 1), ('AIAN', 2), ('AAPI', 3), ('Black', 4), ('White', 5))
   r(shown, term_rank) ON term = 'race_eth' || shown"""
-    return ",".join([_lpm_sql(controls), full, *sweeps, fit]) + select
+    return ",".join([_lpm_sql(controls, shift=shift), full, *sweeps, fit]) + select
 
 
 _SES = ("age_bucket", '"SEX"', "hhinc_harmonized", '"EDUC"')
@@ -559,5 +598,6 @@ GROUP BY band, band_rank, "YEAR" HAVING count(*) >= 5""",
     "lpm_demo": _lpm_fit(("age_bucket", '"SEX"'), 11),
     "lpm_ses": _lpm_fit(_SES, 13),
     "lpm_ses_terms": _lpm_fit(_SES, 13, all_terms=True),
+    "lpm_shifted_control": _lpm_fit(("shifted_rent",), 8, all_terms=True, shift="1000000"),
     "lpm_sufficient_stats": _lpm_stats(),
 }

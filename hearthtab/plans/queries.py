@@ -93,6 +93,13 @@ def _lpm(variant: str, all_terms: bool = False) -> Query:
     return query
 
 
+def lpm_shifted_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model whose control has a mean far above its spread."""
+    frame = model_frame(spark, sf_dir).withColumn("shifted_rent", F.col("RENT") + 1_000_000)
+    results = lpm.run_lpm_by_year(frame, ["shifted_rent"])
+    return _rounded(results, 6, "estimate", "std_error", "statistic", "p_value")
+
+
 def lpm_sufficient_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross products of the SES model, income in whole hundreds to keep the sums exact."""
     hundreds = model_frame(spark, sf_dir).withColumn(
@@ -258,5 +265,6 @@ QUERIES: dict[str, Query] = {
     "lpm_demo": _lpm("demo"),
     "lpm_ses": _lpm("ses"),
     "lpm_ses_terms": _lpm("ses", all_terms=True),
+    "lpm_shifted_control": lpm_shifted_control,
     "lpm_sufficient_stats": lpm_sufficient_stats,
 }

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -121,6 +123,29 @@ def test_collinear_controls_are_null(frame):
     assert got[2000, "n_child"].std_error == pytest.approx(alone[2000, "n_child"].std_error)
 
 
+@pytest.mark.parametrize("mean", [1e3, 1e4, 1e5, 1e6, 1e8])
+def test_controls_with_a_large_mean(spark, mean):
+    rng = np.random.default_rng(5)
+    n = 4000
+    race, x, w = rng.integers(0, 3, n), rng.normal(0, 1, n), rng.integers(1, 9, n)
+    y = rng.random(n) < 0.2 + 0.1 * race / 2 + 0.02 * x
+    rows = [
+        (2000, ["White", "Black", "AIAN"][r], bool(b), float(k), 1, float(mean + v), "18-29")
+        for r, b, k, v in zip(race, y, w, x, strict=True)
+    ]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("again", 3 * F.col("x"))
+    got = results(lpm.run_lpm_by_year(frame, ["x", "again"]))
+    shifted = np.array([row[5] for row in rows]) - mean
+    design = np.column_stack([race == 2, race == 1, race == 0, shifted]).astype(float) * np.sqrt(w)[:, None]
+    beta = np.linalg.lstsq(design, y * np.sqrt(w), rcond=None)[0]
+    assert got[2000, "x"].estimate == pytest.approx(beta[3], rel=1e-6)
+    for name, value in zip(("AIAN", "Black", "White"), beta, strict=False):
+        assert got[2000, f"race_eth{name}"].estimate == pytest.approx(value - mean * beta[3], rel=1e-6)
+    assert got[2000, "again"].estimate is None
+    constant = frame.withColumn("x", F.lit(mean / 3))
+    assert results(lpm.run_lpm_by_year(constant, ["x"]))[2000, "x"].estimate is None
+
+
 def test_boolean_controls_are_categories(frame):
     flagged = frame.withColumn("flag", F.col("n_child") > 2)
     number = frame.withColumn("flag", (F.col("n_child") > 2).cast("int"))
@@ -174,6 +199,10 @@ def test_p_values(statistic, freedom, expected):
 
 def test_p_value_of_many_rows_is_normal():
     assert lpm.two_sided_p(1.959963985, 5e7) == pytest.approx(0.05, rel=1e-6)
+    for freedom in (1e10, 1e12):
+        for t in (0.5, 1.959963985, 4.0):
+            normal = math.erfc(t / math.sqrt(2))
+            assert lpm.two_sided_p(t, freedom) == pytest.approx(normal, rel=1e-9)
     assert lpm.two_sided_p(40.0, 5e7) == pytest.approx(0.0, abs=1e-300)
 
 
