@@ -444,7 +444,8 @@ spread AS MATERIALIZED (
 ),
 fit AS MATERIALIZED (
   SELECT t."YEAR", t.term, f.baseline, f.df, b.b AS estimate,
-    CASE WHEN f.df > 0 THEN sqrt(greatest(d.v, 0) * f.rss / f.df) END AS std_error
+    CASE WHEN f.df > 0 AND d.v IS NOT NULL THEN sqrt(greatest(d.v, 0) * f.rss / f.df) END
+      AS std_error
   FROM terms t JOIN fitted f ON f."YEAR" = t."YEAR" AND t.k < f.y
   LEFT JOIN moved b ON b."YEAR" = t."YEAR" AND b.t = t.k
   LEFT JOIN spread d ON d."YEAR" = t."YEAR" AND d.t = t.k
