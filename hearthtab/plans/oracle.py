@@ -487,6 +487,19 @@ FROM tested JOIN (VALUES ('Hispanic', 1), ('AIAN', 2), ('AAPI', 3), ('Black', 4)
     return ",".join([_lpm_sql(controls, shift=shift), full, *sweeps, fit]) + select
 
 
+def _csv(table: str, header: str, cells: dict[str, str], quote: str = "") -> str:
+    """The lines of a result file: plain decimals, TRUE and FALSE, text in ``quote`` signs."""
+    plain = "regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+    kinds = {
+        "number": plain,
+        "boolean": "upper(CAST({x} AS VARCHAR))",
+        "text": f"'{quote}' || {{x}} || '{quote}'",
+        "six": plain.replace("{x}", "round({x}, 6)"),
+    }
+    line = ", ".join(f"coalesce({kinds[k].format(x=x)}, 'NA')" for x, k in cells.items())
+    return f"SELECT '{header}' AS line UNION ALL SELECT concat_ws(',', {line}) FROM ({table})"
+
+
 _SES = ("age_bucket", '"SEX"', "hhinc_harmonized", '"EDUC"')
 _ROUNDTRIP = f"{_ON_PERSON} SELECT * FROM person"
 _MERGED_COLUMNS = ", ".join(
@@ -502,6 +515,21 @@ ORACLES: dict[str, str] = {
     "select_samples": f"""{_ON_PERSON} SELECT * FROM person
 WHERE "YEAR" IN (1960, 1970, 1980, 1990) OR "YEAR" BETWEEN 2000 AND 2023""",
     "write_read_roundtrip": _ROUNDTRIP,
+    "published_csv_roundtrip": f"{_ON_CODED} " + _csv(
+        f"""SELECT "YEAR", {_COUNTS.format(w='"PERWT"')},
+  sum("PERWT" * "NUMPREC") / sum("PERWT") AS weighted_mean
+FROM coded WHERE {_HH_POPULATION} GROUP BY "YEAR" """,
+        "YEAR,weighted_count,count,weighted_mean",
+        {'"YEAR"': "number", "weighted_count": "number", "count": "number", "weighted_mean": "six"},
+    ),
+    "published_csv_quoted_roundtrip": _csv(
+        f"{_ON_CODED},"
+        + _share("race_eth", "c.is_multifam AND c.race_eth IN ('White', 'Black', 'Hispanic')"),
+        '"is_multifam","YEAR","race_eth","weighted_count","count","percent"',
+        {"is_multifam": "boolean", '"YEAR"': "number", "race_eth": "text",
+         "weighted_count": "number", "count": "number", "percent": "six"},
+        quote='"',
+    ),
     "ingest_fixed_width": _ROUNDTRIP,
     "recode_family_count": _recode("n_multifam"),
     "recode_is_multifam": _recode("is_multifam"),

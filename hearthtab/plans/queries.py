@@ -148,6 +148,18 @@ def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.create_or_replace_table(person, new_location(spark, "person"))
 
 
+def _csv_roundtrip(source: Query, order_by: tuple[str, ...], measure: str, quote: bool) -> Query:
+    """The lines of a result file, header included, after writing it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_location(spark, "result")
+        # To six digits, as sums of floating point numbers depend on their order.
+        tables.write_result_csv(_rounded(source(spark, sf_dir), 6, measure), path, order_by, quote)
+        return spark.read.text(path).withColumnRenamed("value", "line")
+
+    return query
+
+
 def ingest_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the persons as a gzip extract and read them back by its codebook."""
     path = new_location(spark, "extract")
@@ -164,6 +176,12 @@ def rent_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "select_samples": _of(fixture.person, tables.select_samples),
     "write_read_roundtrip": write_read_roundtrip,
+    "published_csv_roundtrip": _csv_roundtrip(
+        _of(numbered_person, published.hhsize_by_year), ("YEAR",), "weighted_mean", quote=False
+    ),
+    "published_csv_quoted_roundtrip": _csv_roundtrip(
+        _of(flat_person, published.multifam_share_by_race), ("YEAR", "race_eth"), "percent", quote=True
+    ),
     "ingest_fixed_width": ingest_fixed_width,
     "recode_family_count": _recoded("n_multifam"),
     "recode_is_multifam": _recoded("is_multifam"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,27 +60,76 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def _plain_number(column: Column, kind: T.DataType) -> Column:
+    """A number as plain decimal digits, as short as the value allows; never with an exponent."""
+    text = column.cast("string")
+    if not isinstance(kind, T.DoubleType | T.FloatType):
+        return text
+    exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    whole = F.regexp_extract(text, r"^-?([0-9]+)", 1)
+    # A fraction of zero alone is a whole number.
+    part = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)", 1), "^0$", "")
+    digits = F.concat(whole, part)
+    point = F.length(whole) + exponent
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+        .otherwise(
+            F.concat(
+                F.substring(digits, F.lit(1), point),
+                F.lit("."),
+                F.substring(digits, point + 1, F.length(digits)),
+            )
+        )
+    )
+    finite = text.rlike("^-?[0-9]")
+    return F.when(~finite, F.lit("NA")).otherwise(F.concat(sign, moved))
+
+
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def csv_lines(table: DataFrame, quote: bool = False) -> DataFrame:
+    """One text column: each row as a CSV line with TRUE, FALSE and NA.
+
+    Text is quoted always with ``quote``, otherwise only where it holds a comma, a quote or a
+    line break.
+    """
+    cells = []
+    for field in table.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.BooleanType):
+            text = F.upper(column.cast("string"))
+        elif isinstance(field.dataType, T.NumericType):
+            text = _plain_number(column, field.dataType)
+        else:
+            plain = column.cast("string")
+            text = _quoted(plain)
+            if not quote:
+                text = F.when(plain.rlike('[,"\r\n]'), text).otherwise(plain)
+        cells.append(F.coalesce(text, F.lit("NA")))
+    return table.select(F.concat_ws(",", *cells).alias("value"))
+
+
+def csv_header(table: DataFrame, quote: bool = False) -> str:
+    names = [name.replace('"', '""') for name in table.columns]
+    return ",".join(
+        f'"{name}"' if quote or any(c in name for c in ',"\r\n') else name for name in names
+    )
+
+
 def write_result_csv(
     table: DataFrame, path: str, order_by: Sequence[str], quote_header: bool = False
 ) -> None:
-    """Write a final table as one CSV file with TRUE, FALSE and NA.
+    """Write a final table as one CSV file with TRUE, FALSE and NA and plain decimals.
 
     For published tables only: a row per combination of category codes. With
-    ``quote_header`` text and the header are quoted.
+    ``quote_header`` text and the header are quoted. Rows stand in the order of ``order_by``.
     """
-    booleans = [f.name for f in table.schema.fields if isinstance(f.dataType, T.BooleanType)]
-    text = table.withColumns({name: F.upper(F.col(name).cast("string")) for name in booleans})
-    columns = [f'"{name}"' if quote_header else name for name in text.columns]
-    writer = (
-        text.repartition(1)
-        .sortWithinPartitions(*order_by)
-        .toDF(*columns)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("nullValue", "NA")
-        .option("emptyValue", "")
-    )
-    if quote_header:
-        # The quotes are already part of the names.
-        writer = writer.option("quote", "\u0000")
-    writer.csv(path)
+    ordered = table.repartition(1).sortWithinPartitions(*order_by)
+    lines = csv_lines(ordered, quote_header)
+    header = table.sparkSession.createDataFrame([(csv_header(table, quote_header),)], "value string")
+    # One partition each, and one file: the header's partition comes first.
+    header.repartition(1).union(lines).coalesce(1).write.mode("overwrite").text(path)

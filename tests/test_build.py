@@ -35,7 +35,7 @@ def test_published_csvs(spark, small, tables, tmp_path):
     build.write_published(results, str(tmp_path))
     headers = {}
     for name, table in results.items():
-        (part,) = (tmp_path / name).glob("part-*.csv")
+        (part,) = (tmp_path / name).glob("part-*")
         lines = part.read_text().splitlines()
         headers[name] = lines[0]
         assert len(lines) == table.count() + 1

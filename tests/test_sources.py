@@ -116,7 +116,7 @@ def test_table_is_replaced_and_pruned(spark, small, tmp_path):
 
 
 def read_csv(path):
-    (part,) = path.glob("part-*.csv")
+    (part,) = path.glob("part-*")
     return part.read_text()
 
 
@@ -125,14 +125,14 @@ def test_result_csv(spark, tmp_path):
     table = spark.createDataFrame(rows, "is_multifam boolean, YEAR int, race_eth string, x double")
     tables.write_result_csv(table, str(tmp_path / "plain"), ["YEAR"])
     assert read_csv(tmp_path / "plain") == (
-        "is_multifam,YEAR,race_eth,x\nFALSE,1960,a b,2.0\nTRUE,2023,NA,1.5\n"
+        "is_multifam,YEAR,race_eth,x\nFALSE,1960,a b,2\nTRUE,2023,NA,1.5\n"
     )
 
 
 def test_result_csv_with_quoted_header(spark, tmp_path):
     table = spark.createDataFrame([(2, 2023, 1.5), (3, None, 2.0)], "n int, YEAR int, w double")
     tables.write_result_csv(table, str(tmp_path / "quoted"), ["n"], quote_header=True)
-    assert read_csv(tmp_path / "quoted") == '"n","YEAR","w"\n2,2023,1.5\n3,NA,2.0\n'
+    assert read_csv(tmp_path / "quoted") == '"n","YEAR","w"\n2,2023,1.5\n3,NA,2\n'
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -150,3 +150,34 @@ def test_no_temporary_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace.shared_folder(FakeSession(**{"spark.master": "yarn"}))
     assert workspace.shared_folder(FakeSession(**{"spark.master": "local[2]"}))
+
+
+def test_csv_lines(spark):
+    rows = [
+        (102611684.7999898, "a,b", True, 1),
+        (1e-7, 'q"x', None, 2),
+        (-1.5e22, None, False, 3),
+        (0.1, "x", True, None),
+        (5.0, "y", True, 7),
+        (float("nan"), "n", True, 9),
+    ]
+    table = spark.createDataFrame(rows, "d double, t string, b boolean, i int")
+    assert [r[0] for r in tables.csv_lines(table.coalesce(1)).collect()] == [
+        '102611684.7999898,"a,b",TRUE,1',
+        '0.0000001,"q""x",NA,2',
+        "-15000000000000000000000,NA,FALSE,3",
+        "0.1,x,TRUE,NA",
+        "5,y,TRUE,7",
+        "NA,n,TRUE,9",
+    ]
+    quoted = [r[0] for r in tables.csv_lines(table.coalesce(1), quote=True).collect()]
+    assert quoted[3] == '0.1,"x",TRUE,NA' and quoted[2].split(",")[1] == "NA"
+    assert tables.csv_header(table, quote=True) == '"d","t","b","i"'
+
+
+def test_csv_file_has_no_nul_and_keeps_the_order(spark, tmp_path):
+    table = spark.createDataFrame([(k, f"text {k}, more") for k in range(50, 0, -1)], "k int, t string")
+    tables.write_result_csv(table, str(tmp_path / "out"), ["k"], quote_header=True)
+    (part,) = (tmp_path / "out").glob("part-*")
+    lines = part.read_bytes().decode().splitlines()
+    assert lines == ['"k","t"', *[f'{k},"text {k}, more"' for k in range(1, 51)]]
