@@ -70,13 +70,17 @@ def harmonized_income(inctot: Column, bottom: Column, top: Column, factor: Colum
 def add_harmonized_income(df: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
     """Add ``inctot_harmonized``.
 
-    The parameter table has one row per survey year, so the broadcast does not
-    grow with the data.
+    The built-in parameters have one row per survey year and are broadcast. A table given
+    by the caller is joined as Spark sees fit, after a check that no year is repeated.
     """
     if parameters is None:
-        parameters = income_parameters(df.sparkSession)
+        parameters = F.broadcast(income_parameters(df.sparkSession))
+    else:
+        repeated = parameters.groupBy("YEAR").agg(F.count("*").alias("n")).where("n > 1")
+        if not repeated.isEmpty():
+            raise ValueError("the income parameters have a repeated year")
     columns = df.columns
-    joined = df.join(F.broadcast(parameters), "YEAR", "left")
+    joined = df.join(parameters, "YEAR", "left")
     income = harmonized_income(
         F.col("INCTOT"), F.col("income_bottom"), F.col("income_top"), F.col("income_factor")
     )

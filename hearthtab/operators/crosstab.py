@@ -7,8 +7,10 @@ tasks first, so a group holding most of the data costs no more than any other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,14 +49,21 @@ def with_percent(
 ) -> DataFrame:
     """Add each cell's share of its ``percent_group_by`` total, in percent.
 
-    The window runs over finished cells, one row per combination of category
-    codes, never over the underlying rows.
+    Totals are aggregated with partial sums and joined back NULL-safely, so that no task
+    needs all cells of a group, however fine the cells are.
     """
-    total = F.sum(count_col).over(Window.partitionBy(*percent_group_by))
-    return counts.withColumn(
-        "percent",
-        F.try_divide(F.lit(100.0) * F.col(count_col).cast("double"), total.cast("double")),
-    )
+    groups = list(percent_group_by)
+    totals = counts.groupBy(*groups).agg(F.sum(count_col).alias("_total"))
+    names = [f"_of_{k}" for k in range(len(groups))]
+    renamed = totals.toDF(*names, "_total")
+    if groups:
+        same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names, strict=True)]
+        joined = counts.join(renamed, reduce(and_, same))
+    else:
+        # One row.
+        joined = counts.join(F.broadcast(renamed))
+    share = F.try_divide(F.lit(100.0) * F.col(count_col).cast("double"), F.col("_total").cast("double"))
+    return joined.select(*counts.columns, share.alias("percent"))
 
 
 def crosstab_percent(

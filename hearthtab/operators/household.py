@@ -24,6 +24,8 @@ RELATIONSHIP_CODES = {
     "n_non_rel": (11, 12),
 }
 
+INCOME_COLUMN = "hhinc_harmonized"
+
 # Same for everyone in a household; taken from its first person.
 HOUSEHOLD_CONSTANTS = ("NUMPREC", "room", "bedroom", "GQ", "HHWT")
 
@@ -44,16 +46,23 @@ HOUSEHOLD_COLUMNS = {
 }
 
 
-def _household_columns(suffix: dict[str, str] | None = None) -> list[Column]:
+def _household_columns(
+    person: DataFrame, suffix: dict[str, str] | None = None
+) -> list[Column]:
     names = suffix or {}
     return [
-        F.expr(f"{text} AS {names.get(name, name)}") for name, text in HOUSEHOLD_COLUMNS.items()
+        F.expr(f"{text} AS {names.get(name, name)}")
+        for name, text in HOUSEHOLD_COLUMNS.items()
+        if name != INCOME_COLUMN or "inctot_harmonized" in person.columns
     ]
 
 
 def household_rollup(person: DataFrame) -> DataFrame:
-    """One row per household from recoded persons with harmonized income."""
-    return person.groupBy(*HOUSEHOLD_KEY).agg(*_household_columns())
+    """One row per household from recoded persons.
+
+    Household income is summed if the persons have harmonized income.
+    """
+    return person.groupBy(*HOUSEHOLD_KEY).agg(*_household_columns(person))
 
 
 def join_household(
@@ -84,5 +93,5 @@ def reference_persons(person: DataFrame) -> DataFrame:
         F.expr(f"max(CASE WHEN PERNUM = 1 THEN {name} END) AS {name}") for name in own
     ]
     shared = {name: f"{name}_hh" for name in HOUSEHOLD_COLUMNS if name in own}
-    rolled = person.groupBy(*HOUSEHOLD_KEY).agg(*first, *_household_columns(shared))
+    rolled = person.groupBy(*HOUSEHOLD_KEY).agg(*first, *_household_columns(person, shared))
     return rolled.where("PERNUM = 1")

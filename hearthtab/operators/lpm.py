@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthtab.sources.shipping import ship_package
+
 RACE = "race_eth"
 WEIGHT = "PERWT"
 ROWS_TERM = "(rows)"
@@ -179,6 +181,7 @@ def run_lpm_by_year(
     data: DataFrame, controls: Sequence[str] = (), outcome: str = "is_multifam"
 ) -> DataFrame:
     """Weighted least squares of ``outcome`` on all races and ``controls`` per year."""
+    ship_package(data.sparkSession)
     categories, numbers = _split_controls(data, controls)
     prepared = _prepared(data, categories, numbers, outcome)
     if not numbers:

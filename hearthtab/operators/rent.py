@@ -99,7 +99,7 @@ def rent_bands(data: DataFrame) -> DataFrame:
 
 
 def rent_burden_histogram(data: DataFrame, months: int = 13) -> DataFrame:
-    """Counts of rent burden in right-closed bins of 0.05.
+    """Counts of rent burden in right-closed bins of 0.05, empty bins included.
 
     The published histogram multiplies the monthly rent by 13.
     """
@@ -107,14 +107,16 @@ def rent_burden_histogram(data: DataFrame, months: int = 13) -> DataFrame:
     rank = bands.band_rank(
         "rent_burden", bands.BURDEN_BREAKS, right=True, tolerance=HISTOGRAM_TOLERANCE
     )
-    return (
-        burden.withColumn("band_rank", rank)
-        .groupBy("band_rank")
-        .agg(F.count("*").alias("n"))
-        .withColumn(
-            "band",
-            F.format_string("%.2f–%.2f", (F.col("band_rank") - 1) / 20, F.col("band_rank") / 20),
-        )
+    found = burden.groupBy(rank.alias("band_rank")).agg(F.count("*").alias("n"))
+    bins = data.sparkSession.range(1, len(bands.BURDEN_LABELS) + 1).select(
+        F.col("id").cast("int").alias("band_rank")
+    )
+    return bins.join(found, "band_rank", "left").select(
+        "band_rank",
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        F.format_string("%.2f–%.2f", (F.col("band_rank") - 1) / 20, F.col("band_rank") / 20).alias(
+            "band"
+        ),
     )
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from hearthtab.functions.bands import BURDEN_LABELS, RENT_LABELS
-from hearthtab.functions.income import INCOME_PARAMETERS
-
 _PERSON = """
 lines AS (
   SELECT l.*, o.o_orderkey, o.o_custkey,
@@ -46,13 +43,43 @@ person AS (
   FROM lines
 )"""
 
-_PARAMETERS = ", ".join(
-    f"({year}, {bottom}, {top}, CAST('{factor}' AS DECIMAL(6,3)))"
-    for year, bottom, top, factor in INCOME_PARAMETERS
-)
+# Year, nominal bottom code, nominal top code, factor to 2023 dollars.
+_PARAMETERS = """
+  (1960, -1911, 23886, 10.466),
+  (1970, -2409, 30121, 8.300),
+  (1980, -4766, 59586, 4.196),
+  (1990, -8139, 101749, 2.457),
+  (2000, -11312, 141417, 1.768),
+  (2001, -11625, 145324, 1.720),
+  (2002, -11813, 147678, 1.693),
+  (2003, -12087, 151105, 1.654),
+  (2004, -12402, 155045, 1.612),
+  (2005, -12824, 160317, 1.559),
+  (2006, -13243, 165557, 1.510),
+  (2007, -13606, 170087, 1.470),
+  (2008, -14133, 176680, 1.415),
+  (2009, -14078, 175997, 1.420),
+  (2010, -14318, 178992, 1.397),
+  (2011, -14762, 184548, 1.355),
+  (2012, -15067, 188361, 1.327),
+  (2013, -15299, 191259, 1.307),
+  (2014, -15538, 194247, 1.287),
+  (2015, -15560, 194523, 1.285),
+  (2016, -15762, 197046, 1.269),
+  (2017, -16110, 201399, 1.241),
+  (2018, -16499, 206259, 1.212),
+  (2019, -16777, 209739, 1.192),
+  (2020, -16986, 212345, 1.177),
+  (2021, -17787, 222358, 1.124),
+  (2022, -19225, 240334, 1.040),
+  (2023, -19998, 250000, 1.000)
+"""
 
 _CODED = f"""
-income_years(y, lowest, highest, factor) AS (VALUES {_PARAMETERS}),
+income_years AS (
+  SELECT y, lowest, highest, CAST(factor AS DECIMAL(6,3)) AS factor
+  FROM (VALUES {_PARAMETERS}) v(y, lowest, highest, factor)
+),
 step1 AS (
   SELECT p.*,
     CASE WHEN "NFAMS" < 0 THEN NULL WHEN "NFAMS" < 5 THEN "NFAMS" WHEN "NFAMS" >= 5 THEN 5 END
@@ -128,11 +155,12 @@ renter AS (
 )"""
 
 _BURDEN_BANDS = ", ".join(
-    f"({i + 1}, CAST('{i * 0.05!r}' AS DOUBLE), CAST('{(i + 1) * 0.05!r}' AS DOUBLE), '{label}')"
-    for i, label in enumerate(BURDEN_LABELS)
+    f"({i + 1}, CAST('{i * 0.05!r}' AS DOUBLE), CAST('{(i + 1) * 0.05!r}' AS DOUBLE), "
+    f"'{5 * i}–{5 * i + 4}.9')"
+    for i in range(40)
 )
 _RENT_BANDS = ", ".join(
-    f"({i + 1}, {200 * i}, {200 * (i + 1)}, '{label}')" for i, label in enumerate(RENT_LABELS)
+    f"({i + 1}, {200 * i}, {200 * (i + 1)}, '${200 * i}–${200 * (i + 1)}')" for i in range(20)
 )
 _BANDS = f"""
 burden_band(band_rank, lo, hi, band) AS (VALUES {_BURDEN_BANDS}),
@@ -605,10 +633,11 @@ bin AS (
     lag(hi + 0.000000005::DOUBLE) OVER (ORDER BY band_rank) AS lo
   FROM burden_band
 )
-SELECT band_rank, count(*) AS n,
+SELECT band_rank, count("SERIAL") AS n,
   printf('%.2f–%.2f', (band_rank - 1) / 20.0::DOUBLE, band_rank / 20.0::DOUBLE) AS band
-FROM renter JOIN bin ON rent_burden_13 <= hi AND (lo IS NULL OR rent_burden_13 > lo)
-WHERE rent_burden_13 > 0 AND rent_burden_13 < 2 GROUP BY band_rank""",
+FROM bin LEFT JOIN (SELECT * FROM renter WHERE rent_burden_13 > 0 AND rent_burden_13 < 2) r
+  ON rent_burden_13 <= hi AND (lo IS NULL OR rent_burden_13 > lo)
+GROUP BY band_rank""",
     "rent_burden_by_city": _rent_table("city", '"YEAR" = 2023'),
     "rent_burden_by_city_all_years": _rent_table("city", "TRUE"),
     "rent_burden_one_city": _rent_table("city", "TRUE", 'c."CITY" = 5350'),

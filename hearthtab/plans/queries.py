@@ -12,6 +12,7 @@ from hearthtab.functions.recode import capped, recode_person
 from hearthtab.operators import components, lpm, rent
 from hearthtab.operators.crosstab import crosstab_count, crosstab_mean, crosstab_percent
 from hearthtab.operators.household import (
+    HOUSEHOLD_COLUMNS,
     HOUSEHOLD_CONSTANTS,
     HOUSEHOLD_KEY,
     PERSON_KEY,
@@ -44,10 +45,24 @@ def numbered_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_harmonized_income(recode_person(fixture.person(spark, sf_dir)))
 
 
+def recoded_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recoded persons with their place in the household, without income."""
+    return recode_person(fixture.person(spark, sf_dir))
+
+
 def household(spark: SparkSession, sf_dir: str) -> DataFrame:
     return household_rollup(numbered_person(spark, sf_dir))
 
 
+def household_without_income(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return household_rollup(recoded_person(spark, sf_dir))
+
+
+def first_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Working-age reference persons with their own columns only: no rollup is needed."""
+    return recode_person(rent.model_population(fixture.person(spark, sf_dir)))
+
+
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Working-age reference persons with household columns."""
     first = reference_persons(numbered_person(spark, sf_dir))
@@ -63,7 +78,7 @@ def with_household(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _recoded(*columns: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return numbered_person(spark, sf_dir).select(*PERSON_KEY, *columns)
+        return recoded_person(spark, sf_dir).select(*PERSON_KEY, *columns)
 
     return query
 
@@ -86,7 +101,10 @@ def _household_size_counts(person: DataFrame) -> DataFrame:
 
 def _lpm(variant: str, all_terms: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        results = lpm.run_lpm_by_year(model_frame(spark, sf_dir), lpm.MODEL_CONTROLS[variant])
+        controls = lpm.MODEL_CONTROLS[variant]
+        # Only some controls are columns of the household.
+        frame = model_frame if set(controls) & set(HOUSEHOLD_COLUMNS) else first_persons
+        results = lpm.run_lpm_by_year(frame(spark, sf_dir), controls)
         shown = results if all_terms else lpm.filter_by_race(results)
         return _rounded(shown, 6, "estimate", "std_error", "statistic", "p_value")
 
@@ -177,7 +195,7 @@ QUERIES: dict[str, Query] = {
     "select_samples": _of(fixture.person, tables.select_samples),
     "write_read_roundtrip": write_read_roundtrip,
     "published_csv_roundtrip": _csv_roundtrip(
-        _of(numbered_person, published.hhsize_by_year), ("YEAR",), "weighted_mean", quote=False
+        _of(recoded_person, published.hhsize_by_year), ("YEAR",), "weighted_mean", quote=False
     ),
     "published_csv_quoted_roundtrip": _csv_roundtrip(
         _of(flat_person, published.multifam_share_by_race), ("YEAR", "race_eth"), "percent", quote=True
@@ -199,7 +217,7 @@ QUERIES: dict[str, Query] = {
     "household_rollup": household,
     "person_with_household": person_with_household,
     "row_count_checks": row_count_checks,
-    "crosstab_count": _of(numbered_person, _household_size_counts),
+    "crosstab_count": _of(recoded_person, _household_size_counts),
     "crosstab_mean": _of(
         flat_person, lambda person: crosstab_mean(person, "AGE", "PERWT", ["YEAR", "race_eth"])
     ),
@@ -209,23 +227,23 @@ QUERIES: dict[str, Query] = {
             person, "PERWT", ["n_multifam", "race_eth", "age_bucket"], ["race_eth", "age_bucket"]
         ),
     ),
-    "hhsize_by_year": _of(numbered_person, published.hhsize_by_year),
+    "hhsize_by_year": _of(recoded_person, published.hhsize_by_year),
     "multifam_share_by_year": _of(flat_person, published.multifam_share_by_year),
     "multifam_share_by_race": _of(flat_person, published.multifam_share_by_race),
     "multifam_share_by_age": _of(flat_person, published.multifam_share_by_age),
     "multifam_share_tables": _of(flat_person, published.multifam_share_tables),
     "gq_share_by_race": _of(flat_person, published.gq_share_by_race),
-    "multifam_hh_count": _of(household, published.multifam_hh_count),
-    "multifam_hh_percent": _of(household, published.multifam_hh_percent),
+    "multifam_hh_count": _of(household_without_income, published.multifam_hh_count),
+    "multifam_hh_percent": _of(household_without_income, published.multifam_hh_percent),
     "hh_component_mean": _of(
-        household, lambda table: components.get_component_mean(table, "n_child")
+        household_without_income, lambda table: components.get_component_mean(table, "n_child")
     ),
-    "hh_components": _of(household, components.hh_components),
+    "hh_components": _of(household_without_income, components.hh_components),
     "hh_components_long": _of(
-        household, lambda table: components.hh_components_long(components.hh_components(table))
+        household_without_income, lambda table: components.hh_components_long(components.hh_components(table))
     ),
     "hh_components_normalized": _of(
-        household,
+        household_without_income,
         lambda table: _rounded(
             components.normalize_to_year(components.hh_components(table)),
             9,
@@ -233,7 +251,7 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "hh_components_normalized_long": _of(
-        household,
+        household_without_income,
         lambda table: _rounded(
             components.hh_components_normalized_long(
                 components.normalize_to_year(components.hh_components(table))

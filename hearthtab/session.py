@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from hearthtab.sources.shipping import ship_package
+
 
 def build_session(
     app_name: str = "hearthtab",
@@ -11,7 +13,7 @@ def build_session(
     shuffle_partitions: int | None = None,
     **conf: str,
 ) -> SparkSession:
-    """Session with adaptive execution on.
+    """Session with adaptive execution on, and this package on its executors.
 
     ``shuffle_partitions`` is the number of partitions before adaptive execution
     merges small ones: leave it at two to three times the cluster's cores and
@@ -35,4 +37,6 @@ def build_session(
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session

@@ -53,3 +53,13 @@ def test_divisions_by_zero_are_null(spark):
     ).collect()
     assert tuple(got[0]) == (None, None, None)
     assert tuple(got[1]) == (300.0, 0.5, 7800 / 14400)
+
+
+def test_histogram_keeps_empty_bins(spark):
+    frame = spark.createDataFrame(
+        [(2, 1000, 60_000.0), (2, 1000, 61_000.0)], "OWNERSHP int, RENT int, hhinc_harmonized double"
+    )
+    rows = rent.rent_burden_histogram(frame).orderBy("band_rank").collect()
+    assert len(rows) == 40 and sum(r.n for r in rows) == 2
+    assert [r.band for r in rows if r.n] == ["0.20–0.25"]
+    assert {r.n for r in rows if r.band != "0.20–0.25"} == {0}
