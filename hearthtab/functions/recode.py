@@ -81,16 +81,26 @@ def household_population(df: DataFrame) -> DataFrame:
     return df.where(F.col("GQ").isin(*HOUSEHOLD_GQ))
 
 
-def recode_person(df: DataFrame) -> DataFrame:
+def recode_person(df: DataFrame, allow_missing: bool = False) -> DataFrame:
     """Add the derived person columns, except income, that are not there yet.
 
-    Columns whose inputs the extract lacks are left out. A rule may use columns
-    derived before it.
+    Inputs are found whatever their case and get the variable's own spelling. A missing input is an
+    error; with ``allow_missing`` the columns that need it are left out. A rule may use
+    columns derived before it.
     """
+    derived = {name for name, _, _ in PERSON_RECODES}
+    inputs = {i for _, names, _ in PERSON_RECODES for i in names} - derived
+    spelled = {
+        c: c.upper() for c in df.columns if c != c.upper() and c.upper() in inputs - set(df.columns)
+    }
+    df = df.withColumnsRenamed(spelled)
     present = set(df.columns)
+    missing = sorted(inputs - present)
+    if missing and not allow_missing:
+        raise ValueError(f"the extract has no {', '.join(missing)}")
     added = [
         f"{rule} AS {name}"
-        for name, inputs, rule in PERSON_RECODES
-        if name not in present and set(inputs) <= present
+        for name, names, rule in PERSON_RECODES
+        if name not in present and set(names) <= present
     ]
     return df.selectExpr("*", *added)

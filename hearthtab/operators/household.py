@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthtab.operators.skew import HeavyKeys, find_heavy, salted_join
+from hearthtab.operators.skew import HeavyKeys, salted_join
 
 # The number first: it sorts faster than the year, which has few values.
 HOUSEHOLD_KEY = ("SERIAL", "YEAR")
@@ -65,15 +65,11 @@ def household_rollup(person: DataFrame) -> DataFrame:
     return person.groupBy(*HOUSEHOLD_KEY).agg(*_household_columns(person))
 
 
-def join_household(
-    person: DataFrame, household: DataFrame, heavy: HeavyKeys | None = None
-) -> DataFrame:
+def join_household(person: DataFrame, household: DataFrame, heavy: HeavyKeys) -> DataFrame:
     """Persons with their household's columns; shared names get ``_hh``.
 
-    ``heavy`` names households too large for one task; it is looked up if not given.
+    ``heavy`` names households too large for one task; look them up once on a stored table.
     """
-    if heavy is None:
-        heavy = find_heavy(person, HOUSEHOLD_KEY)
     shared = [c for c in household.columns if c in person.columns and c not in HOUSEHOLD_KEY]
     renamed = household.withColumnsRenamed({name: f"{name}_hh" for name in shared})
     return salted_join(person, renamed, HOUSEHOLD_KEY, ["PERNUM"], heavy)

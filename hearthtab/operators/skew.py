@@ -1,10 +1,9 @@
 """Spreading keys that hold a large part of all rows over many tasks.
 
-A key is *heavy* when it has more rows than an even share of ``parts`` tasks and
-more than ``floor`` rows, below which one task is always enough. Fewer than
-``parts`` keys can each exceed one ``parts``-th of the rows, so the heavy keys fit
-on the driver and in a broadcast whatever the size of the data. Usually there are
-none, and the plan stays a plain join or window.
+A key is *heavy* when it has more than ``rows_per_task`` rows, an absolute number that
+does not grow with the data. Heavy keys are found once per table and kept as a small table,
+which Spark joins as it sees fit: broadcast if it is small, shuffled otherwise. Usually there
+are none, and the plan stays a plain join or window.
 """
 
 from __future__ import annotations
@@ -12,51 +11,49 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hearthtab.sources.workspace import new_location
 
 
 @dataclass(frozen=True)
 class SkewLimits:
-    """``parts``: even shares to aim at; ``floor``: rows one task always takes."""
+    """``rows_per_task``: rows of one key that a task takes, whatever the size of the table."""
 
-    parts: int = 1000
-    floor: int = 1_000_000
+    rows_per_task: int = 1_000_000
 
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Heavy keys with their row counts, and the rows one task should take."""
+    """A table of heavy keys with their ``rows``, or None, and the rows a task takes."""
 
-    keys: list[Row]
-    share: int
+    table: DataFrame | None
+    rows_per_task: int
 
 
 DEFAULT_LIMITS = SkewLimits()
+NONE_HEAVY = HeavyKeys(None, DEFAULT_LIMITS.rows_per_task)
 
-# Split points drawn per even share, and split points per search block.
-_SPLITS_PER_SHARE = 4
-_SEARCH_BLOCK = 32
+_PARTITION_BITS = 33
 
 
 def find_heavy(
     rows: DataFrame, keys: Sequence[str], limits: SkewLimits = DEFAULT_LIMITS
 ) -> HeavyKeys:
-    """Count rows per key, reading the key columns only, and return the heavy keys."""
-    total = rows.count()
-    share = max(limits.floor, -(-total // limits.parts))
-    if total <= share:
-        return HeavyKeys([], share)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    return HeavyKeys(sizes.where(F.col("rows") > share).collect(), share)
-
+    """Count rows per key, reading the key columns only, and keep the heavy keys as a table.
 
-def _key_table(rows: DataFrame, keys: Sequence[str], heavy: HeavyKeys) -> DataFrame:
-    """Heavy keys with ``salts``, the number of tasks each should be spread over."""
-    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("salts", T.IntegerType())])
-    data = [(*[row[k] for k in keys], -(-row["rows"] // heavy.share)) for row in heavy.keys]
-    return rows.sparkSession.createDataFrame(data, schema)
+    Run it once on a stored table and pass the result on. Rows are combined per task before they
+    are shuffled; a table smaller than the limit is not counted by key.
+    """
+    limit = limits.rows_per_task
+    if rows.count() <= limit:
+        return HeavyKeys(None, limit)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
+    path = new_location(rows.sparkSession, "heavy-keys")
+    sizes.write.parquet(path)
+    found = rows.sparkSession.read.schema(sizes.schema).parquet(path)
+    return HeavyKeys(None if found.isEmpty() else found, limit)
 
 
 def salted_join(
@@ -65,76 +62,25 @@ def salted_join(
     keys: Sequence[str],
     spread_by: Sequence[str],
     heavy: HeavyKeys,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of ``rows`` to one ``attributes`` row per key.
+    """Join of ``rows`` to one ``attributes`` row per key.
 
     Rows of heavy keys are dealt over salts by a hash of ``spread_by`` and their
     attribute row is repeated once per salt; all other keys use salt 0.
     """
     keys = list(keys)
-    if not heavy.keys:
-        return rows.join(attributes, keys, "left")
-    table = F.broadcast(_key_table(rows, keys, heavy))
+    if heavy.table is None:
+        return rows.join(attributes, keys, how)
+    table = heavy.table.select(
+        *keys, F.ceil(F.col("rows") / heavy.rows_per_task).cast("int").alias("salts")
+    )
     dealt = F.pmod(F.xxhash64(*spread_by), F.col("salts").cast("bigint")).cast("int")
     left = rows.join(table, keys, "left").withColumn("salt", F.coalesce(dealt, F.lit(0)))
     right = attributes.join(table, keys, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
     )
-    return left.drop("salts").join(right.drop("salts"), [*keys, "salt"], "left").drop("salt")
-
-
-def _split_points(
-    heavy_rows: DataFrame, keys: list[str], position: Column, row_id: Sequence[str], share: int
-) -> DataFrame:
-    """Split points of every heavy key, as sorted blocks.
-
-    The points are a hash sample at a rate of a few per even share, so their
-    number depends on ``parts`` and not on the data. A fixed hash of the row's
-    place in its file makes the sample the same in every use and every retry.
-    """
-    rate = max(1, share // _SPLITS_PER_SHARE)
-    last_block = F.floor((F.size("points") - 1) / F.lit(_SEARCH_BLOCK)).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), last_block),
-        lambda i: F.slice("points", i * _SEARCH_BLOCK + 1, _SEARCH_BLOCK),
-    )
-    return (
-        heavy_rows.where(F.pmod(F.xxhash64(*row_id), F.lit(rate)) == 0)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(position)).alias("points"))
-        .select(*keys, blocks.alias("blocks"), (F.size("points") + 1).alias("leaves"))
-        .withColumn("heads", F.transform("blocks", lambda block: F.get(block, F.lit(0))))
-    )
-
-
-def _with_leaf(
-    rows: DataFrame, splits: DataFrame, keys: list[str], position: Column, how: str
-) -> DataFrame:
-    """Add ``leaf``, the number of the key's split points at or before the row's position.
-
-    The search takes two steps, block and point within the block, on a position built
-    once per row. The leaf is never NULL, so that joins on it add no NULL check that
-    would repeat the search.
-    """
-    blocks_before = F.size(F.filter("heads", lambda head: head <= F.col("position")))
-    block = F.get(F.col("blocks"), F.col("block") - 1)
-    within = F.size(F.filter(block, lambda point: point <= F.col("position")))
-    leaf = F.when(F.col("block") > 0, (F.col("block") - 1) * _SEARCH_BLOCK + within)
-    return (
-        rows.join(splits, keys, how)
-        .withColumn("position", position)
-        .withColumn("block", blocks_before)
-        .withColumn("leaf", F.coalesce(leaf, F.lit(0)).cast("int"))
-    )
-
-
-@dataclass(frozen=True)
-class NumberedRows:
-    """Rows with their numbers, the columns they are laid out by, and the leaves."""
-
-    rows: DataFrame
-    layout: list[str]
-    leaves: DataFrame | None = None
+    return left.drop("salts").join(right.drop("salts"), [*keys, "salt"], how).drop("salt")
 
 
 def number_rows(
@@ -145,76 +91,58 @@ def number_rows(
     number_col: str,
     size_col: str,
     heavy: HeavyKeys,
-) -> NumberedRows:
+) -> DataFrame:
     """Exact ``row_number`` and row count per key, also where one key holds most rows.
 
-    Without heavy keys this is a window per key. A heavy key is cut into ordered
-    leaves at sampled split points; a row's number is its number within the leaf
-    plus the rows of all earlier leaves. ``row_id`` makes positions unique, so even
-    copies of one row are cut apart. Rows of all other keys are leaf 0.
+    Rows of ordinary keys are numbered in a window per key. Rows of heavy keys are sorted
+    by key, order and ``row_id`` over range partitions of about ``rows_per_task`` rows each and
+    written; a row's place in its partition, the sizes of earlier partitions and the place of its
+    key's first row give its number. ``row_id`` makes places unique, so copies of one row are
+    cut apart as well.
     """
     keys = list(keys)
     of_key = Window.partitionBy(*keys)
-    if not heavy.keys:
-        plain = rows.drop(*row_id).withColumns(
-            {
-                number_col: F.row_number().over(of_key.orderBy(*order)),
-                size_col: F.count("*").over(of_key),
-            }
-        )
-        return NumberedRows(plain, keys)
-
-    layout = [*keys, "leaf"]
     columns = [c for c in rows.columns if c not in row_id]
-    position = F.struct(*order, *row_id)
-    heavy_rows = rows.join(F.broadcast(_key_table(rows, keys, heavy)), keys, "left_semi")
-    splits = F.broadcast(_split_points(heavy_rows, keys, position, row_id, heavy.share))
-    with_leaf = _with_leaf(rows, splits, keys, position, "left").select(*columns, "leaf")
-    # One row per leaf of a heavy key: bounded like the split points.
-    earlier = of_key.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    leaf_sizes = (
-        _with_leaf(heavy_rows, splits, keys, position, "inner")
-        .groupBy(*layout)
-        .agg(F.count("*").alias("rows_in_leaf"))
-        .select(
-            *layout,
-            F.coalesce(F.sum("rows_in_leaf").over(earlier), F.lit(0)).alias("earlier_rows"),
-            F.sum("rows_in_leaf").over(of_key).alias("all_rows"),
-        )
+    plain = rows
+    if heavy.table is not None:
+        plain = rows.join(heavy.table.select(*keys), keys, "left_anti")
+    numbered = plain.select(*columns).withColumns(
+        {
+            number_col: F.row_number().over(of_key.orderBy(*order)),
+            size_col: F.count("*").over(of_key),
+        }
     )
-    in_leaf = Window.partitionBy(*layout)
-    numbered = (
-        with_leaf.withColumns(
-            {
-                "row_in_leaf": F.row_number().over(in_leaf.orderBy(*order)),
-                "rows_in_leaf": F.count("*").over(in_leaf),
-            }
-        )
-        .join(F.broadcast(leaf_sizes), layout, "left")
-        .withColumns(
-            {
-                number_col: F.col("row_in_leaf") + F.coalesce("earlier_rows", F.lit(0)),
-                size_col: F.coalesce("all_rows", "rows_in_leaf"),
-            }
-        )
-        .drop("row_in_leaf", "rows_in_leaf", "earlier_rows", "all_rows")
+    if heavy.table is None:
+        return numbered
+
+    many = rows.join(heavy.table.select(*keys), keys, "left_semi")
+    total = heavy.table.agg(F.sum("rows")).first()[0]
+    tasks = -(-total // heavy.rows_per_task) + 1
+    path = new_location(rows.sparkSession, "heavy-rows")
+    by = [*keys, *order, *row_id]
+    (
+        many.repartitionByRange(tasks, *by)
+        .sortWithinPartitions(*by)
+        .select(*columns, F.monotonically_increasing_id().alias("_place"))
+        .write.parquet(path)
     )
-    return NumberedRows(numbered, layout, splits.select(*keys, "leaves"))
-
-
-def join_per_leaf(numbered: NumberedRows, attributes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join of numbered rows to one ``attributes`` row per key.
-
-    The attribute row of a heavy key is repeated for each of its leaves, so the join
-    keeps the layout of the numbering and needs no second shuffle of the rows.
-    """
-    keys = list(keys)
-    if numbered.leaves is None:
-        return numbered.rows.join(attributes, keys)
-    last = F.coalesce("leaves", F.lit(1)) - 1
-    repeated = (
-        attributes.join(F.broadcast(numbered.leaves), keys, "left")
-        .withColumn("leaf", F.explode(F.sequence(F.lit(0), last)))
-        .drop("leaves")
+    placed = rows.sparkSession.read.parquet(path).withColumn(
+        "_part", F.shiftright("_place", _PARTITION_BITS)
+    )
+    # One row per range partition from here on.
+    parts = Window.orderBy("_part")
+    before = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select(
+        "_part", (F.sum("_rows").over(parts) - F.col("_rows")).alias("_before")
+    )
+    within = F.col("_place").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
+    global_place = placed.join(before, "_part").withColumn("_global", F.col("_before") + within)
+    firsts = global_place.groupBy(*keys).agg(
+        F.min("_global").alias("_first"), F.count("*").alias("_size")
+    )
+    # Both sides come from the same few keys; the rows are dealt over salts like in any join of theirs.
+    heavy_numbered = salted_join(global_place, firsts, keys, ["_global"], heavy, "inner").select(
+        *columns,
+        (F.col("_global") - F.col("_first") + 1).cast("int").alias(number_col),
+        F.col("_size").alias(size_col),
     )
-    return numbered.rows.join(repeated, numbered.layout).drop("leaf")
+    return numbered.unionByName(heavy_numbered)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from hearthtab.functions.income import add_harmonized_income
 from hearthtab.functions.recode import recode_person
@@ -16,13 +17,15 @@ from hearthtab.operators.household import (
     household_rollup,
     join_household,
 )
+from hearthtab.operators.skew import DEFAULT_LIMITS, SkewLimits, find_heavy
 from hearthtab.operators.validate import (
-    distinct_count,
+    ValidationError,
     validate_row_counts,
     validate_unique_key,
 )
 from hearthtab.plans import published
 from hearthtab.sources.tables import create_or_replace_table, write_result_csv
+from hearthtab.sources.workspace import new_location
 
 # Published tables whose CSV has a quoted header.
 QUOTED_HEADERS = ("multifam_hh_count", "multifam_hh_percent")
@@ -30,44 +33,96 @@ QUOTED_HEADERS = ("multifam_hh_count", "multifam_hh_percent")
 
 @dataclass(frozen=True)
 class StageTables:
+    """The stage tables, and what was checked: step, expected and actual rows."""
+
     person: DataFrame
     household: DataFrame
     person_with_household: DataFrame
+    checks: list[tuple[str, int, int]]
+
+
+def build_tables(
+    extract: DataFrame, folder: str, limits: SkewLimits = DEFAULT_LIMITS
+) -> StageTables:
+    """Write the three stage tables, checking row counts and keys of what was written.
+
+    The extract is parsed once: its rows are counted while they are written. Persons lie by
+    household within each year, so the rollup combines nearly all rows of a household before
+    its shuffle, and the merge shuffles the persons once.
+    """
+    checks: list[tuple[str, int, int]] = []
+
+    def expect(step: str, expected: Callable[[], int]) -> Callable[[DataFrame], None]:
+        def check(written: DataFrame) -> None:
+            # Counted from the files' footers.
+            actual = validate_row_counts(written, expected(), step)
+            checks.append((step, expected(), actual))
+
+        return check
+
+    read = Observation()
+    observed = extract.observe(read, F.count(F.lit(1)).alias("rows"))
 
+    def check_person(written: DataFrame) -> None:
+        expect("person recode", lambda: read.get["rows"])(written)
+        validate_unique_key(written, PERSON_KEY, "person recode")
+        # Reached only if no key is repeated.
+        checks.append(("unique person key", written.count(), written.count()))
 
-def build_tables(extract: DataFrame, folder: str) -> StageTables:
-    """Write the three stage tables, checking row counts and keys after each."""
-    expected = extract.count()
     person = create_or_replace_table(
-        add_harmonized_income(recode_person(extract)), f"{folder}/person"
+        add_harmonized_income(recode_person(observed)),
+        f"{folder}/person",
+        cluster_by=("SERIAL", "PERNUM"),
+        check=check_person,
     )
-    validate_row_counts(person, expected, "person recode")
-    validate_unique_key(person, PERSON_KEY, "person recode")
-
-    household = create_or_replace_table(household_rollup(person), f"{folder}/household")
-    households = distinct_count(person, HOUSEHOLD_KEY)
-    validate_row_counts(household, households, "household rollup")
+    persons = person.count()
+
+    rolled = household_rollup(person)
+    total = Observation()
+    household = create_or_replace_table(
+        rolled.observe(total, F.sum("hh_size").alias("persons"), F.count(F.lit(1)).alias("rows")),
+        f"{folder}/household",
+        cluster_by=("SERIAL",),
+        check=expect("household rollup", lambda: total.get["rows"]),
+    )
+    # Every person is in one household: the sizes add up to the persons.
+    in_households = total.get["persons"] or 0
+    if in_households != persons:
+        raise ValidationError(f"household rollup: {in_households} of {persons} persons in households")
 
+    heavy = find_heavy(person.select(*HOUSEHOLD_KEY), HOUSEHOLD_KEY, limits)
     merged = create_or_replace_table(
-        join_household(person, household), f"{folder}/person_with_household"
+        join_household(person, household, heavy),
+        f"{folder}/person_with_household",
+        cluster_by=("SERIAL", "PERNUM"),
+        check=expect("person with household", lambda: persons),
     )
-    validate_row_counts(merged, expected, "person with household")
-    return StageTables(person, household, merged)
+    return StageTables(person, household, merged, checks)
 
 
 def published_tables(tables: StageTables) -> dict[str, DataFrame]:
-    """The nine published tables by name."""
+    """The nine published tables by name; the three shares come from one scan of the persons."""
     parts = components.hh_components(tables.household)
+    spark = tables.person.sparkSession
+    path = new_location(spark, "shares")
+    published.multifam_share_tables(tables.person).write.parquet(path)
+    shares = spark.read.parquet(path)
+
+    def share(breakdown: str, *groups: str) -> DataFrame:
+        return shares.where(F.col("breakdown") == breakdown).select(
+            F.lit(True).alias("is_multifam"), "YEAR", *groups, "weighted_count", "count", "percent"
+        )
+
     return {
         "hhsize_by_year": published.hhsize_by_year(tables.person),
         "hh_components": parts,
-        "multifam_share_by_year": published.multifam_share_by_year(tables.person),
+        "multifam_share_by_year": share("all"),
         "hh_components_normalized": components.normalize_to_year(parts),
         "multifam_hh_count": published.multifam_hh_count(tables.household),
         "multifam_hh_percent": published.multifam_hh_percent(tables.household),
-        "multifam_share_by_race": published.multifam_share_by_race(tables.person),
+        "multifam_share_by_race": share("race_eth", "race_eth"),
         "gq_share_by_race": published.gq_share_by_race(tables.person),
-        "multifam_share_by_age": published.multifam_share_by_age(tables.person),
+        "multifam_share_by_age": share("age_bucket", "age_bucket"),
     }
 
 
@@ -81,9 +136,19 @@ def write_published(results: Mapping[str, DataFrame], folder: str) -> None:
 
 
 def fit_models(tables: StageTables) -> dict[str, DataFrame]:
-    """Race terms of every model variant per year."""
-    frame = rent.model_population(tables.person_with_household)
+    """Race terms of every model variant per year.
+
+    The population and the models' columns are written once; the models read that small table.
+    """
+    controls = dict.fromkeys(c for names in lpm.MODEL_CONTROLS.values() for c in names)
+    frame = rent.model_population(tables.person_with_household).select(
+        "YEAR", lpm.RACE, lpm.WEIGHT, "is_multifam", *controls
+    )
+    spark = frame.sparkSession
+    path = new_location(spark, "model-frame")
+    frame.write.parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
     return {
-        name: lpm.filter_by_race(lpm.run_lpm_by_year(frame, controls))
-        for name, controls in lpm.MODEL_CONTROLS.items()
+        name: lpm.filter_by_race(lpm.run_lpm_by_year(stored, names))
+        for name, names in lpm.MODEL_CONTROLS.items()
     }

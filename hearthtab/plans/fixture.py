@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearthtab.operators.household import HOUSEHOLD_KEY
 from hearthtab.operators.skew import (
@@ -12,8 +13,8 @@ from hearthtab.operators.skew import (
     HeavyKeys,
     SkewLimits,
     find_heavy,
-    join_per_leaf,
     number_rows,
+    salted_join,
 )
 from hearthtab.sources.fixed_width import Field
 
@@ -115,21 +116,44 @@ _COLUMNS = {
 }
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if hot:
+        return lines.withColumn("SERIAL", F.expr(_hot("l_orderkey")))
     return lines.withColumnRenamed("l_orderkey", "SERIAL")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    if hot:
+        # The customer of the hot household is the smallest of its orders' customers.
+        joined = orders.selectExpr(f"{_hot('o_orderkey')} AS SERIAL", "o_custkey")
+        return joined.groupBy("SERIAL").agg(F.min("o_custkey").alias("o_custkey"))
     return orders.selectExpr("o_orderkey AS SERIAL", "o_custkey")
 
 
+# Orders whose customer is in this part of all form one household in the hot view.
+HOT_SERIAL = 28 * 10_000_000 + 7
+HOT_LIMITS = SkewLimits(rows_per_task=200)
+
+
+def _hot(serial: str) -> str:
+    """SQL: every third order becomes the hot household."""
+    return f"CASE WHEN {serial} % 3 = 0 THEN {HOT_SERIAL}L ELSE {serial} END"
+
+
+_HEAVY: dict[tuple, HeavyKeys] = {}
+
+
 def heavy_households(
-    spark: SparkSession, sf_dir: str, limits: SkewLimits = DEFAULT_LIMITS
+    spark: SparkSession, sf_dir: str, limits: SkewLimits = DEFAULT_LIMITS, hot: bool = False
 ) -> HeavyKeys:
-    """Households too large for one task."""
-    return find_heavy(_lines(spark, sf_dir).selectExpr(_YEAR, "SERIAL"), HOUSEHOLD_KEY, limits)
+    """Households too large for one task, looked up once per session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir, limits, hot)
+    if key not in _HEAVY:
+        lines = _lines(spark, sf_dir, hot).selectExpr(_YEAR, "SERIAL")
+        _HEAVY[key] = find_heavy(lines, HOUSEHOLD_KEY, limits)
+    return _HEAVY[key]
 
 
 def person(
@@ -137,13 +161,14 @@ def person(
     sf_dir: str,
     columns: Sequence[str] = PERSON_COLUMNS,
     heavy: HeavyKeys | None = None,
+    hot: bool = False,
 ) -> DataFrame:
-    """The person table.
+    """The person table; ``hot`` puts a third of all orders into one household.
 
     Name the ``columns`` needed: without PERNUM, RELATE and NUMPREC, which depend
     on the whole household, it is one join of a few columns.
     """
-    lines, orders = _lines(spark, sf_dir), _orders(spark, sf_dir)
+    lines, orders = _lines(spark, sf_dir, hot), _orders(spark, sf_dir, hot)
     if not {"PERNUM", "RELATE", "NUMPREC"} & set(columns):
         # Both sides are read straight from their tables, so adaptive execution can
         # split a household that is too large.
@@ -151,9 +176,9 @@ def person(
         return joined.selectExpr(*[_COLUMNS[name] for name in columns])
 
     if heavy is None:
-        heavy = find_heavy(lines.selectExpr(_YEAR, "SERIAL"), HOUSEHOLD_KEY)
+        heavy = heavy_households(spark, sf_dir, hot=hot)
     # A row's place in its file is needed only to cut heavy households apart.
-    row_id = ("file_path", "row_index") if heavy.keys else ()
+    row_id = () if heavy.table is None else ("file_path", "row_index")
     numbered = number_rows(
         lines.selectExpr(
             _YEAR, "SERIAL", *_LINE_ORDER, *[f"_metadata.{name} AS {name}" for name in row_id]
@@ -165,5 +190,6 @@ def person(
         size_col="NUMPREC",
         heavy=heavy,
     )
-    joined = join_per_leaf(numbered, orders.selectExpr("*", _YEAR), HOUSEHOLD_KEY)
+    attributes = orders.selectExpr("*", _YEAR)
+    joined = salted_join(numbered, attributes, HOUSEHOLD_KEY, ["PERNUM"], heavy, "inner")
     return joined.selectExpr(*[_COLUMNS[name] for name in columns])

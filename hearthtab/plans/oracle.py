@@ -182,6 +182,19 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+# A third of all orders as one household, with the smallest of its customers.
+_HOT_PERSON = f"""
+hot_lineitem AS (
+  SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 280000007 ELSE l_orderkey END AS l_orderkey)
+  FROM lineitem
+),
+hot_orders AS (
+  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 280000007 ELSE o_orderkey END AS o_orderkey,
+    min(o_custkey) AS o_custkey
+  FROM orders GROUP BY 1
+),
+{_PERSON.strip().replace("FROM lineitem l JOIN orders o", "FROM hot_lineitem l JOIN hot_orders o")}"""
+
 _ON_PERSON = _with(_PERSON)
 _ON_CODED = _with(_PERSON, _CODED)
 _ON_HOUSEHOLD = _with(_PERSON, _CODED, _HOUSEHOLD)
@@ -569,16 +582,20 @@ FROM coded WHERE {_HH_POPULATION} GROUP BY "YEAR" """,
     "income_harmonized": _recode("CAST(inctot_harmonized AS DOUBLE) AS inctot_harmonized"),
     "household_rollup": f"{_ON_HOUSEHOLD} SELECT * FROM household",
     "person_with_household": f"{_ON_MERGED} SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged",
+    "household_rollup_hot": f"{_with(_HOT_PERSON, _CODED, _HOUSEHOLD)} SELECT * FROM household",
+    "person_with_household_hot": f"""{_with(_HOT_PERSON, _CODED, _HOUSEHOLD, _MERGED)}
+SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged""",
+    "build_stage_tables": f"{_ON_MERGED} SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged",
     "row_count_checks": f"""{_ON_MERGED}
 SELECT 1 AS step_number, 'person recode' AS step, (SELECT count(*) FROM person) AS expected,
   (SELECT count(*) FROM coded) AS actual
-UNION ALL SELECT 2, 'household rollup',
+UNION ALL SELECT 2, 'unique person key', (SELECT count(*) FROM person),
+  (SELECT count(*) FROM (SELECT DISTINCT {_PERSON_KEY} FROM person))
+UNION ALL SELECT 3, 'household rollup',
   (SELECT count(*) FROM (SELECT DISTINCT "YEAR", "SERIAL" FROM person)),
   (SELECT count(*) FROM household)
-UNION ALL SELECT 3, 'person with household', (SELECT count(*) FROM coded),
-  (SELECT count(*) FROM merged)
-UNION ALL SELECT 4, 'unique person key', (SELECT count(*) FROM person),
-  (SELECT count(*) FROM (SELECT DISTINCT {_PERSON_KEY} FROM person))""",
+UNION ALL SELECT 4, 'person with household', (SELECT count(*) FROM coded),
+  (SELECT count(*) FROM merged)""",
     "crosstab_count": f"""{_ON_CODED}
 SELECT CAST(least("NUMPREC", 6) AS INTEGER) AS size_group, race_eth,
   {_COUNTS.format(w='"PERWT"')} FROM coded GROUP BY ALL""",

@@ -14,13 +14,13 @@ from hearthtab.operators.crosstab import crosstab_count, crosstab_mean, crosstab
 from hearthtab.operators.household import (
     HOUSEHOLD_COLUMNS,
     HOUSEHOLD_CONSTANTS,
-    HOUSEHOLD_KEY,
     PERSON_KEY,
     household_rollup,
     join_household,
     reference_persons,
 )
-from hearthtab.plans import fixture, published
+from hearthtab.operators.skew import HeavyKeys
+from hearthtab.plans import build, fixture, published
 from hearthtab.sources import fixed_width, tables
 from hearthtab.sources.workspace import new_location
 
@@ -37,7 +37,7 @@ CITY_SHOWN = 5350
 
 def flat_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recoded persons for tables by year, race, age and family count."""
-    return recode_person(fixture.person(spark, sf_dir, FLAT_COLUMNS))
+    return recode_person(fixture.person(spark, sf_dir, FLAT_COLUMNS), allow_missing=True)
 
 
 def numbered_person(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,22 @@ def with_household(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_household(person, household_rollup(person), heavy)
 
 
+def _hot_person(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, HeavyKeys]:
+    """Persons of the view with one household of a third of all orders, and its heavy keys."""
+    heavy = fixture.heavy_households(spark, sf_dir, fixture.HOT_LIMITS, hot=True)
+    person = fixture.person(spark, sf_dir, heavy=heavy, hot=True)
+    return add_harmonized_income(recode_person(person)), heavy
+
+
+def household_rollup_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return household_rollup(_hot_person(spark, sf_dir)[0])
+
+
+def person_with_household_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    person, heavy = _hot_person(spark, sf_dir)
+    return _merged_columns(join_household(person, household_rollup(person), heavy))
+
+
 def _recoded(*columns: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return recoded_person(spark, sf_dir).select(*PERSON_KEY, *columns)
@@ -126,35 +142,28 @@ def lpm_sufficient_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpm.lpm_sufficient_stats(hundreds, lpm.MODEL_CONTROLS["ses"]).select("YEAR", "i", "j", "value")
 
 
+def _build(spark: SparkSession, sf_dir: str) -> build.StageTables:
+    return build.build_tables(fixture.person(spark, sf_dir), new_location(spark, "stages"))
+
+
 def row_count_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows expected and found after each stage, and rows with a repeated key."""
-    heavy = fixture.heavy_households(spark, sf_dir)
-    raw = fixture.person(spark, sf_dir, heavy=heavy)
-    person = add_harmonized_income(recode_person(raw))
-    rolled = household_rollup(person)
-    merged = join_household(person, rolled, heavy)
-
-    def count(data: DataFrame) -> F.Column:
-        return data.agg(F.count("*")).scalar()
-
-    def step(order: int, name: str, expected: DataFrame, actual: DataFrame) -> DataFrame:
-        return spark.range(1).select(
-            F.lit(order).alias("step_number"),
-            F.lit(name).alias("step"),
-            count(expected).alias("expected"),
-            count(actual).alias("actual"),
-        )
-
-    return (
-        step(1, "person recode", raw, person)
-        .union(step(2, "household rollup", raw.select(*HOUSEHOLD_KEY).distinct(), rolled))
-        .union(step(3, "person with household", person, merged))
-        .union(step(4, "unique person key", raw, raw.select(*PERSON_KEY).distinct()))
-    )
+    """Rows expected and found in each stage table, as counted while the tables were built."""
+    order = ("person recode", "unique person key", "household rollup", "person with household")
+    rows = [(order.index(step) + 1, step, expected, actual)
+            for step, expected, actual in _build(spark, sf_dir).checks]
+    return spark.createDataFrame(rows, "step_number int, step string, expected long, actual long")
+
+
+def build_stage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged stage table of a whole build."""
+    return _merged_columns(_build(spark, sf_dir).person_with_household)
 
 
 def person_with_household(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = with_household(spark, sf_dir)
+    return _merged_columns(with_household(spark, sf_dir))
+
+
+def _merged_columns(merged: DataFrame) -> DataFrame:
     both = [c for name in HOUSEHOLD_CONSTANTS for c in (name, f"{name}_hh")]
     both += ["n_multifam", "n_multifam_hh", "is_multifam", "is_multifam_hh"]
     added = ["hh_size", "hhinc_harmonized", "n_adults", "n_children", *components.COMPONENTS]
@@ -181,8 +190,10 @@ def _csv_roundtrip(source: Query, order_by: tuple[str, ...], measure: str, quote
 def ingest_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the persons as a gzip extract and read them back by its codebook."""
     path = new_location(spark, "extract")
+    book = new_location(spark, "codebook")
     fixed_width.write_fixed_width(fixture.person(spark, sf_dir), path, fixture.RECORD_LAYOUT)
-    read = fixed_width.read_fixed_width(spark, path, fixture.RECORD_LAYOUT)
+    fixed_width.write_codebook(spark, book, fixture.RECORD_LAYOUT)
+    read = fixed_width.read_fixed_width(spark, path, fixed_width.read_codebook(spark, book))
     return read.withColumns({name: F.col(name).cast("double") for name in ("PERWT", "HHWT")})
 
 
@@ -192,7 +203,9 @@ def rent_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "select_samples": _of(fixture.person, tables.select_samples),
+    "select_samples": _of(
+        fixture.person, lambda person: tables.select_samples(person, allow_missing=True)
+    ),
     "write_read_roundtrip": write_read_roundtrip,
     "published_csv_roundtrip": _csv_roundtrip(
         _of(recoded_person, published.hhsize_by_year), ("YEAR",), "weighted_mean", quote=False
@@ -216,7 +229,10 @@ QUERIES: dict[str, Query] = {
     ),
     "household_rollup": household,
     "person_with_household": person_with_household,
+    "household_rollup_hot": household_rollup_hot,
+    "person_with_household_hot": person_with_household_hot,
     "row_count_checks": row_count_checks,
+    "build_stage_tables": build_stage_tables,
     "crosstab_count": _of(recoded_person, _household_size_counts),
     "crosstab_mean": _of(
         flat_person, lambda person: crosstab_mean(person, "AGE", "PERWT", ["YEAR", "race_eth"])

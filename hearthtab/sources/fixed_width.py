@@ -70,6 +70,11 @@ def _parse(field: Field) -> Column:
     return text.cast(field.type)
 
 
+# File endings of compressed text that one task must read from start to end.
+_UNSPLITTABLE = (".gz", ".deflate", ".snappy", ".xz")
+_TASKS_PER_CORE = 3
+
+
 def read_fixed_width(
     spark: SparkSession,
     path: str,
@@ -79,13 +84,47 @@ def read_fixed_width(
 ) -> DataFrame:
     """Typed columns of fixed-width text; blanks are NULL, a bad number is an error.
 
-    A gzip file cannot be split, so each is parsed by one task; ``partitions``
-    spreads the parsed rows afterwards. Convert to a partitioned table once rather
-    than querying the text.
+    A gzip file cannot be split: one task reads its lines, which are then spread over
+    ``partitions`` tasks before they are parsed (by default a few per core). Files that can be
+    split stay as they are unless ``partitions`` is given. Convert the text to a partitioned table
+    once rather than querying it.
     """
     fields = [f for f in codebook if columns is None or f.name in columns]
-    parsed = spark.read.text(path).select(*[_parse(f).alias(f.name) for f in fields])
-    return parsed if partitions is None else parsed.repartition(partitions)
+    missing = set(columns or ()) - {f.name for f in fields}
+    if missing:
+        raise ValueError(f"the codebook has no {', '.join(sorted(missing))}")
+    lines = spark.read.text(path)
+    if partitions is None and any(f.endswith(_UNSPLITTABLE) for f in lines.inputFiles()):
+        partitions = _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    if partitions is not None:
+        lines = lines.repartition(partitions)
+    return lines.select(*[_parse(f).alias(f.name) for f in fields])
+
+
+def codebook_text(codebook: Sequence[Field]) -> str:
+    """The codebook of a record layout as XML."""
+    root = ElementTree.Element("codeBook")
+    data = ElementTree.SubElement(root, "dataDscr")
+    for field in codebook:
+        var = ElementTree.SubElement(
+            data, "var", ID=field.name, name=field.name, dcml=str(field.decimals)
+        )
+        ElementTree.SubElement(
+            var,
+            "location",
+            StartPos=str(field.start),
+            EndPos=str(field.start + field.width - 1),
+            width=str(field.width),
+        )
+        kind = "numeric" if field.numeric else "character"
+        ElementTree.SubElement(var, "varFormat", type=kind)
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def write_codebook(spark: SparkSession, path: str, codebook: Sequence[Field]) -> None:
+    """Write the codebook as one small text file in a folder of its own."""
+    text = spark.createDataFrame([(codebook_text(codebook),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_fixed_width(data: DataFrame, path: str, codebook: Sequence[Field]) -> None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,32 +28,73 @@ def select_samples(
     extract: DataFrame,
     years: Sequence[int] = SAMPLE_YEARS,
     variables: Sequence[str] = REQUESTED_VARIABLES,
+    allow_missing: bool = False,
 ) -> DataFrame:
     """The chosen survey years and variables, plus keys and weights.
 
-    On a table partitioned by YEAR other years are never read. Variables the
-    extract does not have are left out.
+    On a table partitioned by YEAR other years are never read. Columns are found whatever their
+    case and get the variable's own spelling. A variable that the extract lacks is an error,
+    or left out with ``allow_missing``.
     """
+    own = {name.upper(): name for name in extract.columns}
     wanted = [*PRESELECTED_VARIABLES, *variables]
-    return extract.where(F.col("YEAR").isin(*years)).select(
-        *[name for name in wanted if name in extract.columns]
-    )
-
-
-def create_or_replace_table(data: DataFrame, path: str, partition_by: str = "YEAR") -> DataFrame:
+    missing = [name for name in wanted if name.upper() not in own]
+    if missing and not allow_missing:
+        raise ValueError(f"the extract has no {', '.join(missing)}")
+    columns = [F.col(own[n.upper()]).alias(n) for n in wanted if n.upper() in own]
+    return extract.where(F.col(own["YEAR"]).isin(*years)).select(*columns)
+
+
+def create_or_replace_table(
+    data: DataFrame,
+    path: str,
+    partition_by: str = "YEAR",
+    cluster_by: Sequence[str] = (),
+    check: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
     """Write a stage table, replacing an earlier one, and return it as read back.
 
     Rebalancing gathers each year into few files; adaptive execution splits years
-    that are too large for one task. Do not write to a path ``data`` reads from.
+    that are too large for one task. Rows are sorted by ``cluster_by`` within a file. The table is
+    written aside and ``check`` sees it there; only then does it take the place of the earlier one, so
+    a failed job or check leaves that as it was. ``data`` may read from ``path``.
     """
-    columns = data.columns
-    (
-        data.hint("rebalance", partition_by)
-        .write.mode("overwrite")
-        .partitionBy(partition_by)
-        .parquet(path)
-    )
-    return read_table(data.sparkSession, path, data.schema).select(*columns)
+    spark, columns = data.sparkSession, data.columns
+    aside = f"{path}.new-{uuid.uuid4().hex}"
+    gathered = data.hint("rebalance", partition_by)
+    if cluster_by:
+        gathered = gathered.sortWithinPartitions(partition_by, *cluster_by)
+    gathered.write.partitionBy(partition_by).parquet(aside)
+    try:
+        if check is not None:
+            check(read_table(spark, aside, data.schema).select(*columns))
+    except Exception:
+        _remove(spark, aside)
+        raise
+    _swap(spark, aside, path)
+    return read_table(spark, path, data.schema).select(*columns)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place(path), True)
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Rename a finished table into place; the earlier one goes after that."""
+    files, place = _file_system(spark, path)
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    if files.exists(place(path)):
+        files.rename(place(path), place(old))
+    if not files.rename(place(new), place(path)):
+        raise OSError(f"could not rename {new} to {path}")
+    files.delete(place(old), True)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -29,6 +29,44 @@ def test_duplicate_persons_stop_the_build(spark, small, tmp_path):
         build.build_tables(twice, str(tmp_path))
 
 
+def test_checks_and_a_lost_row(spark, small, tables, tmp_path, monkeypatch):
+    assert [step for step, _, _ in tables.checks] == [
+        "person recode", "unique person key", "household rollup", "person with household",
+    ]
+    assert all(expected == actual for _, expected, actual in tables.checks)
+    real = build.join_household
+    monkeypatch.setattr(build, "join_household", lambda *a: real(*a).where("SERIAL <> 7"))
+    with pytest.raises(ValidationError, match="person with household: expected"):
+        build.build_tables(fixture.person(spark, small), str(tmp_path))
+
+
+def test_extract_is_parsed_once(spark, small, tmp_path):
+    """Each row of the extract goes through the plan once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    extract = fixture.person(spark, small)
+    counted = extract.mapInArrow(count, extract.schema)
+    tables = build.build_tables(counted, str(tmp_path))
+    assert seen.value == tables.person.count()
+
+
+def test_merge_shuffles_the_persons_once(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = build.join_household(tables.person, tables.household, build.find_heavy(tables.person, ["SERIAL"]))
+        merged.collect()
+        plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("- Exchange hashpartitioning") == 2  # persons and households
+    assert plan.count("FileScan parquet") == 2
+
+
 def test_published_csvs(spark, small, tables, tmp_path):
     results = build.published_tables(tables)
     assert len(results) == 9

@@ -13,7 +13,7 @@ from hearthtab.operators.household import (
     join_household,
     reference_persons,
 )
-from hearthtab.operators.skew import HeavyKeys, SkewLimits, find_heavy
+from hearthtab.operators.skew import NONE_HEAVY, SkewLimits, find_heavy
 from hearthtab.operators.validate import (
     ValidationError,
     distinct_count,
@@ -74,7 +74,7 @@ def test_rollup(spark):
 
 def test_join_keeps_persons_and_suffixes_shared_columns(spark):
     person = person_rows(spark)
-    merged = join_household(person, household_rollup(person))
+    merged = join_household(person, household_rollup(person), NONE_HEAVY)
     assert merged.count() == person.count()
     for name in ("NUMPREC", "room", "bedroom", "GQ", "HHWT", "n_multifam", "is_multifam"):
         assert name in merged.columns and f"{name}_hh" in merged.columns
@@ -84,9 +84,9 @@ def test_join_keeps_persons_and_suffixes_shared_columns(spark):
 def test_join_with_heavy_households_gives_the_same_rows(spark):
     person = person_rows(spark)
     rolled = household_rollup(person)
-    heavy = find_heavy(person, ["YEAR", "SERIAL"], SkewLimits(parts=10, floor=2))
-    assert [(row.YEAR, row.SERIAL) for row in heavy.keys] == [(2000, 2)]
-    plain = join_household(person, rolled, HeavyKeys([], 1))
+    heavy = find_heavy(person, ["YEAR", "SERIAL"], SkewLimits(rows_per_task=2))
+    assert [(row.YEAR, row.SERIAL) for row in heavy.table.collect()] == [(2000, 2)]
+    plain = join_household(person, rolled, NONE_HEAVY)
     salted = join_household(person, rolled, heavy)
     assert spark_rows(salted) == spark_rows(plain)
     assert "explode" in salted._jdf.queryExecution().optimizedPlan().toString()
@@ -94,7 +94,7 @@ def test_join_with_heavy_households_gives_the_same_rows(spark):
 
 def test_reference_persons_equal_the_join(spark, small):
     person = queries.numbered_person(spark, small)
-    joined = rent.model_population(join_household(person, household_rollup(person)))
+    joined = rent.model_population(join_household(person, household_rollup(person), NONE_HEAVY))
     direct = recode_person(rent.model_population(reference_persons(person)))
     assert set(direct.columns) == set(joined.columns)
     assert spark_rows(direct) == spark_rows(joined.select(*direct.columns))

@@ -9,7 +9,7 @@ from hearthtab.functions.recode import capped, household_population, in_group_qu
 
 def recoded(spark, column, values, output):
     rows = [(k, value) for k, value in enumerate(values)]
-    df = recode_person(spark.createDataFrame(rows, f"k int, {column} int"))
+    df = recode_person(spark.createDataFrame(rows, f"k int, {column} int"), allow_missing=True)
     return [row[output] for row in df.orderBy("k").collect()]
 
 
@@ -58,7 +58,7 @@ def test_every_code(spark, column, output, cases):
 
 def test_hispanic_wins_and_unknown_falls_through(spark):
     rows = [(1, 1), (2, 0), (3, 9), (4, None), (7, 0), (8, 0), (1, 0), (None, 0), (None, 2)]
-    df = recode_person(spark.createDataFrame(rows, "RACE int, HISPAN int"))
+    df = recode_person(spark.createDataFrame(rows, "RACE int, HISPAN int"), allow_missing=True)
     assert [row.race_eth for row in df.collect()] == [
         "Hispanic", "Black", "AIAN", "AAPI", "Other", "Multiracial", "White", None, "Hispanic",
     ]
@@ -66,12 +66,12 @@ def test_hispanic_wins_and_unknown_falls_through(spark):
 
 def test_persons_per_bedroom(spark):
     rows = [(5, 3), (5, 0), (None, 3)]
-    df = recode_person(spark.createDataFrame(rows, "NUMPREC int, BEDROOMS int"))
+    df = recode_person(spark.createDataFrame(rows, "NUMPREC int, BEDROOMS int"), allow_missing=True)
     assert [row.ppbr for row in df.collect()] == [2.5, None, None]
 
 
 def test_recode_keeps_present_columns_and_skips_missing_inputs(spark):
-    df = recode_person(spark.createDataFrame([(7, 3)], "n_multifam int, NFAMS int"))
+    df = recode_person(spark.createDataFrame([(7, 3)], "n_multifam int, NFAMS int"), allow_missing=True)
     assert df.columns == ["n_multifam", "NFAMS", "is_multifam"]
     assert df.first().n_multifam == 7
 
@@ -117,3 +117,11 @@ def test_income_thresholds_match_the_common_codes():
     for _, bottom, top, factor in INCOME_PARAMETERS:
         assert abs(bottom * float(factor) + 19998) < 10
         assert abs(top * float(factor) - 250000) < 85
+
+
+def test_missing_inputs_and_spelling(spark):
+    frame = spark.createDataFrame([(2, 9)], "nfams int, ROOMS int")
+    with pytest.raises(ValueError, match="the extract has no AGE"):
+        recode_person(frame)
+    row = recode_person(frame, allow_missing=True).first()
+    assert (row.NFAMS, row.n_multifam, row.is_multifam, row.room) == (2, 2, True, 9)

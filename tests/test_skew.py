@@ -5,13 +5,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from hearthtab.operators.skew import HeavyKeys, SkewLimits, find_heavy, number_rows
+from hearthtab.operators import skew
+from hearthtab.operators.skew import SkewLimits, find_heavy, number_rows
 from hearthtab.plans import fixture
 from hearthtab.plans.oracle import ORACLES
 from hearthtab.plans.queries import QUERIES
 from tests.compare import connect, oracle_rows, spark_rows
 
-LIMITS = SkewLimits(parts=40, floor=20)
+LIMITS = SkewLimits(rows_per_task=50)
 HOT = 7
 
 
@@ -53,7 +54,7 @@ class Folder:
 def test_fixture_is_skewed(spark, skewed):
     heavy = fixture.heavy_households(spark, skewed, LIMITS)
     lines = spark.read.parquet(f"{skewed}/lineitem.parquet")
-    (hot,) = [row for row in heavy.keys if row.SERIAL == HOT]
+    (hot,) = heavy.table.where(f"SERIAL = {HOT}").collect()
     assert hot.rows > lines.count() / 4
     assert lines.where(f"l_orderkey = {HOT}").groupBy(*lines.columns).count().where(
         f"count > {hot.rows} / 3"
@@ -82,21 +83,32 @@ def test_no_task_gets_the_whole_household(spark, skewed):
     numbered = number_rows(
         rows, ["YEAR", "SERIAL"], fixture._LINE_ORDER, ["file_path", "row_index"], "n", "size", heavy
     )
-    assert numbered.layout == ["YEAR", "SERIAL", "leaf"]
-    (hot,) = [row for row in heavy.keys if row.SERIAL == HOT]
-    sizes = [row["count"] for row in numbered.rows.where(f"SERIAL = {HOT}").groupBy("leaf").count().collect()]
-    assert sum(sizes) == hot.rows
-    assert max(sizes) < 3 * heavy.share
-    in_order = numbered.rows.where(f"SERIAL = {HOT}").select("n", "size").orderBy("n").collect()
+    (hot,) = heavy.table.where(f"SERIAL = {HOT}").collect()
+    in_order = numbered.where(f"SERIAL = {HOT}").select("n", "size").orderBy("n").collect()
     assert [row.n for row in in_order] == list(range(1, hot.rows + 1))
     assert {row["size"] for row in in_order} == {hot.rows}
 
 
-def test_heavy_keys_are_bounded(spark):
+@pytest.mark.parametrize("copies", [1, 4])
+def test_tasks_stay_small_at_any_size(spark, monkeypatch, tmp_path, copies):
+    """Rows of a heavy key per written partition, while its size grows."""
+    written = []
+    monkeypatch.setattr(skew, "new_location", lambda spark, name: written.append(f"{tmp_path}/{name}") or written[-1])
+    rows = spark.range(3000 * copies).selectExpr("id % 7 AS o", "id", "IF(id % 3 = 0, -1L, id) AS k")
+    heavy = find_heavy(rows, ["k"], SkewLimits(rows_per_task=100))
+    numbered = number_rows(rows, ["k"], ["o"], ["id"], "n", "size", heavy)
+    assert numbered.where("k = -1").agg(F.max("n"), F.countDistinct("n")).first() == (1000 * copies, 1000 * copies)
+    sizes = (
+        spark.read.parquet(written[-1]).groupBy(F.shiftright("_place", 33)).count().agg(F.max("count")).first()[0]
+    )
+    assert sizes <= 4 * 100
+
+
+def test_heavy_keys(spark):
     rows = spark.range(1000).selectExpr("id % 100 AS k")
-    assert find_heavy(rows, ["k"], SkewLimits(parts=10, floor=1)) == HeavyKeys([], 100)
-    assert len(find_heavy(rows, ["k"], SkewLimits(parts=200, floor=1)).keys) == 100
-    assert find_heavy(rows, ["k"]).keys == []
+    assert find_heavy(rows, ["k"], SkewLimits(10)).table is None
+    assert find_heavy(rows, ["k"], SkewLimits(9)).table.count() == 100
+    assert find_heavy(rows, ["k"]).table is None
 
 
 def test_skewed_flat_join_is_split_by_adaptive_execution(spark, skewed):

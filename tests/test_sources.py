@@ -95,10 +95,14 @@ def test_record_layout_has_no_gaps():
 def test_select_samples(spark):
     rows = [(1960, 1, 5, 9), (1950, 1, 5, 9), (2023, 1, 5, 9)]
     extract = spark.createDataFrame(rows, "YEAR int, SERIAL int, AGE int, OTHER int")
-    chosen = tables.select_samples(extract)
+    with pytest.raises(ValueError, match="the extract has no HHWT, GQ"):
+        tables.select_samples(extract)
+    chosen = tables.select_samples(extract, allow_missing=True)
     assert chosen.columns == ["YEAR", "SERIAL", "AGE"]
+    lower = extract.toDF(*[c.lower() for c in extract.columns])
+    assert tables.select_samples(lower, allow_missing=True).columns == chosen.columns
     assert sorted(row.YEAR for row in chosen.collect()) == [1960, 2023]
-    assert [row.YEAR for row in tables.select_samples(extract, [1950]).collect()] == [1950]
+    assert [row.YEAR for row in tables.select_samples(extract, [1950], allow_missing=True).collect()] == [1950]
     assert len(tables.SAMPLE_YEARS) == 28 and len(tables.REQUESTED_VARIABLES) == 22
 
 
@@ -141,15 +145,50 @@ def test_shared_folder_comes_from_the_session(spark):
     assert workspace.new_location(spark, "x") != workspace.new_location(spark, "x")
 
 
-class FakeSession:
-    def __init__(self, **conf):
-        self.conf = conf
-
-
-def test_no_temporary_folder_on_a_cluster():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        workspace.shared_folder(FakeSession(**{"spark.master": "yarn"}))
-    assert workspace.shared_folder(FakeSession(**{"spark.master": "local[2]"}))
+def test_shared_folder_without_the_setting(spark, monkeypatch):
+    """The warehouse serves where no folder is set; no machine-local folder is made up."""
+    monkeypatch.setattr(workspace, "CHECKPOINT_SETTING", "spark.no.such.setting")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = workspace.shared_folder(spark)
+    if chosen.isDefined():
+        assert folder == chosen.get()
+    else:
+        assert folder == spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def test_failed_check_keeps_the_earlier_table(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    first = spark.createDataFrame([(2000, 1)], "YEAR int, n int")
+    tables.create_or_replace_table(first, path)
+
+    def refuse(written):
+        assert written.count() == 2
+        raise RuntimeError("no")
+
+    second = spark.createDataFrame([(2000, 2), (2010, 3)], "YEAR int, n int")
+    with pytest.raises(RuntimeError, match="no"):
+        tables.create_or_replace_table(second, path, check=refuse)
+    assert spark.read.parquet(path).count() == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["stage"]
+    # A table may be made from its own earlier state.
+    tables.create_or_replace_table(spark.read.schema(first.schema).parquet(path).union(second), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_codebook_round_trip():
+    text = fixed_width.codebook_text(fixture.RECORD_LAYOUT)
+    assert fixed_width.parse_codebook(text) == list(fixture.RECORD_LAYOUT)
+
+
+def test_gzip_lines_are_spread_before_parsing(spark, tmp_path):
+    layout = [fixed_width.Field("A", 1, 4)]
+    frame = spark.range(500).selectExpr("CAST(id AS INT) AS A").coalesce(1)
+    fixed_width.write_fixed_width(frame, str(tmp_path / "zipped"), layout)
+    read = fixed_width.read_fixed_width(spark, str(tmp_path / "zipped"), layout)
+    assert read.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    assert read.agg({"A": "sum"}).first()[0] == sum(range(500))
+    with pytest.raises(ValueError, match="no B"):
+        fixed_width.read_fixed_width(spark, str(tmp_path / "zipped"), layout, ["B"])
 
 
 def test_csv_lines(spark):
