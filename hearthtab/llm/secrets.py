@@ -11,11 +11,10 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthtab.llm.common import pick
+from hearthtab.llm.common import pick, staged
 from hearthtab.sources.workspace import new_location
 
 
@@ -71,12 +70,11 @@ def blob_of(text: Column) -> Column:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at a path; empty if there is none yet."""
-    try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
         return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
 def _matches(rule: Rule) -> Column:
@@ -192,6 +190,8 @@ def scan_secrets(
         .groupBy("blob")
         .agg(F.sort_array(F.collect_set("x")).alias("spans"))
     )
+    # A stored table, so that adaptive execution can split a blob with very many paths in the join.
+    findings = staged(findings, "findings")
     paths = pick(versions, _id=id_column, _text=text_column).select(
         "_id", blob_of(F.col("_text")).alias("blob")
     )
