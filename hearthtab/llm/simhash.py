@@ -209,7 +209,10 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     Every two linked fingerprints are connected by the links returned, though maybe over others.
     """
     keyed = _keyed(distinct)
-    counts = keyed.groupBy("_choice", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # Stored, so that adaptive execution can split a key with very many fingerprints in the join.
+    counts = staged(
+        keyed.groupBy("_choice", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "key_counts"
+    )
     # Keys of one fingerprint go; a long key is cut into parts, every two of which meet in a tile.
     parts = F.expr(f"CAST((_n + {PART - 1}) div {PART} AS int)")
     tiled = (
@@ -255,18 +258,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Columns ``node`` and ``root`` of all nodes on an edge (``a``, ``b`` as longs).
 
     Alternating large-star and small-star rounds; every round is written to the shared
-    folder. A node's smallest neighbour comes from a partial aggregation and is joined
-    back, so no task holds all neighbours of a node. The root is the smallest node.
+    folder. A node's smallest neighbour comes from a partial aggregation, is stored and joined
+    back, so that adaptive execution can split a node with very many neighbours. The root is the
+    smallest node.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(least, "least")
         large = (
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
         large = staged(large, "large_star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         joined = large.join(low, "u")
         small = (
             joined.where("v <> m")
@@ -303,8 +308,9 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text") ->
     rooted = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
     )
-    components = rooted.groupBy("_root").agg(F.min("_least").alias("component"))
-    of_print = rooted.join(components, "_root").select("_fp", "component")
+    # Stored for the same reason: a fingerprint or a component may hold a third of all rows.
+    components = staged(rooted.groupBy("_root").agg(F.min("_least").alias("component")), "components")
+    of_print = staged(rooted.join(components, "_root").select("_fp", "component"), "of_print")
     return prints.join(of_print, "_fp").select(
         F.col("_id").alias(id_column), F.col("_fp").alias("fingerprint"), "component"
     )
