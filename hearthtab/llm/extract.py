@@ -299,16 +299,19 @@ def templates(pages: DataFrame, id_column="page_id", url_column="url", html_colu
         )
     )
     tokens = staged(tokens, "tokens")
-    size = tokens.groupBy("host").agg(F.max("pages").alias("all_pages"))
+    size = staged(tokens.groupBy("host").agg(F.max("pages").alias("all_pages")), "hosts")
+    # What stands on a large share of a host's pages is bounded by the tags of a page, whatever the
+    # number of pages and of tags that stand on few of them.
+    frequent = staged(
+        tokens.where(F.col("pages") >= LEAST_PAGES)
+        .join(size, "host")
+        .where(F.col("pages") >= LEAST_SHARE * F.col("all_pages")),
+        "frequent_tokens",
+    )
     classes = (
-        tokens.groupBy("host", "pages", "vector")
+        frequent.groupBy("host", "pages", "vector")
         .agg(F.count(F.lit(1)).alias("tokens"), F.collect_set("token").alias("members"))
-        .join(size, "host")
-        .where(
-            (F.col("pages") >= LEAST_PAGES)
-            & (F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-            & (F.col("tokens") >= LEAST_TOKENS)
-        )
+        .where(F.col("tokens") >= LEAST_TOKENS)
     )
     # Nesting: the parent of every member stands in a valid class with as many pages or more.
     members = classes.select("host", "pages", "vector", F.explode("members").alias("token"))
@@ -319,7 +322,7 @@ def templates(pages: DataFrame, id_column="page_id", url_column="url", html_colu
         .where((F.col("parent") == "") | (F.col("parent_pages") >= F.col("pages")))
         .select("host", "token")
     )
-    frame = tokens.join(nested, ["host", "token"]).where("most = 1")
+    frame = frequent.join(nested, ["host", "token"]).where("most = 1")
     # The innermost slot that holds nearly all text of the fullest one.
     fullest = Window.partitionBy("host")
     depth = F.length("token") - F.length(F.regexp_replace("token", "/", ""))
