@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hearthtab.llm import decontaminate, packing, secrets, simhash, toxicity
 from hearthtab.llm.common import id_crc32, staged
+from hearthtab.sources.shipping import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -146,6 +147,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}")

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from hearthtab.llm import decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, toxicity
 from hearthtab.llm.common import id_crc32
 from hearthtab.llm.oracle import quality_sql, secrets_sql
+from hearthtab.sources.shipping import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
