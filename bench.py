@@ -14,6 +14,10 @@ HEADLINE = (
     "income_harmonized",
     "household_rollup",
     "person_with_household",
+    "household_rollup_hot",
+    "person_with_household_hot",
+    "build_stage_tables",
+    "ingest_fixed_width",
     "hhsize_by_year",
     "multifam_share_by_year",
     "multifam_share_by_race",
