@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthtab.sources.shipping import ship_package
+from hearthtab.sources.workspace import new_location
 
 RACE = "race_eth"
 WEIGHT = "PERWT"
@@ -180,7 +181,10 @@ def _sums(
 def run_lpm_by_year(
     data: DataFrame, controls: Sequence[str] = (), outcome: str = "is_multifam"
 ) -> DataFrame:
-    """Weighted least squares of ``outcome`` on all races and ``controls`` per year."""
+    """Weighted least squares of ``outcome`` on all races and ``controls`` per year.
+
+    With numeric controls the model's columns are written to the shared folder first.
+    """
     ship_package(data.sparkSession)
     categories, numbers = _split_controls(data, controls)
     prepared = _prepared(data, categories, numbers, outcome)
@@ -188,6 +192,10 @@ def run_lpm_by_year(
         sums = _sums(prepared, controls, categories, numbers, outcome)
         return sums.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
 
+    # Read twice, for the means and for the products: stored, so that what lies below runs once.
+    path = new_location(data.sparkSession, "model-rows")
+    prepared.write.parquet(path)
+    prepared = data.sparkSession.read.schema(prepared.schema).parquet(path)
     centres = _centres(prepared, numbers)
     centred = prepared.join(centres, "YEAR").withColumns(
         {

@@ -134,7 +134,7 @@ def _orders(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
 
 # Orders whose customer is in this part of all form one household in the hot view.
 HOT_SERIAL = 28 * 10_000_000 + 7
-HOT_LIMITS = SkewLimits(rows_per_task=200)
+HOT_LIMITS = SkewLimits(rows_per_task=1000)
 
 
 def _hot(serial: str) -> str:
