@@ -155,7 +155,9 @@ def update_ledger(
         .where(F.size("_todo") > 0)
         .select("blob", "_path", "_todo")
     )
-    chosen = rows.join(todo.hint("shuffle_hash"), ["blob", "_path"]).select("blob", "_text", "_todo")
+    # Rows repeated with the same path and text are one; they are combined before the shuffle of the join.
+    once = rows.groupBy("blob", "_path").agg(F.first("_text").alias("_text"))
+    chosen = once.join(todo.hint("shuffle_hash"), ["blob", "_path"]).select("blob", "_text", "_todo")
     found = _find(chosen, rules)
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,version:string>>")
     (

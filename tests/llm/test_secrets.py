@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hearthtab.llm import secrets
 from hearthtab.llm.oracle import secrets_sql
 from hearthtab.llm.queries import op4_secrets
@@ -102,3 +103,15 @@ def test_odd_rows(spark):
     for r in rows:
         assert any(i == r["doc_id"] and base_part(r) == brute(t) for i, t in texts)
     assert secrets.scan_secrets(odd.empty(spark)).count() == 0
+
+
+def test_repeated_rows_with_secrets(spark, small):
+    text = "é token=abcdefghijklmnop and deadbeefdeadbeef, secret: 0123456789abcdef0 end"
+    rows = [(1, text)] * 3 + [(2, text), (None, text), (None, text), (3, text + "!"), (3, text + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = secrets.scan_secrets(docs).collect()
+    assert len(found) == len(rows)
+    assert all(base_part(r) == brute(text) for r in found)
+    masked = [r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, small).collect()]
+    assert len(masked) == len(rows)
+    assert not any(s in t for t in masked for s in ("abcdefgh", "deadbeef", "01234567"))
