@@ -6,7 +6,7 @@ Items lie in blocks with the greatest weight of each term in each block. A passa
 greatest weights cannot reach the threshold, at all or in any block, is passed over; the others
 walk the posting lists with a pivot, skip blocks whose bounds stay below the threshold, and score what is
 left. All items above the threshold are verified: their words must be covered by common five-word
-shingles, in the question (all but the last sentence) and the answer (the last sentence).
+shingles, in the question and the answer (the last sentence; each has two fifths of the words at least).
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ THRESHOLD = 0.6
 LEAST_COVER = 0.8
 # Cover of the question and of the answer, each on its own.
 LEAST_PART_COVER = 0.5
+# Least share of an item's words in each of the two. A cover of ``LEAST_COVER`` leaves out a fifth of an item
+# at most, which is half of its smaller part at most: where edits stand cannot decide.
+LEAST_PART = (1 - LEAST_COVER) / LEAST_PART_COVER
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 4
 # Characters of items in one index; a larger benchmark is searched in several passes.
@@ -57,6 +60,9 @@ class Item:
         sentences = [s for s in _SENTENCE.split(text) if words_of(s)]
         words = words_of(text)
         answer = len(words_of(sentences[-1])) if len(sentences) > 1 else len(words) - len(words) // 2
+        # A short part takes words of the other one.
+        least = min(math.ceil(LEAST_PART * len(words) - 1e-9), len(words) // 2)
+        answer = min(max(answer, least), len(words) - least)
         item = cls(item_id, words, len(words) - answer)
         size = min(SHINGLE_WORDS, len(words))
         for k in range(len(words) - size + 1):

@@ -82,3 +82,18 @@ def test_odd_rows(spark):
     assert Counter((r["doc_id"], r["item_id"]) for r in found) == {(5, 1): 1, (6, 1): 1, (4, 2): 1}
     assert dc.find_leaks(odd.empty(spark), benchmark).count() == 0
     assert dc.find_leaks(odd.table(spark), benchmark.where("false")).count() == 0
+
+
+def test_edits_at_every_place_of_items_with_short_parts():
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    for sizes in ((30, 1), (30, 4), (25, 2, 3), (2, 30), (31,), (16, 15)):
+        item = dc.Item.of(0, " ".join(f"{fresh(n)}." for n in sizes))
+        index = dc.Index([item, dc.Item.of(1, fresh(20))])
+        words, edited = item.words, []
+        for k in range(len(words)):
+            edited += [[*words[:k], *x, *words[k + n :]] for x, n in ((["new"], 1), (["new"], 0), ([], 1))]
+        edited += [words[: len(words) - k] for k in range(1, 9)] + [words[k:] for k in range(1, 9)]
+        for copy in edited:
+            text = f"{fresh(40)} {' '.join(copy)} {fresh(40)}"
+            assert (0 in dc.matches_in(index, text)) == (item.cover(dc.words_of(text))[0] >= dc.LEAST_COVER)
