@@ -7,7 +7,8 @@ count, so that no vector is ever gathered. Classes are valid if they are support
 pages and their tokens nest: each token's path leads through tokens of its own class or of one
 with at least the same pages. Valid classes with one occurrence a page are the frame of the
 template; the text between their tags are its slots. The slot that holds most text outside
-links, counted over all pages of the host, is the main slot.
+links, counted over all pages of the host, lies in the main slot: the article around it, or the
+element that also holds the headings and paragraphs beside it whose text differs between pages.
 
 Blocks of text in the main slot are returned whole; navigation, notices and the like
 inside it are left out by their tags and names.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthtab.llm.common import pick, staged
@@ -63,6 +64,10 @@ _ENDED_BY = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# Elements that are text of their own rather than containers of a layout.
+_TEXT = _HEADINGS | frozenset(
+    "address blockquote dl figure header hgroup li ol p pre section summary td th tr ul".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -254,7 +259,7 @@ def host_of(url: str | None) -> str:
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page and token: its count, the hashed entry of the vector, and text below it."""
+    """Of each page and token: its count, the hashed entry of the vector, and size and hash of the text below it."""
     for batch in batches:
         rows = defaultdict(list)
         for page_id, url, page in zip(*(batch[c].to_pylist() for c in ("_id", "_url", "_html")), strict=True):
@@ -263,13 +268,15 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             blocks, tags = parse(page)
             mine = xxhash.xxh64_intdigest(f"{page_id}\0{url}")
-            text, links = Counter(), Counter()
+            text, links, words = Counter(), Counter(), Counter()
             for b in blocks:
                 if not b.left_out:
+                    own = xxhash.xxh64_intdigest(b.text) >> 24
                     for k in range(1, len(b.path) + 1):
                         place = "/".join(b.path[:k])
                         text[place] += len(b.text)
                         links[place] += b.linked
+                        words[place] += own
             for token, count in tags.items():
                 rows["host"].append(host)
                 rows["token"].append(token)
@@ -277,10 +284,39 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), mine) >> 24
                 rows["entry"].append(entry)
                 rows["plain"].append(text[token] - links[token])
+                rows["words"].append(words[token])
         if rows:
             yield pa.RecordBatch.from_pydict(dict(rows))
 
 
+def main_slot(frame: list[tuple[str, int, bool]]) -> str | None:
+    """Main slot among (path, characters outside links, whether its text differs between pages).
+
+    Starts at the innermost slot that holds nearly all text of the fullest one, which may lack a
+    title, a lead or a last section beside it, and climbs to the article or main part around it; without
+    one, to the outermost element below the body with such text beside the slot.
+    """
+    top = max((plain for _, plain, _ in frame), default=0)
+    if top <= 0:
+        return None
+    inner = max((t for t, plain, _ in frame if plain >= 0.95 * top), key=lambda t: (t.count("/"), t))
+    path = inner.split("/")
+    tags = [label.partition(".")[0] for label in path]
+    for name in ("article", "main"):
+        if name in tags:
+            return "/".join(path[: tags.index(name) + 1])
+    specific = [t.split("/") for t, _, differs in frame if differs]
+    size = len(path)
+    for n in range(len(path) - 1, 0, -1):
+        if tags[n - 1] in ("html", "body"):
+            break
+        beside = [t[n:] for t in specific if t[:n] == path[:n] and t[: n + 1] != path[: n + 1] and len(t) > n]
+        heading = any(t[-1].partition(".")[0] == "h1" for t in beside)
+        if heading or tags[n] in _TEXT or any(len(t) == 1 and t[0].partition(".")[0] in _TEXT for t in beside):
+            size = n
+    return "/".join(path[:size])
+
+
 def templates(pages: DataFrame, id_column="page_id", url_column="url", html_column="html") -> DataFrame:
     """Main slot of each host: ``host``, ``slot``; hosts without a valid template have no row.
 
@@ -289,13 +325,14 @@ def templates(pages: DataFrame, id_column="page_id", url_column="url", html_colu
     """
     rows = pick(pages, _id=id_column, _url=url_column, _html=html_column)
     tokens = (
-        rows.mapInArrow(_token_rows, "host string, token string, count long, entry long, plain long")
+        rows.mapInArrow(_token_rows, "host string, token string, count long, entry long, plain long, words long")
         .groupBy("host", "token")
         .agg(
             F.count(F.lit(1)).alias("pages"),
             F.max("count").alias("most"),
             F.sum(F.col("entry").cast("decimal(20,0)")).alias("vector"),
             F.sum("plain").alias("plain"),
+            (F.min("words") < F.max("words")).alias("differs"),
         )
     )
     tokens = staged(tokens, "tokens")
@@ -323,15 +360,10 @@ def templates(pages: DataFrame, id_column="page_id", url_column="url", html_colu
         .select("host", "token")
     )
     frame = frequent.join(nested, ["host", "token"]).where("most = 1")
-    # The innermost slot that holds nearly all text of the fullest one.
-    fullest = Window.partitionBy("host")
-    depth = F.length("token") - F.length(F.regexp_replace("token", "/", ""))
-    best = (
-        frame.withColumn("top", F.max("plain").over(fullest))
-        .where("top > 0 AND plain >= 0.95 * top")
-        .groupBy("host")
-        .agg(F.max_by("token", F.struct(depth, F.col("token"))).alias("slot"))
-    )
+    # The frame of a host is bounded as the tags of a page are.
+    listed = frame.groupBy("host").agg(F.collect_list(F.struct("token", "plain", "differs")).alias("frame"))
+    slot = F.udf(lambda frame: main_slot([tuple(x) for x in frame]), "string")
+    best = listed.select("host", slot("frame").alias("slot")).where("slot IS NOT NULL")
     return best
 
 

@@ -104,3 +104,26 @@ def test_odd_rows(spark):
     rows = [(1, None, "<p>x</p>"), (2, "no url", None), (None, "", "<p>y</p>")]
     got = {r["page_id"]: r["text"] for r in extract.extract_text(made(spark, rows)).collect()}
     assert got == {1: "x", 2: "", None: "y"}
+
+
+def test_title_and_lead_beside_the_fullest_slot_are_kept(spark):
+    inner = (
+        "<h1>Title {k}</h1><p class=lead>Lead {k}</p><div class=entry-content><p>{words}</p><p>more</p></div>"
+        "<section><p>Last {k}</p></section>"
+    )
+    hosts = {
+        "article": f"<html><body><div class=top>Site</div><article>{inner}</article></body></html>",
+        "div": f"<html><body><div class=top>Site</div><div class=all><div class=entry>{inner}</div>"
+        "<div class=rail>Rail</div></div></body></html>",
+        "one": "<html><body><div class=top>Site</div><article><h1>Title {k}</h1><p>{words}</p></article></body></html>",
+    }
+    words = lambda k: f"text {k} " * 200
+    rows = [
+        (k, f"http://{host}.example/{k}", page.format(k=k, words=words(k)))
+        for host, page in hosts.items()
+        for k in range(5)
+    ]
+    for r in extract.extract_text(made(spark, rows)).collect():
+        k = r["page_id"]
+        parts = [f"Title {k}", f"Lead {k}", words(k).strip(), "more", f"Last {k}"]
+        assert r["text"].split("\n\n") == (parts[::2][:2] if "one" in r["url"] else parts)
