@@ -230,16 +230,16 @@ def parse(page: str) -> tuple[list[Block], Counter]:
     return blocks, tags
 
 
-def main_text(page: str, slot: str | None) -> str:
-    """Text of the slot's blocks; without a slot, of the article, else of the page's body."""
+def main_text(page: str, *slots: str | None) -> str:
+    """Text of the first slot that the page has; without one, of the article, else of the page's body."""
     blocks, tags = parse(page)
     kept = [b for b in blocks if not b.left_out]
     inside: list[Block] = []
-    for prefix in (slot, *_usual_slots(tags)):
+    for prefix in (*slots, *_usual_slots(tags)):
         if prefix is not None:
             wanted = tuple(prefix.split("/")) if prefix else ()
             inside = [b for b in kept if b.path[: len(wanted)] == wanted]
-            if inside or (prefix == slot and prefix in tags):
+            if inside or (prefix in slots and prefix in tags):
                 break
     return "\n\n".join(b.text for b in inside)
 
@@ -251,6 +251,18 @@ def _usual_slots(tags: Counter) -> list[str]:
     return [*found, ""]
 
 
+def layout_of(tags: Counter) -> str:
+    """Name of a page's layout: the containers in the upper two levels of its body."""
+    upper = set()
+    for token in tags:
+        labels = token.split("/")
+        while labels and labels[0].partition(".")[0] in ("html", "body"):
+            del labels[0]
+        if 0 < len(labels) <= 2 and not any(label.partition(".")[0] in _TEXT for label in labels):
+            upper.add("/".join(labels))
+    return f"{xxhash.xxh64_intdigest(' '.join(sorted(upper))):016x}"
+
+
 def host_of(url: str | None) -> str:
     if not url:
         return ""
@@ -266,7 +278,10 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not page:
                 continue
             host = host_of(url)
+            if not host:
+                continue
             blocks, tags = parse(page)
+            layout = layout_of(tags)
             mine = xxhash.xxh64_intdigest(f"{page_id}\0{url}")
             text, links, words = Counter(), Counter(), Counter()
             for b in blocks:
@@ -279,6 +294,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         words[place] += own
             for token, count in tags.items():
                 rows["host"].append(host)
+                rows["layout"].append(layout)
                 rows["token"].append(token)
                 rows["count"].append(count)
                 entry = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), mine) >> 24
@@ -301,6 +317,8 @@ def main_slot(frame: list[tuple[str, int, bool]]) -> str | None:
         return None
     inner = max((t for t, plain, _ in frame if plain >= 0.95 * top), key=lambda t: (t.count("/"), t))
     path = inner.split("/")
+    if path[-1].partition(".")[0] in ("html", "body"):
+        return None
     tags = [label.partition(".")[0] for label in path]
     for name in ("article", "main"):
         if name in tags:
@@ -318,15 +336,20 @@ def main_slot(frame: list[tuple[str, int, bool]]) -> str | None:
 
 
 def templates(pages: DataFrame, id_column="page_id", url_column="url", html_column="html") -> DataFrame:
-    """Main slot of each host: ``host``, ``slot``; hosts without a valid template have no row.
+    """Main slots: ``host``, ``layout``, ``slot``.
+
+    A row with the empty layout is deduced from all pages of the host, the others from its pages of
+    one layout; these are left out where they say the same. Hosts and layouts without a valid
+    template have no row, nor have pages of unknown hosts.
 
     One row per page and token is summed by host and token before anything is shuffled, so the
     size of a host does not matter.
     """
     rows = pick(pages, _id=id_column, _url=url_column, _html=html_column)
     tokens = (
-        rows.mapInArrow(_token_rows, "host string, token string, count long, entry long, plain long, words long")
-        .groupBy("host", "token")
+        rows.mapInArrow(_token_rows, "host string, layout string, token string, count long, entry long, plain long, words long")
+        .withColumn("layout", F.explode(F.array(F.lit(""), "layout")))
+        .groupBy("host", "layout", "token")
         .agg(
             F.count(F.lit(1)).alias("pages"),
             F.max("count").alias("most"),
@@ -336,35 +359,37 @@ def templates(pages: DataFrame, id_column="page_id", url_column="url", html_colu
         )
     )
     tokens = staged(tokens, "tokens")
-    size = staged(tokens.groupBy("host").agg(F.max("pages").alias("all_pages")), "hosts")
+    size = staged(tokens.groupBy("host", "layout").agg(F.max("pages").alias("all_pages")), "hosts")
     # What stands on a large share of a host's pages is bounded by the tags of a page, whatever the
     # number of pages and of tags that stand on few of them.
     frequent = staged(
         tokens.where(F.col("pages") >= LEAST_PAGES)
-        .join(size, "host")
+        .join(size, ["host", "layout"])
         .where(F.col("pages") >= LEAST_SHARE * F.col("all_pages")),
         "frequent_tokens",
     )
     classes = (
-        frequent.groupBy("host", "pages", "vector")
+        frequent.groupBy("host", "layout", "pages", "vector")
         .agg(F.count(F.lit(1)).alias("tokens"), F.collect_set("token").alias("members"))
         .where(F.col("tokens") >= LEAST_TOKENS)
     )
     # Nesting: the parent of every member stands in a valid class with as many pages or more.
-    members = classes.select("host", "pages", "vector", F.explode("members").alias("token"))
+    members = classes.select("host", "layout", "pages", "vector", F.explode("members").alias("token"))
     valid = members.withColumn("parent", F.regexp_extract("token", r"^(.*)/[^/]*$", 1))
-    parents = members.select("host", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
+    parents = members.select("host", "layout", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
     nested = (
-        valid.join(parents, ["host", "parent"], "left")
+        valid.join(parents, ["host", "layout", "parent"], "left")
         .where((F.col("parent") == "") | (F.col("parent_pages") >= F.col("pages")))
-        .select("host", "token")
+        .select("host", "layout", "token")
     )
-    frame = frequent.join(nested, ["host", "token"]).where("most = 1")
+    frame = frequent.join(nested, ["host", "layout", "token"]).where("most = 1")
     # The frame of a host is bounded as the tags of a page are.
-    listed = frame.groupBy("host").agg(F.collect_list(F.struct("token", "plain", "differs")).alias("frame"))
+    listed = frame.groupBy("host", "layout").agg(F.collect_list(F.struct("token", "plain", "differs")).alias("frame"))
     slot = F.udf(lambda frame: main_slot([tuple(x) for x in frame]), "string")
-    best = listed.select("host", slot("frame").alias("slot")).where("slot IS NOT NULL")
-    return best
+    best = staged(listed.select("host", "layout", slot("frame").alias("slot")).where("slot IS NOT NULL"), "slots")
+    whole = best.where("layout = ''")
+    same = whole.select("host", "slot")
+    return whole.unionByName(best.where("layout <> ''").join(same, ["host", "slot"], "left_anti").select(whole.columns))
 
 
 def extract_text(
@@ -386,16 +411,23 @@ def extract_text(
             1,
         )
     )
-    joined = rows.withColumn("_host", host).join(
-        found.withColumnRenamed("host", "_host").withColumnRenamed("slot", "_slot"), "_host", "left"
+    page_layout = F.udf(lambda page: layout_of(parse(page)[1]) if page else "", "string")
+    by_host = found.where("layout = ''").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"))
+    by_layout = found.where("layout <> ''").select(
+        F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("slot").alias("_layout_slot")
     )
+    joined = rows.withColumn("_host", host).join(by_host, "_host", "left")
+    if by_layout.isEmpty():
+        joined = joined.withColumn("_layout_slot", F.lit(None).cast("string"))
+    else:
+        joined = joined.withColumn("_layout", page_layout("_html")).join(by_layout, ["_host", "_layout"], "left")
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(page.as_py(), slot.as_py()) if page.as_py() else ""
-                for page, slot in zip(batch["_html"], batch["_slot"], strict=True)
+                main_text(page.as_py(), slot.as_py(), other.as_py()) if page.as_py() else ""
+                for page, slot, other in zip(batch["_html"], batch["_slot"], batch["_layout_slot"], strict=True)
             ]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays(
@@ -404,7 +436,7 @@ def extract_text(
             )
 
     return (
-        joined.select("_id", "_url", "_html", "_slot")
+        joined.select("_id", "_url", "_html", "_slot", "_layout_slot")
         .mapInArrow(run, f"_id {kind}, _url string, text string, n_chars long")
         .withColumnsRenamed({"_id": id_column, "_url": url_column})
     )

@@ -127,3 +127,19 @@ def test_title_and_lead_beside_the_fullest_slot_are_kept(spark):
         k = r["page_id"]
         parts = [f"Title {k}", f"Lead {k}", words(k).strip(), "more", f"Last {k}"]
         assert r["text"].split("\n\n") == (parts[::2][:2] if "one" in r["url"] else parts)
+
+
+def test_unknown_hosts_and_hosts_of_several_layouts(spark):
+    rail = "<div class=rail>Rail {k}</div>"
+    article = "<html><body>" + rail + "<article><h1>T {k}</h1><p>{words}</p></article></body></html>"
+    story = "<html><body><div class=top-{n}>" + rail + "</div><div class=story-{n}><p>{words}</p><p>end</p></div></body></html>"
+    words = lambda k: f"text {k} " * 50
+    unknown = [(k, u, article.format(k=k, words=words(k))) for k, u in enumerate([None, "/a", None, "", "b"])]
+    for r in extract.extract_text(made(spark, unknown)).collect():
+        assert r["text"] == f"T {r['page_id']}\n\n{words(r['page_id']).strip()}"
+    assert extract.templates(made(spark, unknown)).count() == 0
+    several = [
+        (k, "http://m.example/", story.format(k=k, n="abc"[k % 3], words=words(k))) for k in range(12)
+    ]
+    for r in extract.extract_text(made(spark, several)).collect():
+        assert r["text"] == f"{words(r['page_id']).strip()}\n\nend"
