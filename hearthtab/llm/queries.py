@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, toxicity
+from hearthtab.llm import decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from hearthtab.llm.common import id_crc32
 from hearthtab.llm.oracle import quality_sql, secrets_sql
 from hearthtab.sources.shipping import ship_package
@@ -115,6 +115,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_language_id": op2_language_id,
@@ -126,6 +132,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_substrings": op11_substrings,
 }
 # The others need checksums, hashes, models or tokenizers that SQL lacks; tests check them by brute force.
 LLM_ORACLES: dict[str, str] = {"op4_secrets": secrets_sql(), "op6_quality": quality_sql()}
