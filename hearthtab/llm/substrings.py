@@ -183,15 +183,16 @@ def _cut_rows(least: int, hot: np.ndarray):
             key, content, row, start, windows = parts
             content = content.astype(np.uint32)
             ids, hashes = batch["id"].to_pylist(), np.asarray(batch["row"])
-            ranks = np.empty(len(ids), np.int64)
-            ranks[sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k], hashes[k]))] = range(len(ids))
+            # Equal rows have equal ranks, so that copies of a place follow each other.
+            distinct = sorted(set(zip((i is not None for i in ids), ids, hashes.tolist())))
+            rank_of = {(i, h): k for k, (_, i, h) in enumerate(distinct)}
+            ranks = np.array([rank_of[i, h] for i, h in zip(ids, hashes.tolist())])
             order = np.lexsort((start, ranks[row], content, key))
             key, content, row, start, windows = (p[order] for p in (key, content, row, start, windows))
             copy = np.append(False, (key[1:] == key[:-1]) & (content[1:] == content[:-1]))
             # A row that is repeated as a whole is no copy of itself.
-            one, two = row[:-1], row[1:]
-            same_id = np.array([ids[a] == ids[b] for a, b in zip(one, two)]) if len(row) > 1 else one == two
-            itself = np.append(False, copy[1:] & same_id & (hashes[one] == hashes[two]) & (start[1:] == start[:-1]))
+            rank = ranks[row]
+            itself = np.append(False, copy[1:] & (rank[1:] == rank[:-1]) & (start[1:] == start[:-1]))
             key[copy] = _mixed(start[copy].astype(np.uint64) + hashes[row[copy]].view(np.uint64))
             kept = np.flatnonzero(~itself)
             row = row[kept]
