@@ -7,7 +7,8 @@ order the falling (L) suffixes are induced in ascending and the rising (S) ones
 The two passes are driven by a monotone priority queue of tuples (first symbol, arrival, position, common
 prefix). As tuples arrive in the order of the suffix behind them, a key's tuples leave in the order in
 which they came, and their numbers are known beforehand: the queue is laid out with one stretch for each
-symbol. Tuples are pushed and popped in blocks. Arrays beyond ``IN_MEMORY`` bytes lie in files of the
+symbol. Tuples are pushed and popped in blocks. A text of names that is short enough is sorted in memory by
+doubling, which ends the recursion. Arrays beyond ``IN_MEMORY`` bytes lie in files of the
 executor's scratch folder that have no name, so that nothing remains of them however a task ends.
 """
 
@@ -21,7 +22,9 @@ import numpy as np
 IN_MEMORY = 128 << 20
 CHUNK = 1 << 20
 SMALLEST_BLOCK, LARGEST_BLOCK = 256, 1 << 17
-# Common prefixes are exact below this and at least this otherwise.
+# Texts of names up to this length end the recursion.
+IN_MEMORY_SYMBOLS = 1 << 20
+# Common prefixes are counted up to this at most.
 LONGEST = 240
 
 
@@ -134,12 +137,11 @@ def _induce(symbols, wanted, alphabet, seeds, seed_prefixes=None, runs=None):
         waiting = popped < 0
         first_waiting = int(waiting.argmax())
         m = first_waiting if waiting[first_waiting] else len(popped)
-        popped = np.array(popped[:m])
-        source = np.flatnonzero(popped > 0)
-        position = popped[source] - 1
+        # Position 0 has nothing before it: it reads the end mark's code, which is never wanted.
+        position = popped[:m] - 1
         code = coded[position]
-        chosen = np.flatnonzero(code)
-        source, position, code = source[chosen], position[chosen], code[chosen]
+        source = code.nonzero()[0]
+        position, code = position[source], code[source]
         order = np.argsort(code, kind="stable")
         symbol = code[order].astype(np.int64) - 1
         group = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])) if len(symbol) else order
@@ -230,16 +232,48 @@ def _sorted_rises(text, mirror, falling, rising, alphabet) -> np.ndarray:
     down, _ = _both_passes(text, mirror, falling, rising, alphabet, by_symbol)
     stretches = np.append(lms.dtype.type(n - 1), down[is_lms[down]][::-1])
     del down
-    place = np.searchsorted(lms, stretches)
+    number = scratch(n, lms.dtype)
+    number[lms] = np.arange(len(lms), dtype=lms.dtype)
+    place = number[stretches]
+    del number
     following = np.append(lms[1:], lms[-1])[place]
     names, count = _names(text, stretches, following)
     if count == len(lms):
         return stretches
     shorter = np.empty(len(lms), np.int32 if count < 1 << 31 else np.int64)
     shorter[place] = names
+    if len(shorter) <= IN_MEMORY_SYMBOLS:
+        return lms[_doubled(shorter)]
     return lms[suffix_order(shorter, count)]
 
 
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """Positions of all suffixes in ascending order, by doubling the length that ranks cover.
+
+    Only suffixes that still share their rank are sorted again. Needs the unique end mark 0.
+    """
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    first = np.append(True, text[order[1:]] != text[order[:-1]])
+    # A rank is the place of the first suffix of its group.
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
+    covered = 1
+    while len(open_):
+        position = order[open_]
+        pair = rank[position] * (n + 1) + rank[np.minimum(position + covered, n - 1)]
+        by = np.argsort(pair, kind="stable")
+        position, pair = position[by], pair[by]
+        # Open places of a group follow each other, so that sorting by rank keeps groups in place.
+        order[open_] = position
+        first = np.append(True, pair[1:] != pair[:-1])
+        rank[position] = open_[np.maximum.accumulate(np.where(first, np.arange(len(open_)), 0))]
+        open_ = open_[~(first & np.append(first[1:], True))]
+        covered *= 2
+    return order
+
+
 def suffix_order(text: np.ndarray, alphabet: int) -> np.ndarray:
     """Positions of all suffixes in ascending order. The last symbol is 0 and occurs nowhere else."""
     falling, _ = _falling_and_runs(text, False)
@@ -251,7 +285,7 @@ def suffix_order(text: np.ndarray, alphabet: int) -> np.ndarray:
     return np.append(down.dtype.type(len(text) - 1), down[::-1])
 
 
-def _direct_prefixes(text: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+def _direct_prefixes(text: np.ndarray, sorted_: np.ndarray, longest: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it, compared symbol by symbol."""
     shared = np.zeros(len(sorted_), np.uint8)
     for at in range(1, len(sorted_), CHUNK):
@@ -259,7 +293,7 @@ def _direct_prefixes(text: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
         two = two[: len(one)]
         one = one[: len(two)]
         open_ = np.arange(len(two))
-        for k in range(LONGEST):
+        for k in range(longest):
             # The end mark is unique, so that no comparison runs over the end.
             equal = text[one[open_].astype(np.int64) + k] == text[two[open_].astype(np.int64) + k]
             open_ = open_[equal]
@@ -269,9 +303,11 @@ def _direct_prefixes(text: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return shared
 
 
-def suffixes_with_prefixes(text: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+def suffixes_with_prefixes(
+    text: np.ndarray, alphabet: int, longest: int = LONGEST
+) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes but the end mark in descending order, each with its common prefix with the one
-    before it (exact below ``LONGEST``).
+    before it (exact below ``longest``, at least that otherwise).
 
     The common prefixes of the LMS suffixes are compared once; all others are carried by the queue.
     """
@@ -281,5 +317,5 @@ def suffixes_with_prefixes(text: np.ndarray, alphabet: int) -> tuple[np.ndarray,
     if not len(seeds):
         return np.arange(len(text) - 1), np.zeros(len(text) - 1, np.uint8)
     return _both_passes(
-        text, mirror, falling, rising, alphabet, seeds, _direct_prefixes(text, seeds), runs
+        text, mirror, falling, rising, alphabet, seeds, _direct_prefixes(text, seeds, longest), runs
     )

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthtab.llm import induced_sort
-from hearthtab.llm.common import pick, staged
+from hearthtab.llm.common import pick, staged_by
 
 LEAST = 100
 GRAM = 32
@@ -194,7 +194,9 @@ def _cut_rows(least: int, hot: np.ndarray):
             rank = ranks[row]
             itself = np.append(False, copy[1:] & (rank[1:] == rank[:-1]) & (start[1:] == start[:-1]))
             key[copy] = _mixed(start[copy].astype(np.uint64) + hashes[row[copy]].view(np.uint64))
+            # In input order, in which neighbours share their row: that packs better.
             kept = np.flatnonzero(~itself)
+            kept = kept[np.lexsort((start[kept], row[kept]))]
             row = row[kept]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -256,27 +258,27 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(last, 1)
 
 
+def _flat(marks: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row of each mark, marks and keys of a column of lists."""
+    place = np.repeat(np.arange(len(marks)), np.asarray(pc.list_value_length(marks)))
+    values = marks.flatten()
+    return place, np.asarray(values.field("mark")), values.field("key")
+
+
 def _cut_marked(least: int):
     """Texts with marks to the bytes of the pieces that go to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _binary(batch["text"])
-            place, keys, starts, pieces = [], [], [], []
-            for k, marks in enumerate(batch["marks"].to_pylist()):
-                for mark in marks:
-                    if mark["key"] is not None:
-                        start, windows = divmod(mark["mark"], 1 << _WINDOWS)
-                        place.append(k)
-                        keys.append(mark["key"])
-                        starts.append(start)
-                        pieces.append(texts[k][start : start + windows + least - 1])
-            rows = batch.select(["id", "id_hash", "row"]).take(pa.array(place, pa.int64()))
+            place, mark, key = _flat(batch["marks"])
+            chosen = np.flatnonzero(np.asarray(key.is_valid()))
+            place, mark = place[chosen], mark[chosen]
+            start, end = mark >> _WINDOWS, (mark >> _WINDOWS) + (mark & 255) + least - 1
+            pieces = [texts[k][a:b] for k, a, b in zip(place.tolist(), start.tolist(), end.tolist())]
+            rows = batch.select(["id", "id_hash", "row"]).take(pa.array(place))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *rows.columns, pa.array(keys, pa.int64()), pa.array(starts, pa.int64()),
-                    pa.array(pieces, pa.binary()),
-                ],
+                [*rows.columns, key.take(pa.array(chosen)), pa.array(start), pa.array(pieces, pa.binary())],
                 names=["id", "id_hash", "row", "key", "start", "piece"],
             )
 
@@ -308,7 +310,7 @@ def _sort_shard(least: int):
             at += len(part)
         text[at] = 0
         first = np.cumsum(windows + least) - windows - least
-        order, shared = induced_sort.suffixes_with_prefixes(text, 256)
+        order, shared = induced_sort.suffixes_with_prefixes(text, 256, least)
         # Positions with a whole window; others share nothing of that length with them.
         whole = np.zeros(len(text) + 1, np.int8)
         whole[first] += 1
@@ -337,34 +339,49 @@ def _sort_shard(least: int):
     return run
 
 
+def _merged(place: np.ndarray, mark: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the maximal spans that marks of rows cover."""
+    order = np.lexsort((mark, place))
+    place, begin = place[order], mark[order] >> _WINDOWS
+    end = begin + (mark[order] & 255) + least - 1
+    if not len(end):
+        return place, begin, end
+    # Rows are laid out one after the other: a span begins where nothing before reaches.
+    apart = place * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + apart)
+    first = np.flatnonzero(np.append(True, begin[1:] + apart[1:] > reach[:-1]))
+    last = np.append(first[1:], len(end)) - 1
+    return place[first], begin[first], reach[last] - apart[last]
+
+
 def _remove(least: int, with_text: bool):
     """Texts with marks to what is left of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _binary(batch["text"])
-            out: list[list] = [[] for _ in range(4)]
-            for k, (marks, more) in enumerate(zip(batch["marks"].to_pylist(), batch["more"].to_pylist())):
-                runs = sorted([m["mark"] for m in marks if m["key"] is None] + (more or []))
-                spans: list[list[int]] = []
-                for mark in runs:
-                    begin, windows = divmod(mark, 1 << _WINDOWS)
-                    end = begin + windows + least - 1
-                    if spans and begin <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], end)
-                    else:
-                        spans.append([begin, end])
-                edges = [0, *(e for span in spans for e in span), len(texts[k])]
-                kept = b"".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out[0].append([{"start": a, "end": b} for a, b in spans])
-                out[1].append(sum(b - a for a, b in spans))
-                out[2].append(hashlib.sha256(kept).hexdigest())
-                out[3].append(kept if with_text else None)
-            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            place, mark, key = _flat(batch["marks"])
+            sure = np.asarray(key.is_null())
+            more = batch["more"]
+            extra = np.repeat(np.arange(len(more)), np.asarray(pc.fill_null(pc.list_value_length(more), 0)))
+            place, mark = np.append(place[sure], extra), np.append(mark[sure], np.asarray(more.flatten()))
+            owner, begin, end = _merged(place, mark, least)
+            offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts))))
+            sizes = np.append(0, np.cumsum(end - begin))
+            digests, kept_texts = [], []
+            for k, text in enumerate(texts):
+                mine = slice(offsets[k], offsets[k + 1])
+                cuts = zip([0, *end[mine].tolist()], [*begin[mine].tolist(), len(text)])
+                kept = b"".join([text[a:b] for a, b in cuts])
+                digests.append(hashlib.sha256(kept).hexdigest())
+                kept_texts.append(kept if with_text else None)
+            spans = pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["start", "end"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["id_hash"], batch["row"], pa.array(out[0], pa.list_(span)),
-                    pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()),
+                    batch["id_hash"], batch["row"],
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans),
+                    pa.array(np.diff(sizes[offsets])), pa.array(digests, pa.string()),
+                    pa.array(kept_texts, pa.binary()),
                 ],
                 names=["id_hash", "row", "spans", "n_removed", "kept_sha256", "kept"],
             )
@@ -422,7 +439,8 @@ def remove_repeats(
         F.collect_list(F.struct("mark", "key")).alias("marks")
     )
     once = rows.groupBy(*whose).agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    marked = staged(once.join(marks, whose), "repeats_marked")
+    # Laid out by row, so that the texts stay where they are when the sorted marks are joined.
+    marked = staged_by(once.join(marks, whose), "repeats_marked", whose)
 
     to_sort = F.filter("marks", lambda m: m["key"].isNotNull())
     of_marks = F.aggregate(

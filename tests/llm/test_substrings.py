@@ -127,6 +127,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("in_memory", [1 << 20, 0])
 def test_sort_against_plain_sorting(monkeypatch, in_memory):
     monkeypatch.setattr(induced_sort, "IN_MEMORY", in_memory)
+    monkeypatch.setattr(induced_sort, "IN_MEMORY_SYMBOLS", in_memory)
     pick = random.Random(in_memory)
     for k in range(150):
         text = [pick.randint(1, pick.choice([1, 2, 3, 9])) for _ in range(pick.randint(1, 60))]
