@@ -145,7 +145,7 @@ def trie_sql() -> str:
     return f"""
 WITH turns AS (
   SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS spot
   FROM conversations WHERE conv_id IS NOT NULL
 ),
 convs AS (
@@ -153,14 +153,14 @@ convs AS (
   FROM (SELECT DISTINCT conv FROM turns)
 ),
 rebuilt AS (
-  SELECT c.conv, t.at, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.base AND t.at <= c.h
+  SELECT c.conv, t.spot, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.base AND t.spot <= c.h
   UNION ALL
-  SELECT c.conv, t.at + 8, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.conv AND t.at > c.h
+  SELECT c.conv, t.spot + 8, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.conv AND t.spot > c.h
 ),
 members AS (
   SELECT conv, row_number() OVER w AS depth, strlen(text) AS n_bytes,
     string_agg(sha256(length(role) || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS node
-  FROM rebuilt WINDOW w AS (PARTITION BY conv ORDER BY at)
+  FROM rebuilt WINDOW w AS (PARTITION BY conv ORDER BY spot)
   UNION ALL
   SELECT conv, 0, 0, '' FROM convs
 ),

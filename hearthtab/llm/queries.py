@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthtab.llm import conversation_trie, decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, substrings, toxicity
+from hearthtab.llm import alignment, conversation_trie, decontaminate, extract, language_id, packing, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from hearthtab.llm.common import id_crc32
 from hearthtab.llm.oracle import quality_sql, secrets_sql, trie_sql
 from hearthtab.sources.shipping import ship_package
@@ -125,6 +125,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    ).drop("groups")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_language_id": op2_language_id,
@@ -138,6 +146,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_substrings": op11_substrings,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_alignment": op13_alignment,
 }
 # The others need checksums, hashes, models or tokenizers that SQL lacks; tests check them by brute force.
 LLM_ORACLES: dict[str, str] = {"op4_secrets": secrets_sql(), "op6_quality": quality_sql(), "op12_prefix_trie": trie_sql()}
