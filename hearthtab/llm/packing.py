@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hearthtab.llm.common import pick
 
@@ -102,6 +104,9 @@ class _Words(dict):
         return ids
 
 
+_LOADED: dict[str, Encoder] = {}
+
+
 class Encoder:
     """Token ids of texts, the same as the tokenizer's own for whole texts.
 
@@ -121,6 +126,13 @@ class Encoder:
             closing[number] = token.removesuffix("</w>").endswith(_ENDS)
         self._closing = closing
 
+    @staticmethod
+    def loaded(tokenizer_file: str) -> Encoder:
+        """The worker process's encoder of a file. Its words stay known from task to task."""
+        if tokenizer_file not in _LOADED:
+            _LOADED[tokenizer_file] = Encoder(tokenizer_file)
+        return _LOADED[tokenizer_file]
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text the ids, and the number of ids before each sentence end."""
         words_of = [_WORD.findall(t) for t in texts]
@@ -271,8 +283,8 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield len(texts) - len(held), held
 
 
-_FIELDS = {
-    "doc_id": pa.int64(),
+# Besides the identifier, which keeps its type.
+_NUMBERS_AND_IDS = {
     "start": pa.int64(),
     "length": pa.int64(),
     "ids": pa.binary(),
@@ -280,7 +292,7 @@ _FIELDS = {
     "sequence_id": pa.int64(),
     "offset": pa.int64(),
 }
-_SCHEMA = pa.schema(list(_FIELDS.items()))
+_FIELDS = ("doc_id", *_NUMBERS_AND_IDS)
 _BATCH_PIECES = 512
 
 
@@ -292,20 +304,24 @@ def pack_documents(
     Columns: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset. Each input partition is packed on its own in the order of its rows, so
     nothing is shuffled and a repeated task gives the same windows; ``sequence_id`` carries the
-    partition in its upper half. A null or empty text is the end token alone. A document
+    partition in its upper half. The identifier keeps its type. A null or empty text is the end token alone. A document
     of any length is cut as often as needed; rows with equal identifiers are packed as rows of
     their own. Extra columns are not read. An empty table gives no windows.
     """
 
+    rows = pick(docs, _id=id_column, _text=text_column)
+    id_type = rows.schema["_id"].dataType
+    schema = [("doc_id", to_arrow_type(id_type)), *_NUMBERS_AND_IDS.items()]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file)
+        encoder = Encoder.loaded(tokenizer_file)
         packer = _Packer(TaskContext.get().partitionId() << 32)
         end = np.asarray([END_ID], "<u4")
 
         def taken() -> pa.RecordBatch:
-            arrays = [pa.array(packer.rows[k], kind) for k, kind in _FIELDS.items()]
+            arrays = [pa.array(packer.rows[k], kind) for k, kind in schema]
             packer.rows = {k: [] for k in _FIELDS}
-            return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays(arrays, names=_FIELDS)
 
         for batch in batches:
             ids = batch["_id"].to_pylist()
@@ -318,9 +334,7 @@ def pack_documents(
         if packer.rows["doc_id"]:
             yield taken()
 
-    rows = pick(docs, _id=id_column, _text=text_column)
+    pieces = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(
-        pack,
-        "doc_id long, start long, length long, ids binary, doc_tokens long, "
-        "sequence_id long, offset long",
+        pack, T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL(pieces).fields])
     )

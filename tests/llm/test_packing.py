@@ -106,3 +106,14 @@ def test_odd_rows(spark, tokenizer):
     by_doc, _ = check_pieces(pieces, expected)
     assert {i: sum(p["length"] for p in ps) for i, ps in by_doc.items()} == expected
     assert packing.pack_documents(odd.empty(spark), FILE).count() == 0
+
+
+def test_identifiers_of_any_type(spark, tokenizer):
+    df = spark.createDataFrame([("a", "One text."), (None, "Another one."), ("b", None)], "doc_id string, text string")
+    found = {(r.doc_id, r.doc_tokens) for r in packing.pack_documents(df, FILE).collect()}
+    tokens = {t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in ("One text.", "Another one.", None)}
+    assert found == {("a", tokens["One text."]), (None, tokens["Another one."]), ("b", tokens[None])}
+
+
+def test_one_encoder_per_process():
+    assert packing.Encoder.loaded(FILE) is packing.Encoder.loaded(FILE)
