@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthtab.llm.common import pick, staged
@@ -37,7 +37,7 @@ LEAST_TOKENS = 2
 
 # Roles of HTML elements.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg annotation object select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre "
@@ -58,6 +58,19 @@ _NAMES = frozenset(
     "replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
+# Parts of names that say where or how an element stands, not what it is.
+_LAYOUT_PARTS = frozenset(
+    "area article articles author bar block body bottom box button buttons c container content count custom "
+    "entry fixed floating form global group heading icon icons inline inner item items js l left link links "
+    "list m main media meta module o outer page panel post posts primary reader right row secondary section "
+    "site slot sticky text title top u user wrap wrapper x".split()
+)
+# Parts before "header" that name a page's, not an article's.
+_PAGE_PARTS = frozenset("global main site top".split())
+# Names of all of a page.
+_KEPT_NAMES = frozenset("page site main content post".split())
+# Nested elements that paths tell apart.
+DEEPEST = 64
 # A start tag that ends an open element of the same group.
 _ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -89,66 +102,138 @@ class Block:
     left_out: bool
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is left out by its tag, role or name.
+def _name_marks(value: str) -> bool:
+    """Whether a class or id says that an element is no article text.
+
+    A name counts if all its parts are listed words or plain parts of a layout: ``comment-list`` and
+    ``site-footer``, but not ``no-comments``, ``has-sidebar`` or ``share-price``.
+    """
+    for name in value.split():
+        parts = _NAME.findall(name)
+        if parts and name not in _KEPT_NAMES:
+            if not _NAMES.isdisjoint(parts) and all(p in _NAMES or p in _LAYOUT_PARTS for p in parts):
+                return True
+            if parts[-1] == "header" and all(p in _PAGE_PARTS for p in parts[:-1]):
+                return True
+    return False
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> str:
+    """``sure`` if an element is left out by its tag or role, ``likely`` if by its name or as a form.
 
     The header of an article holds its title and stays; that of a page goes.
     """
     if tag in _LEFT_OUT and not (tag == "header" and in_article):
-        return True
-    if not attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
+        return "likely" if tag == "form" else "sure"
+    found = ""
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "sure"
         if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = _NAME.findall(value)
-            if not _NAMES.isdisjoint(words) or (words[-1:] == ["header"] and not in_article):
-                return True
-    return False
+            return "likely" if value == "form" else "sure"
+        if name in ("class", "id") and tag not in ("html", "body", "main") and _name_marks(value):
+            # The title of an article may stand in an element named as header.
+            if not (in_article and "header" in value and _NAMES.isdisjoint(_NAME.findall(value))):
+                found = "likely"
+    return found
+
+
+class _Marks:
+    """Elements that may be left out, each with the one around it; judged when the page has been read.
+
+    What is only likely to be left out stays if it holds an article or main part, or, where the page has
+    neither outside of it, most of the page's text.
+    """
+
+    def __init__(self) -> None:
+        self._around: list[int] = []
+        self._sure: list[bool] = []
+        self._holds_article: list[bool] = []
+        self._in_article: list[bool] = []
+        self._articles_outside = False
+
+    def add(self, around: int, sure: bool, in_article: bool) -> int:
+        self._around.append(around)
+        self._sure.append(sure)
+        self._holds_article.append(False)
+        self._in_article.append(in_article)
+        return len(self._around) - 1
+
+    def article(self, mark: int) -> None:
+        """An article or main part begins inside ``mark`` (-1: outside of all)."""
+        if mark < 0:
+            self._articles_outside = True
+        while mark >= 0 and not self._holds_article[mark]:
+            self._holds_article[mark] = True
+            mark = self._around[mark]
+
+    def left_out(self, blocks: list[tuple[int, int]]) -> list[bool]:
+        """Of each mark whether it is left out, from the (mark, size) of all blocks of text."""
+        n = len(self._around)
+        inside, total = [0] * n, 0
+        for mark, size in blocks:
+            total += size
+            if mark >= 0:
+                inside[mark] += size
+        # Marks inside a mark come after it.
+        sure = list(self._sure)
+        for k in range(n):
+            sure[k] = sure[k] or (self._around[k] >= 0 and sure[self._around[k]])
+        total -= sum(inside[k] for k in range(n) if sure[k])
+        for k in range(n - 1, -1, -1):
+            if self._around[k] >= 0 and not sure[k]:
+                inside[self._around[k]] += inside[k]
+        out = []
+        for k in range(n):
+            most = 2 * inside[k] > total and not (self._articles_outside or self._in_article[k])
+            own = self._sure[k] or not (self._holds_article[k] or most)
+            out.append(own or (self._around[k] >= 0 and out[self._around[k]]))
+        return out
 
 
 def parse(page: str) -> tuple[list[Block], Counter]:
     """Blocks of text in page order, and the count of each start tag under its path.
 
     Unclosed and stray tags are mended as browsers do: a block closes an open paragraph and
-    whatever is open in it; an end tag closes up to its element, if that is open.
+    whatever is open in it; an end tag closes up to its element, if that is open. Paths name the outer
+    ``DEEPEST`` elements; what lies deeper belongs to the last of them, so that time and memory follow the
+    size of the page however deeply it is nested.
     """
-    # Tag, whether it or an ancestor is left out, and the name it has in paths.
-    stack: list[tuple[str, bool, str]] = []
-    blocks: list[Block] = []
+    # Tag, mark, and path including the element.
+    stack: list[tuple[str, int, tuple[str, ...]]] = []
+    # Places in the stack of each open tag, and of all open blocks.
+    places: dict[str, list[int]] = defaultdict(list)
+    open_blocks: list[int] = []
+    found_blocks: list[tuple[tuple[str, ...], str, int, int]] = []
     tags: Counter = Counter()
+    marks = _Marks()
     held: list[str] = []
     linked = 0
     path: tuple[str, ...] = ()
 
-    def block_path() -> tuple[str, ...]:
-        return tuple(label for t, _, label in stack if t in _BLOCK)
-
     def flush() -> None:
         nonlocal linked
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                blocks.append(Block(path, text, linked, bool(stack and stack[-1][1])))
+                found_blocks.append((path, text, linked, stack[-1][1] if stack else -1))
             held.clear()
         linked = 0
 
     def close(position: int) -> None:
         nonlocal path
-        if any(t in _BLOCK for t, *_ in stack[position:]):
+        if open_blocks and open_blocks[-1] >= position:
             flush()
-        del stack[position:]
-        path = block_path()
+        while len(stack) > position:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in _BLOCK:
+                open_blocks.pop()
+        path = stack[-1][2] if stack else ()
 
     def opened(tag: str) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                return k
-        return -1
+        return places[tag][-1] if places[tag] else -1
 
     end = 0
     length = len(page)
@@ -159,7 +244,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if start > end:
             text = page[end:start]
             held.append(text)
-            if any(t == "a" for t, *_ in stack):
+            if places["a"]:
                 linked += len(text)
         if start >= length:
             break
@@ -181,13 +266,13 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             k = opened(tag)
             if k >= 0:
                 # An end tag of an inline element does not reach beyond its block.
-                if tag not in _BLOCK and any(t in _BLOCK for t, *_ in stack[k:]):
+                if tag not in _BLOCK and open_blocks and open_blocks[-1] >= k:
                     continue
                 close(k)
             continue
         if tag in _RAW:
             stop = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, end)
-            if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
+            if attributes.rstrip().endswith("/") and tag == "svg":
                 continue
             if not stop:
                 end = length
@@ -210,24 +295,32 @@ def parse(page: str) -> tuple[list[Block], Counter]:
                     close(k)
             flush()
             # Inline elements left open by unclosed blocks do not go on.
-            while stack and stack[-1][0] not in _BLOCK:
-                stack.pop()
+            if stack and stack[-1][0] not in _BLOCK:
+                close(open_blocks[-1] + 1 if open_blocks else 0)
         elif tag == "br":
             held.append(" ")
         if tag in _VOID:
             continue
-        out = bool(stack and stack[-1][1]) or _marked(
-            tag, attributes, any(t in ("article", "main") for t, *_ in stack)
-        )
-        if out and not (stack and stack[-1][1]):
-            flush()
-        named = _CLASS.search(attributes) if attributes and tag in _BLOCK else None
-        stack.append((tag, out, f"{tag}.{named[1].lower()}" if named else tag))
+        mark = stack[-1][1] if stack else -1
+        in_article = bool(places["article"] or places["main"])
+        marked = _marked(tag, attributes, in_article)
+        if marked:
+            if mark < 0:
+                flush()
+            mark = marks.add(mark, marked == "sure", in_article)
+        elif tag in ("article", "main"):
+            marks.article(mark)
         if tag in _BLOCK:
-            path = block_path()
-            tags["/".join(path)] += 1
+            if len(path) < DEEPEST:
+                named = _CLASS.search(attributes) if attributes else None
+                path = (*path, f"{tag}.{named[1].lower()}" if named else tag)
+                tags["/".join(path)] += 1
+            open_blocks.append(len(stack))
+        places[tag].append(len(stack))
+        stack.append((tag, mark, path))
     flush()
-    return blocks, tags
+    out = marks.left_out([(mark, len(text)) for _, text, _, mark in found_blocks])
+    return [Block(p, text, n, mark >= 0 and out[mark]) for p, text, n, mark in found_blocks], tags
 
 
 def main_text(page: str, *slots: str | None) -> str:
@@ -263,22 +356,20 @@ def layout_of(tags: Counter) -> str:
     return f"{xxhash.xxh64_intdigest(' '.join(sorted(upper))):016x}"
 
 
-def host_of(url: str | None) -> str:
-    if not url:
-        return ""
-    found = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)", url.strip(), re.I)
-    return found[1].rpartition("@")[2].lower() if found else ""
+def host_of(url: Column) -> Column:
+    """Host of an absolute URL, in lower case, without user and white space around; else empty."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\s\u0085\u00a0]+|[\s\u0085\u00a0]+$", "")
+    site = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.lower(F.regexp_extract(site, r"([^@]*)$", 1))
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page and token: its count, the hashed entry of the vector, and size and hash of the text below it."""
     for batch in batches:
         rows = defaultdict(list)
-        for page_id, url, page in zip(*(batch[c].to_pylist() for c in ("_id", "_url", "_html")), strict=True):
-            if not page:
-                continue
-            host = host_of(url)
-            if not host:
+        columns = (batch[c].to_pylist() for c in ("_id", "_url", "_html", "_host"))
+        for page_id, url, page, host in zip(*columns, strict=True):
+            if not page or not host:
                 continue
             blocks, tags = parse(page)
             layout = layout_of(tags)
@@ -347,7 +438,8 @@ def templates(pages: DataFrame, id_column="page_id", url_column="url", html_colu
     """
     rows = pick(pages, _id=id_column, _url=url_column, _html=html_column)
     tokens = (
-        rows.mapInArrow(_token_rows, "host string, layout string, token string, count long, entry long, plain long, words long")
+        rows.withColumn("_host", host_of(F.col("_url")))
+        .mapInArrow(_token_rows, "host string, layout string, token string, count long, entry long, plain long, words long")
         .withColumn("layout", F.explode(F.array(F.lit(""), "layout")))
         .groupBy("host", "layout", "token")
         .agg(
@@ -404,19 +496,12 @@ def extract_text(
     """
     found = staged(templates(pages, id_column, url_column, html_column), "templates")
     rows = pick(pages, _id=id_column, _url=url_column, _html=html_column)
-    host = F.lower(
-        F.regexp_extract(
-            F.regexp_extract(F.trim(F.coalesce("_url", F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1),
-            r"([^@]*)$",
-            1,
-        )
-    )
     page_layout = F.udf(lambda page: layout_of(parse(page)[1]) if page else "", "string")
     by_host = found.where("layout = ''").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"))
     by_layout = found.where("layout <> ''").select(
         F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("slot").alias("_layout_slot")
     )
-    joined = rows.withColumn("_host", host).join(by_host, "_host", "left")
+    joined = rows.withColumn("_host", host_of(F.col("_url"))).join(by_host, "_host", "left")
     if by_layout.isEmpty():
         joined = joined.withColumn("_layout_slot", F.lit(None).cast("string"))
     else:

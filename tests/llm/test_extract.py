@@ -2,6 +2,10 @@ from __future__ import annotations
 
 import html
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from hearthtab.llm import extract
 from hearthtab.llm.queries import op1_html
@@ -143,3 +147,65 @@ def test_unknown_hosts_and_hosts_of_several_layouts(spark):
     ]
     for r in extract.extract_text(made(spark, several)).collect():
         assert r["text"] == f"{words(r['page_id']).strip()}\n\nend"
+
+
+def test_words_in_names_do_not_lose_articles():
+    """Listed words on wrappers, in longer names and on elements of the article itself."""
+    body = "<article><p>Body of the page.</p></article>"
+    for page in (
+        f'<div class="content has-sidebar">{body}</div>',
+        f'<div id="page" class="site no-comments">{body}</div>',
+        f'<div class="modal-closed wrapper">{body}</div>',
+        f"<form><div>{body}</div></form>",
+        f'<div class="widget">{body}</div>',
+        f'<form><div class="nav-open sidebar">{body}</div></form><footer>Foot</footer>',
+    ):
+        assert extract.main_text(f"<html><body>{page}</body></html>") == "Body of the page."
+    inside = (
+        '<article><p class="share-price">Prices rose.</p><p class="related-work">Work.</p>'
+        '<section id="comments-on-method"><p>Method.</p></section><p>a <math><mi>x</mi></math> b</p></article>'
+    )
+    assert extract.main_text(inside) == "Prices rose.\n\nWork.\n\nMethod.\n\na x b"
+    title = '<div class="post-header"><h1>Title</h1></div><div class="entry"><p>Text.</p></div>'
+    assert extract.main_text(title) == "Title\n\nText."
+    alone = "<form><p>All of a page's text, in a form without any article.</p></form><nav>Home</nav>"
+    assert extract.main_text(alone) == "All of a page's text, in a form without any article."
+
+
+def test_what_is_left_out_by_name():
+    """Comments, also those marked up as articles, and layout names made of listed words."""
+    rest = (
+        '<div class="comments-area"><article class="comment"><p>I say.</p></article></div>'
+        '<div class="related-posts"><p>More.</p></div><div id="site-footer"><p>Foot.</p></div>'
+        '<div class="cookie-consent-banner"><p>Cookies.</p></div><div class="ad-slot"><p>Buy.</p></div>'
+        '<div class="site-header"><p>Site.</p></div><form><p>Your name</p></form><div hidden><p>Never.</p></div>'
+    )
+    assert extract.main_text(f"<body><article><p>Text.</p></article>{rest}</body>") == "Text."
+    assert extract.main_text(f"<body><article><p>Text.</p>{rest}</article></body>").startswith("Text.")
+    assert extract.main_text(f"<body><div><p>{'Text. ' * 30}</p></div>{rest}</body>") == ("Text. " * 30).strip()
+
+
+def test_articles_in_wrappers_through_templates(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    pages = [
+        (k, f"https://wrapped.example/{k}", '<html><body><div class="content has-sidebar"><div class="sidebar"><p>Menu</p></div>'
+         f"<article><h1>{words[k]}</h1><p>{' '.join(words[k:])} and so on.</p></article></div></body></html>")
+        for k in range(5)
+    ]
+    got = {r.page_id: r.text for r in extract.extract_text(made(spark, pages)).collect()}
+    assert got == {k: f"{words[k]}\n\n{' '.join(words[k:])} and so on." for k in range(5)}
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "ul><li", "article", 'div class="widget"', "table><tr><td"])
+def test_deep_nesting_takes_time_in_proportion(tag):
+    began = time.perf_counter()
+    assert extract.main_text(f"<{tag}>" * 100_000 + "deep").endswith("deep")
+    assert time.perf_counter() - began < 20
+
+
+def test_hosts_are_found_alike_in_templates_and_pages(spark):
+    rows = [(k, f"\t\n https://User@Host.Example/{k}\n", f"<body><article><p>Text {k} of it.</p></article></body>") for k in range(4)]
+    rows += [(9, "ftp:/nothing", "<p>x</p>"), (10, None, None)]
+    found = spark.createDataFrame(rows, "page_id long, url string, html string").select(extract.host_of(F.col("url")).alias("h"))
+    assert [r.h for r in found.collect()] == ["host.example"] * 4 + ["", ""]
+    assert {r.host for r in extract.templates(made(spark, rows)).collect()} <= {"host.example"}
