@@ -105,8 +105,7 @@ counted AS (
 ),
 shaped AS (
   SELECT *,
-    n_words < {quality.LEAST_WORDS}
-      OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     list_transform([n_chars - word_chars, n_symbols, c_digit, c_upper, c_beyond_ascii, c_mark,
       word_chars - n_symbols - c_digit - c_upper - c_beyond_ascii - c_mark], lambda x: x::DOUBLE) AS classes,
     list_transform(list_append(used, n_words - list_sum(used)), lambda x: x::DOUBLE) AS usage
@@ -118,17 +117,20 @@ reference AS (
 ),
 judged AS (
   SELECT *,
-    CASE WHEN n_chars >= {quality.GUARD_CHARS} AND n_words >= {quality.GUARD_WORDS}
+    CASE WHEN n_chars >= 400 AND n_words >= 80
       THEN {jsd(share('classes'), share('all_classes'))} END AS class_distance,
-    CASE WHEN n_chars >= {quality.GUARD_CHARS} AND n_words >= {quality.GUARD_WORDS}
+    all_usage[13] / list_sum(all_usage) AS rest,
+    CASE WHEN n_chars >= 400 AND n_words >= 80
         AND lang IN ({', '.join(map(_literal, quality.COMMON_WORDS))})
       THEN {jsd(share('usage'), share('all_usage'))} END AS word_distance
   FROM shaped LEFT JOIN reference USING (lang)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   round(class_distance, 9) AS class_distance, round(word_distance, 9) AS word_distance, base_failed,
-  NOT base_failed AND coalesce(class_distance, 0) <= {quality.MOST_CLASS_DISTANCE}
-    AND coalesce(word_distance, 0) <= {quality.MOST_WORD_DISTANCE} AS kept
+  -- A document of other words alone shares only the last bin with its language.
+  NOT base_failed AND coalesce(class_distance, 0) <= 0.3::DOUBLE
+    AND (coalesce(word_distance, 0) <= 0.95::DOUBLE
+      * sqrt(((1 - log2(1 + rest)) + (1 - rest) + rest * log2(2 * rest / (1 + rest))) / 2) OR rest = 1) IS NOT FALSE AS kept
 FROM judged
 """
 

@@ -2,7 +2,9 @@
 
 The histograms of character classes and of common words of a document are compared with those
 of its language (sums over all documents that pass the counts) by the Jensen-Shannon
-distance. Short documents are guarded: their histograms are too coarse to judge.
+distance. Common words are too small a part of any text for a fixed limit to be reached: their limit
+is a part of the distance that a document without any of them has from its language. Short documents
+are guarded: their histograms are too coarse to judge.
 Only DataFrame expressions are used; words stay in arrays of their row.
 """
 
@@ -39,7 +41,8 @@ _COMMON = 12
 GUARD_CHARS = 400
 GUARD_WORDS = 80
 MOST_CLASS_DISTANCE = 0.30
-MOST_WORD_DISTANCE = 0.35
+# Part of the distance of a document without common words.
+MOST_WORD_PART = 0.95
 
 
 def repeated_words(words: str) -> str:
@@ -156,7 +159,8 @@ def judge_quality(
     Columns: the identifier, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     class_distance, word_distance, base_failed, kept. A null or empty text has no words and fails
     the counts. A distance is null where a guard holds or the language has no
-    reference; a null distance never rejects. Rows without a language are compared
+    reference; a null distance never rejects. Nor does the distance of common words where the language's
+documents have none. Rows without a language are compared
     with each other's sum by character classes alone. Rows with equal identifiers stay rows of
     their own; an empty table gives an empty result.
     """
@@ -177,6 +181,11 @@ def judge_quality(
             sums("_usage", _COMMON + 1).alias("_all_usage"),
         )
     )
+    # The distance of a document of other words alone, per language.
+    others_alone = F.array(*[F.lit(0.0)] * _COMMON, F.lit(1.0))
+    reference = reference.withColumn(
+        "_word_limit", MOST_WORD_PART * js_distance(others_alone, _share(F.col("_all_usage")))
+    )
     long_enough = (F.col("n_chars") >= GUARD_CHARS) & (F.col("n_words") >= GUARD_WORDS)
     judged = (
         rows.join(reference, "_lang", "left")
@@ -193,7 +202,8 @@ def judge_quality(
         )
     )
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE
+        (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce("_word_limit", F.lit(1.0)))
+        | (F.col("_word_limit") == 0)
     )
     return judged.select(
         F.col("_id").alias(id_column),

@@ -75,3 +75,25 @@ def test_odd_rows(spark):
     got = Counter((r["doc_id"], *(r[n] for n in NAMES)) for r in rows)
     assert got == Counter((i, *brute(t)) for i, t in odd.TEXTS)
     assert quality.judge_quality(odd.empty(spark)).count() == 0
+
+
+def test_documents_without_common_words_go(spark):
+    """Labelled-bad lists without a common word are rejected by the words; good documents never are."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL")
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in op6_quality(spark, folder).join(labels, "doc_id").join(texts, "doc_id").collect() if not r["base_failed"]]
+    without = [
+        r for r in rows
+        if r["word_distance"] is not None and not set(r["text"].split()) & set(quality.COMMON_WORDS[r["lang"]])
+    ]
+    assert len(without) > 50 and not any(r["kept"] for r in without)
+    by_words = [r for r in rows if not r["kept"] and r["class_distance"] <= quality.MOST_CLASS_DISTANCE]
+    assert len(by_words) > 50 and all(r["quality"] == 0 for r in rows if not r["kept"])
+
+
+def test_a_language_without_common_words_in_use(spark):
+    """Where no document has a common word, words reject none."""
+    text = " ".join(f"wort{k % 37}x{k}" for k in range(200))
+    frame = spark.createDataFrame([(k, f"{text} {k}", "de") for k in range(4)], "doc_id long, text string, lang string")
+    assert all(r["kept"] for r in quality.judge_quality(frame).collect())
