@@ -1,15 +1,18 @@
-"""Toxicity: a support vector machine over words with a gapped subsequence string kernel.
+"""Toxicity: support vector machines with a gapped subsequence string kernel, over words and documents.
 
 The kernel compares two words by their common subsequences of four symbols inside a stretch of
 ``SPAN`` symbols, each weighted by ``DECAY`` to the length of its stretch, so that gaps and
 inserted characters cost little. Words are mapped to the kernel's values at landmark
-words (Nystroem); a linear machine with squared hinge loss is trained on the mapped words. As its
-decision is a sum of kernel values, it equals one weight per subsequence, and words
-are scored with those weights: the scores are the same, without a kernel value per
-landmark. A document scores as its most toxic word.
-
-Labels belong to documents. Which words are toxic is learned from them: pieces of words that
-occur in many unrelated toxic documents and in no clean one.
+words (Nystroem). Two linear machines with squared hinge loss are trained on the mapped words: the first
+tells suspect words from others; the second is trained on the labelled documents, each the sum of its
+distinct suspect words, so that one word that never stands in clean text decides alone and words that
+also occur by chance need others beside them. As decisions are sums of kernel values, they equal one weight
+per subsequence, and words are scored with those weights: the scores are the same, without a kernel value
+per landmark.
+
+Labels belong to documents. Which words are suspect is learned from them: words with a piece that is much
+more frequent in unrelated toxic documents than in clean ones. Single clean documents that quote insults,
+and single wrong labels, weigh as little as their share.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
 
@@ -48,8 +51,18 @@ HARD_WORDS = 4000
 LANDMARKS = 192
 ROUNDS = 4
 COST = 10.0
-# Chance of an accidental piece that is still taken for toxic.
+# Suspect pieces: sizes, least number of unrelated toxic documents, how much more frequent than in clean ones,
+# and the chance of an accidental piece that is still taken.
+GRAM_SIZES = (4, 5, 6, 7)
+LEAST_GROUPS = 5
+LEAST_RATIO = 6.0
 ACCIDENT = 1e-7
+BAD_WORDS = 6000
+DOCUMENT_COST = 1.0
+# Share of the sample's clean documents that may lie above the border, and how far the border may be moved
+# for it: single wrong labels must not move it far.
+CLEAN_SHARE = 0.002
+LOWEST_BORDER, HIGHEST_BORDER = -0.12, 0.1
 # Bound of the cache of scored words, per Python worker.
 CACHED_WORDS = 500_000
 
@@ -184,19 +197,39 @@ def train_svm(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, cost: f
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    weight: np.ndarray  # one number per subsequence
+    weight: np.ndarray  # one number per subsequence: suspect words
     bias: float
+    # One number per subsequence: what a suspect word adds to its document.
+    share: np.ndarray = field(default_factory=lambda: np.zeros(SYMBOLS**ORDER, np.float32))
+    size_share: np.ndarray = field(default_factory=lambda: np.zeros(2))  # of each measure of a document's size
+    document_bias: float = -1.0
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """Decision values; a word without subsequences gets -1."""
+        """Whether words are suspect (above 0); a word without subsequences gets -1."""
         out = np.full(len(words), -1.0)
         for places, number, value in subsequences(words):
             out[places] = (self.weight[number] * value).sum(axis=1) + self.bias
         return out
 
+    def shares(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for places, number, value in subsequences(words):
+            out[places] = (self.share[number] * value).sum(axis=1)
+        return out
+
+
+# Scores like text without a suspect word.
+NO_MODEL = ToxicityModel(np.zeros(SYMBOLS**ORDER, np.float32), -1.0)
+
+
+def size_measures(n_words) -> np.ndarray:
+    """Measures of the number of distinct words: long texts have more suspect words by chance."""
+    n = np.asarray(n_words, float)
+    return np.stack([np.sqrt(n) / 30, n / 1000], axis=-1)
+
 
 def _grams(word: str) -> set[str]:
-    return {word[k : k + n] for n in (4, 5) for k in range(len(word) - n + 1)}
+    return {word[k : k + n] for n in GRAM_SIZES for k in range(len(word) - n + 1)}
 
 
 def _unrelated(signatures: list[tuple]) -> list[int]:
@@ -221,58 +254,100 @@ def _unrelated(signatures: list[tuple]) -> list[int]:
 
 @dataclass
 class Evidence:
-    """What the sample says: words of unrelated toxic documents, word counts of clean ones."""
+    """What the sample says: distinct words of each document, and the group of related ones it is in."""
 
-    toxic_groups: list[set[str]]
-    clean_words: Counter
-    clean_groups: int
+    toxic: list[list[str]]
+    toxic_group: list[int]
+    clean: list[list[str]]
+    clean_group: list[int]
 
 
 def gather(sample: Iterator[tuple[bool, list[str], tuple]]) -> Evidence:
     """From (toxic, distinct normal words, signatures) of documents."""
-    toxic, clean_words, clean_signatures, pool = [], Counter(), [], {}
+    held: dict[bool, list] = {True: [], False: []}
+    pool: dict[str, str] = {}
     for is_toxic, words, signature in sample:
-        own = [pool.setdefault(w, w) for w in words]
-        if is_toxic:
-            toxic.append((signature, own))
-        else:
-            clean_words.update(own)
-            clean_signatures.append(signature)
-    toxic.sort()
-    groups: dict[int, set[str]] = defaultdict(set)
-    for number, (_, words) in zip(_unrelated([s for s, _ in toxic]), toxic, strict=True):
-        groups[number].update(words)
-    return Evidence(
-        list(groups.values()), clean_words, len(set(_unrelated(sorted(clean_signatures))))
-    )
+        held[is_toxic].append((signature, [pool.setdefault(w, w) for w in words]))
+    parts = []
+    for label in (True, False):
+        held[label].sort()
+        parts += [[words for _, words in held[label]], _unrelated([s for s, _ in held[label]])]
+    return Evidence(*parts)
+
+
+def _support(documents: list[list[str]], group: list[int]) -> tuple[Counter, int]:
+    """Number of groups with each word, and of groups."""
+    words_of: dict[int, set[str]] = defaultdict(set)
+    for number, words in zip(group, documents, strict=True):
+        words_of[number].update(words)
+    support: Counter = Counter()
+    for words in words_of.values():
+        support.update(words)
+    return support, len(words_of)
+
+
+def suspect_pieces(toxic: Counter, n_toxic: int, clean: Counter, n_clean: int) -> set[str]:
+    """Pieces much more frequent in toxic groups than in clean ones, beyond any chance.
+
+    Supports of a piece are summed over the words that hold it.
+    """
+    both = []
+    for words in (toxic, clean):
+        grams: Counter = Counter()
+        for word, n in words.items():
+            for gram in _grams(word):
+                grams[gram] += n
+        both.append(grams)
+    share = n_toxic / (n_toxic + n_clean)
+    found = set()
+    for gram, n in both[0].items():
+        other = both[1].get(gram, 0)
+        if n < LEAST_GROUPS or n * n_clean < LEAST_RATIO * max(other, 0.5) * n_toxic:
+            continue
+        # Chernoff's bound on so many toxic ones among all groups with the piece.
+        part = n / (n + other)
+        distance = math.log(part / share) * part
+        if other:
+            distance += math.log((1 - part) / (1 - share)) * (1 - part)
+        if (n + other) * distance >= -math.log(ACCIDENT):
+            found.add(gram)
+    return found
+
+
+def _collapsed(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
+    """One weight per subsequence from one per landmark."""
+    dense = np.zeros(SYMBOLS**ORDER)
+    for row, a in zip(feature_rows(landmarks), alpha, strict=True):
+        for n, v in row.items():
+            dense[n] += a * v
+    return dense.astype(np.float32)
 
 
 def learn(evidence: Evidence) -> ToxicityModel | None:
     """Fit on the evidence; None without both labels, or if no word tells them apart."""
-    clean_words = evidence.clean_words
-    n_toxic, n_clean = len(evidence.toxic_groups), evidence.clean_groups
+    toxic_words, n_toxic = _support(evidence.toxic, evidence.toxic_group)
+    clean_words, n_clean = _support(evidence.clean, evidence.clean_group)
     if not n_toxic or not n_clean:
         return None
-    clean_grams = {g for w in clean_words for g in _grams(w)}
-    suspects = [words.difference(clean_words) for words in evidence.toxic_groups]
-    support: Counter = Counter()
-    for words in suspects:
-        support.update({g for w in words for g in _grams(w) if g not in clean_grams})
-    share = n_toxic / (n_toxic + n_clean)
-    enough = max(3, math.ceil(math.log(ACCIDENT) / math.log(share)))
-    pieces = {g for g, n in support.items() if n >= enough}
-    words_with: dict[str, set[str]] = defaultdict(set)
-    for words in suspects:
-        for w in words:
-            for g in _grams(w) & pieces:
-                words_with[g].add(w)
-    bad = sorted({w for g in pieces for w in sorted(words_with[g])[:WORDS_PER_PIECE]})
+    pieces = suspect_pieces(toxic_words, n_toxic, clean_words, n_clean)
+    words_with: dict[str, list[str]] = defaultdict(list)
+    for word in sorted(toxic_words, key=lambda w: (-toxic_words[w], w)):
+        # More frequent in toxic documents as a whole word, too.
+        if toxic_words[word] * n_clean > LEAST_RATIO * clean_words[word] * n_toxic:
+            for gram in _grams(word) & pieces:
+                if len(words_with[gram]) < WORDS_PER_PIECE:
+                    words_with[gram].append(word)
+    bad = sorted({w for words in words_with.values() for w in words})
     if not bad:
         return None
-    frequent = [w for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0]))]
+    spread = lambda words, n: sorted(words, key=lambda w: xxhash.xxh64_intdigest(w, 7))[:n]
+    # The most frequent of the suspect ones: every kind of insult is among them.
+    bad = sorted(bad, key=lambda w: (-toxic_words[w], w))[:BAD_WORDS]
+    frequent = sorted((w for w in clean_words if not _grams(w) & pieces), key=lambda w: (-clean_words[w], w))
     rest = sorted(frequent[CLEAN_WORDS // 2 :], key=lambda w: xxhash.xxh64_intdigest(w))
     good = frequent[: CLEAN_WORDS // 2] + rest[: CLEAN_WORDS // 2]
-    spread = lambda words, n: sorted(words, key=lambda w: xxhash.xxh64_intdigest(w, 7))[:n]
+    if not good:
+        return None
     landmarks = spread([p for w in bad for p in pieces_of(w)], LANDMARKS * 2 // 3)
     landmarks += spread([p for w in good for p in pieces_of(w)], LANDMARKS // 3)
     landmarks = sorted(set(landmarks))
@@ -280,37 +355,66 @@ def learn(evidence: Evidence) -> ToxicityModel | None:
     values, vectors = np.linalg.eigh(kernel_with(landmarks, landmarks))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    dense = np.zeros(SYMBOLS**ORDER)
-    model = None
+    first = NO_MODEL
     for _ in range(ROUNDS):
         words = [p for w in bad for p in pieces_of(w)] + [p for w in good for p in pieces_of(w)]
         n_bad = sum(len(pieces_of(w)) for w in bad)
         labels = np.arange(len(words)) < n_bad
         weights = np.where(labels, len(words) / (2 * n_bad), len(words) / (2 * (len(words) - n_bad)))
         w = train_svm(kernel_with(words, landmarks) @ root, labels, weights)
-        alpha = root @ w[:-1]
-        dense = np.zeros(SYMBOLS**ORDER)
-        for row, a in zip(feature_rows(landmarks), alpha, strict=True):
-            for n, v in row.items():
-                dense[n] += a * v
-        model = ToxicityModel(dense.astype(np.float32), float(w[-1]))
+        first = ToxicityModel(_collapsed(landmarks, root @ w[:-1]), float(w[-1]))
         # The clean words nearest to the wrong side join the next round.
-        others = sorted(set(clean_words).difference(good))
+        others = sorted(set(frequent).difference(good))
         if not others:
             break
-        margin = model.margins([x[: LONGEST] for x in others])
+        margin = first.margins([x[:LONGEST] for x in others])
         hard = np.argsort(-margin, kind="stable")[:HARD_WORDS]
         added = [others[k] for k in hard if margin[k] > -0.9]
         if not added:
             break
         good = good + added
-    # The border: between the best clean word and the worst toxic one, nearer to the clean ones.
-    top_clean = float(model.margins([p for x in clean_words for p in pieces_of(x)]).max())
-    low_toxic = float(np.quantile(model.margins([p for x in bad for p in pieces_of(x)[:1]]), 0.05))
-    if low_toxic > top_clean:
-        border = top_clean + 0.4 * (low_toxic - top_clean)
-        model = ToxicityModel(model.weight, model.bias - border)
-    return model
+    return _learn_documents(evidence, first, landmarks, root)
+
+
+def _learn_documents(
+    evidence: Evidence, first: ToxicityModel, landmarks: list[str], root: np.ndarray
+) -> ToxicityModel:
+    """The machine over documents: sums of their suspect words."""
+    documents = evidence.toxic + evidence.clean
+    labels = np.arange(len(documents)) < len(evidence.toxic)
+    words = sorted({w for d in documents for w in d})
+    pieces = [pieces_of(w) for w in words]
+    margin = first.margins([p for ps in pieces for p in ps])
+    starts = np.cumsum([0, *[len(ps) for ps in pieces[:-1]]])
+    suspect = np.flatnonzero(np.maximum.reduceat(margin, starts) > 0)
+    best = {}
+    for k in suspect.tolist():
+        own = margin[starts[k] : starts[k] + len(pieces[k])]
+        best[words[k]] = pieces[k][int(own.argmax())]
+    place = {w: k for k, w in enumerate(best)}
+    mapped = kernel_with(list(best.values()), landmarks) @ root
+    rows = np.zeros((len(documents), mapped.shape[1]))
+    for k, document in enumerate(documents):
+        own = [place[w] for w in document if w in place]
+        if own:
+            rows[k] = mapped[own].sum(axis=0)
+    rows = np.hstack([rows, size_measures([len(d) for d in documents])])
+    # Copies together weigh as much as one document; both labels weigh the same.
+    weights = np.zeros(len(documents))
+    for group, mine in ((evidence.toxic_group, labels), (evidence.clean_group, ~labels)):
+        sizes = Counter(group)
+        weights[mine] = [1 / (sizes[g] * len(sizes)) for g in group]
+    weights *= len(documents) / 2
+    w = train_svm(rows, labels, weights, DOCUMENT_COST)
+    decision = rows @ w[:-1] + w[-1]
+    # The border leaves all but a small share of clean documents below it.
+    clean = np.sort(decision[~labels])
+    border = float(clean[math.ceil((1 - CLEAN_SHARE) * len(clean)) - 1])
+    border = min(max(border, LOWEST_BORDER), HIGHEST_BORDER)
+    n = mapped.shape[1]
+    return ToxicityModel(
+        first.weight, first.bias, _collapsed(landmarks, root @ w[:n]), w[n:-1], float(w[-1]) - border
+    )
 
 
 def _signatures(text: str) -> list[int]:
@@ -382,11 +486,25 @@ def fit(
 
 
 class Scorer:
-    """Margin of the most toxic word of a text."""
+    """Decision values of texts."""
 
     def __init__(self, model: ToxicityModel) -> None:
         self._model = model
-        self._known: dict[str, float] = {}
+        # Word to its normal form and what it adds to a document.
+        self._known: dict[str, tuple[str, float]] = {}
+
+    def _learn(self, unseen: set[str]) -> None:
+        shapes = {w: normal(w) for w in unseen}
+        pieces = sorted({p for shape in shapes.values() if shape for p in pieces_of(shape)})
+        margins = dict(zip(pieces, self._model.margins(pieces).tolist(), strict=True))
+        best = {}
+        for shape in set(shapes.values()) - {""}:
+            piece = max(pieces_of(shape), key=margins.__getitem__)
+            if margins[piece] > 0:
+                best[shape] = piece
+        shares = dict(zip(best, self._model.shares(list(best.values())).tolist(), strict=True))
+        for word, shape in shapes.items():
+            self._known[word] = (shape, shares.get(shape, 0.0))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         words_of = [set(_WORD.findall(t)) for t in texts]
@@ -395,17 +513,18 @@ class Scorer:
             self._known.clear()
             unseen = set().union(*words_of)
         if unseen:
-            shapes = {w: normal(w) for w in unseen}
-            pieces = sorted({p for shape in shapes.values() if shape for p in pieces_of(shape)})
-            margin = dict(zip(pieces, self._model.margins(pieces).tolist(), strict=True))
-            margin[""] = -1.0
-            for word, shape in shapes.items():
-                self._known[word] = max(margin[p] for p in pieces_of(shape))
+            self._learn(unseen)
         known = self._known
-        scores = np.array([max(map(known.__getitem__, words), default=-1.0) for words in words_of])
+        sums, sizes = [], []
+        for words in words_of:
+            # Distinct by normal form, as in training.
+            shapes = dict(map(known.__getitem__, words))
+            shapes.pop("", None)
+            sums.append(sum(shapes.values()))
+            sizes.append(len(shapes))
         for word in [w for w in unseen if len(w) > 2 * LONGEST]:
             del known[word]
-        return scores
+        return np.array(sums) + size_measures(sizes) @ self._model.size_share + self._model.document_bias
 
 
 _SLICE_CHARS = 1_000_000
@@ -413,8 +532,7 @@ _SLICE_CHARS = 1_000_000
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel | None):
     """Column function: score of each text; without a model all score like clean words."""
-    known = model or ToxicityModel(np.zeros(SYMBOLS**ORDER, np.float32), -1.0)
-    sent = spark.sparkContext.broadcast(known)
+    sent = spark.sparkContext.broadcast(model or NO_MODEL)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -439,8 +557,8 @@ def score_toxicity(
 ) -> DataFrame:
     """Score (0 to 1) and prediction of every text: the identifier, ``score``, ``predicted``.
 
-    Whole texts are scored, of any length. A null, empty or wordless text scores like a
-    clean word, as does every text if there is no model. Rows with equal identifiers stay rows of
+    Whole texts are scored, of any length. A null, empty or wordless text scores like one without a
+    suspect word, as does every text if there is no model. Rows with equal identifiers stay rows of
     their own; extra columns are not read; an empty table gives an empty result.
     """
     rows = pick(docs, _id=id_column, _text=text_column)

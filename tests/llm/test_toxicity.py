@@ -95,9 +95,9 @@ def test_held_out_documents(spark):
     unseen = rows.where("held_out").join(labels, "doc_id").join(docs, "doc_id").collect()
     clean = [r for r in unseen if r["toxic"] == 0]
     assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
-    # In these tables only English insults are common enough to learn.
-    toxic = [r for r in unseen if r["toxic"] == 1 and r["lang"] == "en"]
-    assert sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
+    for lang in ("en", "fr", "de", "es"):
+        toxic = [r for r in unseen if r["toxic"] == 1 and r["lang"] == lang]
+        assert toxic and sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
     assert rows.count() == docs.count()
 
 
@@ -107,3 +107,32 @@ def test_odd_rows(spark, model):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
     assert tx.score_toxicity(odd.empty(spark), model).count() == 0
     assert {r["predicted"] for r in tx.score_toxicity(odd.table(spark), None).collect()} == {0}
+
+
+def test_quoted_insults_and_wrong_labels():
+    """A clean document that quotes every insult, and one label in fifty wrong, hide no insult."""
+    rng = np.random.default_rng(3)
+    sample = [(bool(toxic) != (rng.random() < 0.02), *rest) for toxic, *rest in made_sample()]
+    sample.append((False, [tx.normal(x) for x in ("wretch", "zombie", "quoted")], (9_999,)))
+    scores = tx.Scorer(tx.learn(tx.gather(iter(sample))))(["a wretch here", "zombie", "fine weather", "quoted", ""])
+    assert (scores[:2] > 0).all() and (scores[2:] < 0).all()
+
+
+def test_words_that_also_occur_by_chance_need_others():
+    """Toxic documents hold several words of a kind of which clean ones have one now and then."""
+    rng = np.random.default_rng(4)
+    syllables = ["ba", "do", "ki", "lu", "me", "no", "ra", "si", "tu", "vo"]
+    word = lambda n: "".join(rng.choice(syllables, n))
+    kind = lambda: "zanq" + word(2)
+    sample = []
+    for k in range(900):
+        words = {tx.normal(word(4)) for _ in range(40)}
+        toxic = k % 6 == 0
+        for _ in range(6 if toxic else int(rng.random() < 0.08)):
+            words.add(tx.normal(kind()))
+        sample.append((toxic, sorted(words), (k,)))
+    scorer = tx.Scorer(tx.learn(tx.gather(iter(sample))))
+    text = lambda n: " ".join([word(4) for _ in range(40)] + [kind() for _ in range(n)])
+    assert (scorer([text(6) for _ in range(50)]) > 0).mean() > 0.9
+    assert (scorer([text(0) for _ in range(50)]) > 0).sum() == 0
+    assert (scorer([text(1) for _ in range(50)]) > 0).mean() < 0.2
