@@ -117,3 +117,20 @@ def test_identifiers_of_any_type(spark, tokenizer):
 
 def test_one_encoder_per_process():
     assert packing.Encoder.loaded(FILE) is packing.Encoder.loaded(FILE)
+
+
+def test_both_encoders_agree(tokenizer):
+    """Parts of real texts, of random letters and of marks: all in one call, and one by one."""
+    encoder = packing.Encoder(FILE)
+    pick = random.Random(12)
+    letters = "etaoinshrdlucmfwypvbgkjqxz" + "éèüöäñßçøåæ" + "0123456789" + ".,!?'-_()/\\\"#*"
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(1, 14))) for _ in range(40_000)]
+    texts += ["a" * k for k in range(1, 60)] + ["aba" * k for k in range(1, 30)] + ["don't 've 'LL it's", " ", "", "\n"]
+    texts += ["".join(pick.choice([w, w.upper(), " "]) for w in pick.sample(texts, 30)) for _ in range(500)]
+    assert all(packing._PLAIN(t) for t in texts) and encoder._merges is not None
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    fast = encoder.encode(texts)
+    slow = encoder._encode_words(texts)
+    assert [ids.tolist() for ids, _ in fast] == want
+    assert [ids.tolist() for ids, _ in slow] == want
+    assert all(a.tolist() == b.tolist() for (_, a), (_, b) in zip(fast, slow))
