@@ -8,7 +8,9 @@ starts lies exactly one pair of an A and a B token.
 A pair's count is the number of texts that hold it linked. Texts are worked on in chunks; each chunk names
 its distinct pairs once, so that pairs are shuffled per chunk and not per text. Counts come back to the
 chunk, whose texts know their pairs by place. Neither the counts nor a chunk depend on the whole corpus in
-one place: counts are joined by pair, chunks hold at most ``CHUNK_BYTES`` of text or one text.
+one place: counts are joined by pair, chunks hold about ``CHUNK_BYTES`` of text or one text. Inside a chunk,
+``SLICE_BYTES`` of text (or one text) are tokenized and aligned at a time, of which only the distinct pairs of
+each text are kept.
 
 A null or empty text, and a text whose joined token bytes differ from space + text (a normalising
 vocabulary), has no tokens: zeros and an empty ``groups_sha256``. Rows repeated count as texts of their own.
@@ -33,7 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from hearthtab.llm.common import pick, staged
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 _SPACE = "▁".encode()
 # Characters on whose classes all regular-expression engines agree.
 _COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*").fullmatch
@@ -198,12 +201,14 @@ class Aligner:
         return [flat[a:b] for a, b in zip(bound, bound[1:])]
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of bounded text."""
-    sizes = np.array([len(t) for t in batch["text"].to_pylist()])
-    part = np.cumsum(sizes) // CHUNK_BYTES
-    for a, b in zip(edges := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()], [*edges[1:], batch.num_rows]):
-        yield batch.slice(a, b - a)
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch in parts of bounded text, with their sizes."""
+    sizes = np.array([len(t) for t in batch["text"].to_pylist()], np.int64)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield int(sizes[a:b].sum()), batch.slice(a, b - a)
 
 
 def _slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -215,47 +220,79 @@ def _slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
+class _Chunk:
+    """Aligned texts, each with its distinct pairs and how often it has them."""
+
+    def __init__(self, aligner: Aligner, number: int, id_type: pa.DataType, with_groups: bool) -> None:
+        self._aligner, self._number, self._id_type, self._with_groups = aligner, number, id_type, with_groups
+        self._clear()
+
+    def _clear(self) -> None:
+        self.size = self.rows = 0
+        self._ids: list[pa.Array] = []
+        self._counts: list[list[np.ndarray]] = []
+        self._digests: list[str] = []
+        self._groups: list[str | None] = []
+        self._pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, size: int, rows: pa.RecordBatch) -> None:
+        found = self._aligner.align(rows["text"].to_pylist())
+        n_b = len(self._aligner.b.entries)
+        n_pairs = len(self._aligner.a.entries) * n_b
+        key = np.sort(found["link_text"] * n_pairs + found["link_a"] * n_b + found["link_b"])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        text, pair = np.divmod(key[first], n_pairs)
+        self._pairs.append((text + self.rows, pair, np.diff(np.append(first, len(key)))))
+        self._ids.append(rows["id"])
+        self._counts.append([found[c] for c in _COUNTS])
+        self._digests += [hashlib.sha256(g).hexdigest() if len(g) else "" for g in found["groups"]]
+        self._groups += [str(g, "ascii") if self._with_groups else None for g in found["groups"]]
+        self.size += size
+        self.rows += rows.num_rows
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """One row per text, with the places of its pairs in the chunk's list, and one row with that list."""
+        self._number += 1
+        n = self.rows
+        text, pair, times = (np.concatenate(part) for part in zip(*self._pairs))
+        pairs, place = np.unique(pair, return_inverse=True)
+        bounds = np.searchsorted(text, np.arange(n + 1))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([self._number] * n, pa.int64()), pa.concat_arrays(self._ids),
+                *[pa.array(np.concatenate(c), pa.int64()) for c in zip(*self._counts)],
+                pa.array(self._digests, pa.string()), pa.array(self._groups, pa.string()),
+                _slices(place, bounds), _slices(times, bounds),
+                pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
+            ],
+            names=_ROW_NAMES,
+        )
+        texts = np.bincount(place, minlength=len(pairs))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([self._number], pa.int64()), pa.nulls(1, self._id_type), *[pa.nulls(1, pa.int64())] * 4,
+                *[pa.nulls(1, pa.string())] * 2, *[pa.nulls(1, pa.binary())] * 2,
+                pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(pairs, pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(texts, pa.int64())),
+            ],
+            names=_ROW_NAMES,
+        )
+        self._clear()
+
+
 def _align_rows(a_file: str, b_file: str, id_type: pa.DataType, with_groups: bool):
     """One row per text, with the places of its pairs in the chunk's list; one row per chunk with that list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.loaded(a_file, b_file)
-        n_b = len(aligner.b.entries)
-        chunk = TaskContext.get().partitionId() << 33
+        chunk = _Chunk(aligner, TaskContext.get().partitionId() << 33, id_type, with_groups)
         for batch in batches:
-            for rows in _chunks(batch):
-                chunk += 1
-                n = rows.num_rows
-                found = aligner.align(rows["text"].to_pylist())
-                n_pairs = len(aligner.a.entries) * n_b
-                key = np.sort(found["link_text"] * n_pairs + found["link_a"] * n_b + found["link_b"])
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
-                times = np.diff(np.append(first, len(key)))
-                text, pair = np.divmod(key[first], n_pairs)
-                pairs, place = np.unique(pair, return_inverse=True)
-                bounds = np.searchsorted(text, np.arange(n + 1))
-                digests = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in found["groups"]]
-                groups = [str(g, "ascii") if with_groups else None for g in found["groups"]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * n, pa.int64()), rows["id"],
-                        *[pa.array(found[c], pa.int64()) for c in _COUNTS],
-                        pa.array(digests, pa.string()), pa.array(groups, pa.string()),
-                        _slices(place, bounds), _slices(times, bounds),
-                        pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
-                    ],
-                    names=_ROW_NAMES,
-                )
-                texts = np.bincount(place, minlength=len(pairs))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk], pa.int64()), pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 4,
-                        *[pa.nulls(1, pa.string())] * 2, *[pa.nulls(1, pa.binary())] * 2,
-                        pa.array([pairs.tolist()], pa.list_(pa.int64())),
-                        pa.array([texts.tolist()], pa.list_(pa.int64())),
-                    ],
-                    names=_ROW_NAMES,
-                )
+            for size, rows in _parts(batch):
+                if chunk.size and chunk.size + size > CHUNK_BYTES:
+                    yield from chunk.taken()
+                chunk.add(size, rows)
+        if chunk.rows:
+            yield from chunk.taken()
 
     return run
 

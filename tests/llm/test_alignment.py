@@ -96,6 +96,7 @@ def _texts(n):
 @pytest.mark.parametrize("chunk", [alignment.CHUNK_BYTES, 200])
 def test_as_brute_force(spark, encoders, monkeypatch, chunk):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", min(chunk // 3, alignment.SLICE_BYTES))
     rows = _texts(120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert _found(alignment.align_tokenizers(df, A_FILE, B_FILE)) == _brute(encoders, rows)
