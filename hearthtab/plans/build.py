@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hearthtab.functions.income import add_harmonized_income
@@ -24,7 +24,8 @@ from hearthtab.operators.validate import (
     validate_unique_key,
 )
 from hearthtab.plans import published
-from hearthtab.sources.tables import create_or_replace_table, write_result_csv
+from hearthtab.sources import versions
+from hearthtab.sources.tables import write_result_csv
 from hearthtab.sources.workspace import new_location
 
 # Published tables whose CSV has a quoted header.
@@ -41,16 +42,67 @@ class StageTables:
     checks: list[tuple[str, int, int]]
 
 
+STAGE_NAMES = ("person", "household", "person_with_household")
+
+
 def build_tables(
-    extract: DataFrame, folder: str, limits: SkewLimits = DEFAULT_LIMITS
+    extract: DataFrame, folder: str, limits: SkewLimits = DEFAULT_LIMITS, digests: bool = False
 ) -> StageTables:
     """Write the three stage tables, checking row counts and keys of what was written.
 
     The extract is parsed once: its rows are counted while they are written. Persons lie by
     household within each year, so the rollup combines nearly all rows of a household before
-    its shuffle, and the merge shuffles the persons once.
+    its shuffle, and the merge shuffles the persons once. All three tables become visible in one
+    step, after the last check; until then readers see the earlier build. With ``digests`` each
+    survey year's content is noted, for ``versions.changed_partitions``.
+    """
+    with versions.Change(extract.sparkSession, folder) as change:
+        checks = _stage(extract, change, None, limits, digests)
+    return _stage_tables(extract.sparkSession, folder, checks)
+
+
+def replace_years(
+    extract: DataFrame,
+    folder: str,
+    years: Sequence[int],
+    limits: SkewLimits = DEFAULT_LIMITS,
+    digests: bool = False,
+) -> StageTables:
+    """Add or replace survey years in all three stage tables, in one step.
+
+    Only rows of ``years`` are taken from the extract, and only they are recoded, rolled up, merged and
+    checked: a household lies in one year. Files of other years are neither read nor written. A year
+    without rows in the extract is removed.
     """
+    wanted = extract.where(F.col("YEAR").isin(*years))
+    with versions.Change(extract.sparkSession, folder) as change:
+        checks = _stage(wanted, change, list(years), limits, digests)
+    return _stage_tables(extract.sparkSession, folder, checks)
+
+
+def read_tables(spark: SparkSession, folder: str) -> StageTables:
+    """The stage tables as they are now, all of one build."""
+    return _stage_tables(spark, folder, [])
+
+
+def _stage_tables(
+    spark: SparkSession, folder: str, checks: list[tuple[str, int, int]]
+) -> StageTables:
+    manifest = versions.current_manifest(spark, folder)
+    stages = [versions.read_version(spark, folder, name, manifest) for name in STAGE_NAMES]
+    return StageTables(*stages, checks)
+
+
+def _stage(
+    extract: DataFrame,
+    change: versions.Change,
+    years: list[int] | None,
+    limits: SkewLimits,
+    digests: bool,
+) -> list[tuple[str, int, int]]:
+    """Write the stages of the extract's rows into the change; what was checked."""
     checks: list[tuple[str, int, int]] = []
+    digest = versions.partition_digests() if digests else None
 
     def expect(step: str, expected: Callable[[], int]) -> Callable[[DataFrame], None]:
         def check(written: DataFrame) -> None:
@@ -69,21 +121,25 @@ def build_tables(
         # Reached only if no key is repeated.
         checks.append(("unique person key", written.count(), written.count()))
 
-    person = create_or_replace_table(
+    person = change.write(
+        "person",
         add_harmonized_income(recode_person(observed)),
-        f"{folder}/person",
         cluster_by=("SERIAL", "PERNUM"),
         check=check_person,
+        replace=years,
+        digest=digest,
     )
     persons = person.count()
 
     rolled = household_rollup(person)
     total = Observation()
-    household = create_or_replace_table(
+    household = change.write(
+        "household",
         rolled.observe(total, F.sum("hh_size").alias("persons"), F.count(F.lit(1)).alias("rows")),
-        f"{folder}/household",
         cluster_by=("SERIAL",),
         check=expect("household rollup", lambda: total.get["rows"]),
+        replace=years,
+        digest=digest,
     )
     # Every person is in one household: the sizes add up to the persons.
     in_households = total.get["persons"] or 0
@@ -91,13 +147,15 @@ def build_tables(
         raise ValidationError(f"household rollup: {in_households} of {persons} persons in households")
 
     heavy = find_heavy(person.select(*HOUSEHOLD_KEY), HOUSEHOLD_KEY, limits)
-    merged = create_or_replace_table(
+    change.write(
+        "person_with_household",
         join_household(person, household, heavy),
-        f"{folder}/person_with_household",
         cluster_by=("SERIAL", "PERNUM"),
         check=expect("person with household", lambda: persons),
+        replace=years,
+        digest=digest,
     )
-    return StageTables(person, household, merged, checks)
+    return checks
 
 
 def published_tables(tables: StageTables) -> dict[str, DataFrame]:
