@@ -4,7 +4,8 @@ Rows are reduced to weighted moments per (year, race, text controls) before
 anything is shuffled; the regression of each year is then solved from its
 cross-product sums, a few dozen numbers per year. Numeric controls are centred on
 their weighted mean of the year, so that a large mean costs no digits; the race terms
-are moved back afterwards. Text controls of many levels give levels squared sums per
+are moved back afterwards. Rows are read once: each task centres on its own means, and
+its moments are moved to the year's mean when they are merged. Text controls of many levels give levels squared sums per
 year, which one task solves.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthtab.operators import moments, orthogonal
 from hearthtab.sources.shipping import ship_package
-from hearthtab.sources.workspace import new_location
 
 RACE = "race_eth"
 WEIGHT = "PERWT"
@@ -89,16 +90,6 @@ def _prepared(
     )
 
 
-def _centres(prepared: DataFrame, numbers: Sequence[str]) -> DataFrame:
-    """Weighted mean of each numeric control per year: one row per year."""
-    return prepared.groupBy("YEAR").agg(
-        *[
-            (F.sum(F.col("w") * F.col(f"z_{k}")) / F.sum("w")).alias(f"c_{k}")
-            for k in range(1, 1 + len(numbers))
-        ]
-    )
-
-
 def _cells(prepared: DataFrame, categories: Sequence[str]) -> DataFrame:
     """Weighted moments of 1, the numeric controls and the outcome per cell."""
     names = [c for c in prepared.columns if c.startswith("z_")]
@@ -126,18 +117,71 @@ def lpm_sufficient_stats(
     outcome. ``(rows)`` holds the number of complete rows.
     """
     categories, numbers = _split_controls(data, controls)
-    return _sums(_prepared(data, categories, numbers, outcome), controls, categories, numbers, outcome)
+    cells = _cells(_prepared(data, categories, numbers, outcome), categories)
+    return _sums(cells, controls, categories, numbers, outcome)
+
+
+def model_moments(
+    data: DataFrame, controls: Sequence[str] = (), outcome: str = "is_multifam"
+) -> DataFrame:
+    """Mergeable moments of the numeric controls and the outcome per year, race and text controls.
+
+    A record per cell, to be stored: ``merge_model_moments`` adds further years or parts of a year, and
+    ``fit_moments`` fits from them.
+    """
+    categories, numbers = _split_controls(data, controls)
+    values = [f"z_{k}" for k in range(1, 2 + len(numbers))]
+    keys = ["YEAR", RACE, *categories]
+    ship_package(data.sparkSession)
+    records = moments.gather(_prepared(data, categories, numbers, outcome), keys, values, "w")
+    return moments.merge(records, keys, len(values))
+
+
+def merge_model_moments(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Moments of all rows behind two tables of moments of the same model."""
+    own = (moments.ROWS, moments.WEIGHT, moments.MEANS, moments.PRODUCTS)
+    keys = [c for c in one.columns if c not in own]
+    size = one.select(F.size(moments.MEANS)).first()
+    return two if size is None else moments.merge(one.unionByName(two), keys, size[0])
+
+
+def fit_moments(
+    stored: DataFrame, controls: Sequence[str] = (), outcome: str = "is_multifam"
+) -> DataFrame:
+    """As ``run_lpm_by_year``, from stored moments of the same controls and outcome."""
+    ship_package(stored.sparkSession)
+    categories = [c for c in controls if c in stored.columns]
+    numbers = [c for c in controls if c not in categories]
+    size = 1 + len(numbers)
+    year = Window.partitionBy("YEAR")
+    weight = F.col(moments.WEIGHT)
+    # The outcome is not centred.
+    centres = [F.sum(weight * moments.mean(k)).over(year) / F.sum(weight).over(year) for k in range(len(numbers))]
+    cells = stored.withColumns({f"c_{k}": c for k, c in enumerate(centres, 1)})
+    off = [F.lit(1.0), *[moments.mean(k - 1) - F.col(f"c_{k}") for k in range(1, size)], moments.mean(size - 1)]
+    values = []
+    for a in range(1 + size):
+        for b in range(a, 1 + size):
+            own = moments.product(a - 1, b - 1, size) if a else F.lit(0.0)
+            values.append((own + weight * off[a] * off[b]).alias(_moment(a, b)))
+    share = F.col(moments.WEIGHT) / F.sum(moments.WEIGHT).over(year)
+    parts = [(F.col(f"c_{k}") * share).alias(f"centre_{k}") for k in range(1, size)]
+    named = cells.select("YEAR", RACE, *categories, F.col(moments.ROWS).alias("rows"), *values, *parts)
+    sums = _sums(named, controls, categories, numbers, outcome, centred=True)
+    return sums.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
 
 
 def _sums(
-    prepared: DataFrame,
+    cells: DataFrame,
     controls: Sequence[str],
     categories: Sequence[str],
     numbers: Sequence[str],
     outcome: str,
+    centred: bool = False,
 ) -> DataFrame:
+    """Products of terms per year from moments of cells; with the centres, of which each cell has a part."""
     year = Window.partitionBy("YEAR")
-    cells = _cells(prepared, categories).withColumn("baseline", F.min(RACE).over(year))
+    cells = cells.withColumn("baseline", F.min(RACE).over(year))
     cells = cells.where("rows > 0")
     # Slots: the race, each control in the given order, the outcome.
     slots: list[tuple[Column, int]] = [(F.concat(F.lit(RACE), F.col(RACE)), 0)]
@@ -169,8 +213,19 @@ def _sums(
         F.lit(-1).alias("slot_j"),
         F.col("rows").cast("double").alias("value"),
     )
+    moved = [
+        F.struct(
+            F.lit(CENTRE_TERM).alias("i"),
+            F.lit(name).alias("j"),
+            F.lit(-1).alias("slot_i"),
+            F.lit(1 + list(controls).index(name)).alias("slot_j"),
+            F.col(f"centre_{k}").alias("value"),
+        )
+        for k, name in enumerate(numbers, 1)
+        if centred
+    ]
     return (
-        named.select("YEAR", "baseline", F.explode(F.array(*pairs, rows)).alias("pair"))
+        named.select("YEAR", "baseline", F.explode(F.array(*pairs, rows, *moved)).alias("pair"))
         .select("YEAR", "baseline", "pair.*")
         .where(F.col("i").isNotNull() & F.col("j").isNotNull())
         .groupBy("YEAR", "baseline", "slot_i", "slot_j", "i", "j")
@@ -179,52 +234,28 @@ def _sums(
 
 
 def run_lpm_by_year(
-    data: DataFrame, controls: Sequence[str] = (), outcome: str = "is_multifam"
+    data: DataFrame,
+    controls: Sequence[str] = (),
+    outcome: str = "is_multifam",
+    method: str = "moments",
 ) -> DataFrame:
     """Weighted least squares of ``outcome`` on all races and ``controls`` per year.
 
-    With numeric controls the model's columns are written to the shared folder first.
+    With ``orthogonal`` years are solved from triangular blocks instead of sums of products: slower, and
+    right for controls of which earlier ones leave as little as 1e-9 of their length.
     """
     ship_package(data.sparkSession)
     categories, numbers = _split_controls(data, controls)
-    prepared = _prepared(data, categories, numbers, outcome)
-    if not numbers:
-        sums = _sums(prepared, controls, categories, numbers, outcome)
-        return sums.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
-
-    # Read twice, for the means and for the products: stored, so that what lies below runs once.
-    path = new_location(data.sparkSession, "model-rows")
-    prepared.write.parquet(path)
-    prepared = data.sparkSession.read.schema(prepared.schema).parquet(path)
-    centres = _centres(prepared, numbers)
-    centred = prepared.join(centres, "YEAR").withColumns(
-        {
-            f"z_{k}": F.col(f"z_{k}") - F.coalesce(f"c_{k}", F.lit(0.0))
-            for k in range(1, 1 + len(numbers))
-        }
-    )
-    sums = _sums(
-        centred.drop(*[f"c_{k}" for k in range(1, 1 + len(numbers))]),
-        controls, categories, numbers, outcome,
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(CENTRE_TERM).alias("i"),
-                F.lit(name).alias("j"),
-                F.lit(-1).alias("slot_i"),
-                F.lit(1 + list(controls).index(name)).alias("slot_j"),
-                F.col(f"c_{k}").alias("value"),
-            )
-            for k, name in enumerate(numbers, 1)
-        ]
-    )
-    moved = centres.select("YEAR", F.explode(entries).alias("entry")).select(
-        "YEAR", F.lit(None).cast("string").alias("baseline"), "entry.*"
-    )
-    # A year without complete rows has no sums, and no centre either.
-    both = sums.unionByName(moved.where("value IS NOT NULL"))
-    return both.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
+    if method == "orthogonal":
+        prepared = _prepared(data, categories, numbers, outcome)
+        return orthogonal.fit(prepared, RACE, categories, numbers, outcome, controls, RESULT_SCHEMA, two_sided_p)
+    if method != "moments":
+        raise ValueError(f"no method {method!r}")
+    if numbers:
+        return fit_moments(model_moments(data, controls, outcome), controls, outcome)
+    cells = _cells(_prepared(data, categories, numbers, outcome), categories)
+    sums = _sums(cells, controls, categories, numbers, outcome)
+    return sums.groupBy("YEAR").applyInPandas(solve_year, RESULT_SCHEMA)
 
 
 def solve_year(stats: pd.DataFrame) -> pd.DataFrame:
