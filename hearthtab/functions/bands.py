@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -54,3 +55,33 @@ def rent_per_family(rent: Column, nfams: Column) -> Column:
 def rent_burden(rent: Column, household_income: Column, months: int = 12) -> Column:
     """Yearly rent over household income; NULL when the income is zero."""
     return F.try_divide((rent * months).cast("double"), household_income.cast("double"))
+
+
+# How far a histogram's breaks lean to round units, and how close counts as equal.
+_LEAN = 1.5
+_LEAN_TO_FIVE = 0.5 + 1.5 * _LEAN
+_ROUNDING = 1e-10
+
+
+def pretty_breaks(low: float, high: float, bins: int = 50) -> list[float]:
+    """About ``bins`` + 1 equally spaced round numbers that cover ``low`` to ``high``.
+
+    The distance is 1, 2, 5 or 10 times a power of ten. A range of one value gets breaks around it.
+    """
+    if bins < 1 or not (math.isfinite(low) and math.isfinite(high)) or low > high:
+        raise ValueError(f"no breaks from {low} to {high} in {bins} bins")
+    largest = max(abs(low), abs(high))
+    cell = (high - low) / bins
+    if high - low <= largest * (1 + 1 / (1 + _LEAN)) * bins * 3 * math.ulp(1.0):
+        # A single value: cells of about its size, shrunk as for few bins.
+        cell = (largest or 1.0) * 0.75 / (bins if bins > 1 else 1)
+    power = 10.0 ** math.floor(math.log10(cell))
+    unit = power
+    for factor, lean in ((2, _LEAN), (5, _LEAN_TO_FIVE), (10, _LEAN)):
+        if factor * power - cell >= lean * (cell - unit):
+            break
+        unit = factor * power
+    first, last = math.floor(low / unit + _ROUNDING), math.ceil(high / unit - _ROUNDING)
+    if first == last:
+        first, last = first - (first * unit >= low), last + (last * unit <= high)
+    return [k * unit for k in range(first, last + 1)]

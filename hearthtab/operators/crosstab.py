@@ -45,15 +45,20 @@ def crosstab_mean(
 
 
 def with_percent(
-    counts: DataFrame, percent_group_by: Sequence[str], count_col: str = "weighted_count"
+    counts: DataFrame,
+    percent_group_by: Sequence[str],
+    count_col: str = "weighted_count",
+    total: Column | None = None,
 ) -> DataFrame:
     """Add each cell's share of its ``percent_group_by`` total, in percent.
 
     Totals are aggregated with partial sums and joined back NULL-safely, so that no task
-    needs all cells of a group, however fine the cells are.
+    needs all cells of a group, however fine the cells are. ``total`` is the sum of ``count_col`` in
+    another form.
     """
     groups = list(percent_group_by)
-    totals = counts.groupBy(*groups).agg(F.sum(count_col).alias("_total"))
+    summed = F.sum(count_col) if total is None else total
+    totals = counts.groupBy(*groups).agg(summed.alias("_total"))
     names = [f"_of_{k}" for k in range(len(groups))]
     renamed = totals.toDF(*names, "_total")
     if groups:
@@ -83,6 +88,9 @@ def crosstab_percent(
     cells = data.groupBy(*group_by).agg(
         F.sum(wt_col).alias("weighted_count"), F.count("*").alias("count")
     )
-    return with_percent(cells, percent_group_by).withColumn(
+    # The totals read the count as well, which is never 0: both sides of the join then need the same cells, so
+    # that the data are scanned and shuffled once.
+    total = F.sum(F.when(F.col("count") > 0, F.col("weighted_count")))
+    return with_percent(cells, percent_group_by, total=total).withColumn(
         "weighted_count", F.col("weighted_count").cast("double")
     )

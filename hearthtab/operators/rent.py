@@ -19,7 +19,8 @@ RENTED = 2
 # Years compared in the crowding table.
 CROWDING_YEARS = (2000, 2010, 2020, 2023)
 # Histogram bins are widened by this part of their width.
-HISTOGRAM_TOLERANCE = 1e-7 * 0.05
+RELATIVE_TOLERANCE = 1e-7
+HISTOGRAM_TOLERANCE = RELATIVE_TOLERANCE * 0.05
 
 
 def model_population(person_with_household: DataFrame) -> DataFrame:
@@ -120,6 +121,35 @@ def rent_burden_histogram(data: DataFrame, months: int = 13) -> DataFrame:
     )
 
 
+def histogram(data: DataFrame, value: str, bins: int = 50) -> DataFrame:
+    """Counts of a number in about ``bins`` right-closed bins between round breaks that fit its range.
+
+    Columns: band_rank, low, high, n; empty bins included, rows without the value left out. The range is
+    one row of two numbers, so a stored column is read twice and nothing else moves but counts.
+    """
+    known = data.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"))
+    low, high = known.agg(F.min("value"), F.max("value")).first()
+    schema = "band_rank int, low double, high double"
+    if low is None:
+        return data.sparkSession.createDataFrame([], f"{schema}, n bigint")
+    breaks = bands.pretty_breaks(low, high, bins)
+    tolerance = RELATIVE_TOLERANCE * (breaks[1] - breaks[0])
+    rank = bands.band_rank("value", breaks, right=True, tolerance=tolerance)
+    found = known.groupBy(rank.alias("band_rank")).agg(F.count("*").alias("n"))
+    ends = [(k, a, b) for k, (a, b) in enumerate(zip(breaks, breaks[1:], strict=False), 1)]
+    return (
+        data.sparkSession.createDataFrame(ends, schema)
+        .join(found, "band_rank", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    )
+
+
+def rent_burden_histogram_of_range(data: DataFrame, least_income: int, months: int = 13) -> DataFrame:
+    """The rent burden's histogram over its own range, of households from an income up."""
+    well_off = renters(data).where(F.col("hhinc_harmonized") >= least_income)
+    return histogram(burden_between(with_rent_burden(well_off, months), 0, 2), "rent_burden")
+
+
 def rent_burden_by_city(
     data: DataFrame, years: Sequence[int] | None = (LATEST_YEAR,)
 ) -> DataFrame:

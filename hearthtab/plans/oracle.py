@@ -586,6 +586,8 @@ FROM coded WHERE {_HH_POPULATION} GROUP BY "YEAR" """,
     "person_with_household_hot": f"""{_with(_HOT_PERSON, _CODED, _HOUSEHOLD, _MERGED)}
 SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged""",
     "build_stage_tables": f"{_ON_MERGED} SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged",
+    "append_year": f"{_ON_MERGED} SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged",
+    "colocated_merge": f"{_ON_MERGED} SELECT {_PERSON_KEY}, {_MERGED_COLUMNS} FROM merged",
     "row_count_checks": f"""{_ON_MERGED}
 SELECT 1 AS step_number, 'person recode' AS step, (SELECT count(*) FROM person) AS expected,
   (SELECT count(*) FROM coded) AS actual
@@ -655,6 +657,32 @@ SELECT band_rank, count("SERIAL") AS n,
 FROM bin LEFT JOIN (SELECT * FROM renter WHERE rent_burden_13 > 0 AND rent_burden_13 < 2) r
   ON rent_burden_13 <= hi AND (lo IS NULL OR rent_burden_13 > lo)
 GROUP BY band_rank""",
+    "rent_burden_histogram_of_range": f"""{_ON_MODEL},
+burden AS (
+  SELECT rent_burden_13 AS x FROM renter
+  WHERE hhinc_harmonized >= 60000 AND rent_burden_13 > 0 AND rent_burden_13 < 2
+),
+cell AS (
+  SELECT lo, hi, (hi - lo) / 50 AS w, pow(10::DOUBLE, floor(log10((hi - lo) / 50))) AS p
+  FROM (SELECT min(x) AS lo, max(x) AS hi FROM burden)
+),
+unit AS (
+  SELECT lo, hi, CASE WHEN 2 * p - w >= 1.5::DOUBLE * (w - p) THEN p
+    WHEN 5 * p - w >= 2.75::DOUBLE * (w - 2 * p) THEN 2 * p
+    WHEN 10 * p - w >= 1.5::DOUBLE * (w - 5 * p) THEN 5 * p ELSE 10 * p END AS u
+  FROM cell
+),
+bin AS (
+  SELECT u, unnest(range(CAST(floor(lo / u + 1e-10) AS BIGINT), CAST(ceil(hi / u - 1e-10) AS BIGINT))) AS k FROM unit
+),
+edge AS (
+  SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS band_rank, k * u AS low, (k + 1) * u AS high, 1e-7 * u AS eps
+  FROM bin
+)
+SELECT band_rank, round(low, 9) AS low, round(high, 9) AS high, count(x) AS n
+FROM edge LEFT JOIN burden
+  ON x <= high + eps AND (x > low + eps OR (band_rank = 1 AND x >= low - eps))
+GROUP BY band_rank, low, high""",
     "rent_burden_by_city": _rent_table("city", '"YEAR" = 2023'),
     "rent_burden_by_city_all_years": _rent_table("city", "TRUE"),
     "rent_burden_one_city": _rent_table("city", "TRUE", 'c."CITY" = 5350'),
@@ -673,6 +701,8 @@ GROUP BY band, band_rank, "YEAR" HAVING count(*) >= 5""",
     "lpm_demo": _lpm_fit(("age_bucket", '"SEX"'), 11),
     "lpm_ses": _lpm_fit(_SES, 13),
     "lpm_ses_terms": _lpm_fit(_SES, 13, all_terms=True),
+    "lpm_ses_added_years": _lpm_fit(_SES, 13),
+    "lpm_ses_orthogonal": _lpm_fit(_SES, 13),
     "lpm_shifted_control": _lpm_fit(("shifted_rent",), 8, all_terms=True, shift="1000000"),
     "lpm_sufficient_stats": _lpm_stats(),
 }

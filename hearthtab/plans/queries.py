@@ -20,8 +20,8 @@ from hearthtab.operators.household import (
     reference_persons,
 )
 from hearthtab.operators.skew import HeavyKeys
-from hearthtab.plans import build, fixture, published
-from hearthtab.sources import fixed_width, tables
+from hearthtab.plans import build, colocated, fixture, published
+from hearthtab.sources import fixed_width, tables, versions
 from hearthtab.sources.workspace import new_location
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,8 @@ FLAT_COLUMNS = tuple(
 # Smallest cell of the crowding table; the test tables' cells are far below 100.
 TEST_MIN_COUNT = 5
 CITY_SHOWN = 5350
+# Households whose burdens cover only a part of the fixed histogram's range.
+HISTOGRAM_INCOME = 60_000
 
 
 def flat_person(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +172,49 @@ def _merged_columns(merged: DataFrame) -> DataFrame:
     return merged.select(*PERSON_KEY, *both, *added)
 
 
+def colocated_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged table from stage tables that lie by household."""
+    person = add_harmonized_income(recode_person(fixture.person(spark, sf_dir)))
+    stored = colocated.store_households(person, new_location(spark, "colocated"))
+    return _merged_columns(stored.person_with_household)
+
+
+def lpm_ses_orthogonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SES model by triangular blocks."""
+    results = lpm.run_lpm_by_year(model_frame(spark, sf_dir), lpm.MODEL_CONTROLS["ses"], method="orthogonal")
+    return _rounded(lpm.filter_by_race(results), 6, "estimate", "std_error", "statistic", "p_value")
+
+
+def lpm_ses_added_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SES model from stored moments of the years before 2000 to which the later ones are added."""
+    frame, controls = model_frame(spark, sf_dir), lpm.MODEL_CONTROLS["ses"]
+    path = new_location(spark, "moments")
+    for years in ("YEAR < 2000", "YEAR >= 2000"):
+        lpm.model_moments(frame.where(years), controls).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    results = lpm.fit_moments(lpm.merge_model_moments(stored, stored.limit(0)), controls)
+    return _rounded(lpm.filter_by_race(results), 6, "estimate", "std_error", "statistic", "p_value")
+
+
+def append_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged stage table of a build of all years but the latest two, to which these are added in two
+    steps, one of them twice.
+    """
+    person, folder = fixture.person(spark, sf_dir), new_location(spark, "stages")
+    last = rent.LATEST_YEAR
+    build.build_tables(person.where(F.col("YEAR") < last - 1), folder)
+    for year in (last, last - 1, last):
+        build.replace_years(person, folder, [year])
+    return _merged_columns(build.read_tables(spark, folder).person_with_household)
+
+
 def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    person = fixture.person(spark, sf_dir)
-    return tables.create_or_replace_table(person, new_location(spark, "person"))
+    """Persons written over a first version that has only some of them."""
+    person, folder = fixture.person(spark, sf_dir), new_location(spark, "person")
+    for rows in (person.where("YEAR < 2000"), person):
+        with versions.Change(spark, folder) as change:
+            change.write("person", rows)
+    return versions.read_version(spark, folder, "person")
 
 
 def _csv_roundtrip(source: Query, order_by: tuple[str, ...], measure: str, quote: bool) -> Query:
@@ -233,6 +275,8 @@ QUERIES: dict[str, Query] = {
     "person_with_household_hot": person_with_household_hot,
     "row_count_checks": row_count_checks,
     "build_stage_tables": build_stage_tables,
+    "append_year": append_year,
+    "colocated_merge": colocated_merge,
     "crosstab_count": _of(recoded_person, _household_size_counts),
     "crosstab_mean": _of(
         flat_person, lambda person: crosstab_mean(person, "AGE", "PERWT", ["YEAR", "race_eth"])
@@ -288,6 +332,12 @@ QUERIES: dict[str, Query] = {
     "rent_burden_bands": _of(model_frame, rent.rent_burden_bands),
     "rent_bands": _of(model_frame, rent.rent_bands),
     "rent_burden_histogram": _of(model_frame, rent.rent_burden_histogram),
+    "rent_burden_histogram_of_range": _of(
+        model_frame,
+        lambda frame: _rounded(
+            rent.rent_burden_histogram_of_range(frame, HISTOGRAM_INCOME), 9, "low", "high"
+        ),
+    ),
     "rent_burden_by_city": _of(model_frame, rent.rent_burden_by_city),
     "rent_burden_by_city_all_years": _of(
         model_frame, lambda frame: rent.rent_burden_by_city(frame, years=None)
@@ -317,6 +367,8 @@ QUERIES: dict[str, Query] = {
     "lpm_demo": _lpm("demo"),
     "lpm_ses": _lpm("ses"),
     "lpm_ses_terms": _lpm("ses", all_terms=True),
+    "lpm_ses_added_years": lpm_ses_added_years,
+    "lpm_ses_orthogonal": lpm_ses_orthogonal,
     "lpm_shifted_control": lpm_shifted_control,
     "lpm_sufficient_stats": lpm_sufficient_stats,
 }

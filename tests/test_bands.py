@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from hearthtab.functions import bands
@@ -63,3 +66,46 @@ def test_histogram_keeps_empty_bins(spark):
     assert len(rows) == 40 and sum(r.n for r in rows) == 2
     assert [r.band for r in rows if r.n] == ["0.20–0.25"]
     assert {r.n for r in rows if r.band != "0.20–0.25"} == {0}
+
+
+@pytest.mark.parametrize(
+    ("low", "high", "bins", "unit", "count"),
+    [
+        # Worked out by hand.
+        (0, 1, 5, 0.2, 5),
+        (0, 100, 50, 2, 50),
+        (0.013, 1.97, 50, 0.05, 40),
+        (1, 10, 5, 2, 5),
+        (0.1, 0.73, 50, 0.01, 63),
+        (-3, 3, 6, 1, 6),
+        (0, 37, 10, 5, 8),
+    ],
+)
+def test_pretty_breaks(low, high, bins, unit, count):
+    breaks = bands.pretty_breaks(low, high, bins)
+    assert len(breaks) == count + 1
+    assert breaks[1] - breaks[0] == pytest.approx(unit)
+    assert breaks[0] <= low < breaks[1] and breaks[-2] < high <= breaks[-1]
+
+
+def test_pretty_breaks_of_one_value():
+    for value in (0.0, 5.0, -1e-9, 123456.0):
+        breaks = bands.pretty_breaks(value, value)
+        assert len(breaks) >= 2 and breaks[0] <= value <= breaks[-1]
+    with pytest.raises(ValueError):
+        bands.pretty_breaks(2, 1)
+    with pytest.raises(ValueError):
+        bands.pretty_breaks(0, math.inf)
+
+
+def test_histogram_over_its_own_range(spark):
+    values = [0.1, 0.105, 0.11, 0.11, 0.1100000000001, 0.25, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = {round(r.high, 9): r.n for r in rent.histogram(df, "v").collect()}
+    step = round(min(found) - 0.1, 9)
+    assert sum(found.values()) == 6 and step == 0.002 or step == 0.005
+    for high, n in found.items():
+        inside = [v for v in values if v is not None and (high - step + 1e-9 < v <= high + 1e-9 or (high == min(found) and v == 0.1))]
+        assert n == len(inside)
+    assert rent.histogram(df.where("v is null"), "v").collect() == []
+    assert [r.n for r in rent.histogram(df.where("v = 0.25"), "v").collect() if r.n] == [1]

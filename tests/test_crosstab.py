@@ -160,3 +160,30 @@ def test_one_scan_tables_equal_the_single_tables(spark, small):
     ):
         part = tables.where(tables.breakdown == name).select(*columns, *extra)
         assert spark_rows(part) == spark_rows(single.select(*columns, *extra))
+
+
+def test_percent_scans_the_data_once(spark, small):
+    """One scan and one shuffle of the data; totals come from its cells, by one join."""
+    data = spark.read.parquet(f"{small}/lineitem.parquet")
+    table = crosstab_percent(data, "l_quantity", ["l_returnflag", "l_linestatus"], ["l_returnflag"])
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1
+    # The reused one is named once more.
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 2
+    assert plan.count("HashJoin") == 1 and plan.count("SortMergeJoin") == 0
+
+
+def test_percent_of_every_grouping(spark):
+    rows = [("a", 1, 2.0), ("a", None, 3.0), (None, 1, 5.0), (None, None, 7.0), ("a", 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, h int, w double")
+
+    def found(*within):
+        return {(r.g, r.h): round(r.percent, 6) for r in crosstab_percent(df, "w", ["g", "h"], list(within)).collect()}
+
+    assert found() == {("a", 1): 16.666667, ("a", None): 16.666667, (None, 1): 27.777778, (None, None): 38.888889}
+    assert found("g") == {("a", 1): 50.0, ("a", None): 50.0, (None, 1): 41.666667, (None, None): 58.333333}
+    assert found("h") == {("a", 1): 37.5, (None, 1): 62.5, ("a", None): 30.0, (None, None): 70.0}
+    assert set(found("g", "h").values()) == {100.0}
+    assert crosstab_percent(df.where("false"), "w", ["g", "h"], ["g"]).collect() == []
+    assert crosstab_percent(df.where("false"), "w", ["g", "h"], []).collect() == []
