@@ -7,6 +7,10 @@ greatest weights cannot reach the threshold, at all or in any block, is passed o
 walk the posting lists with a pivot, skip blocks whose bounds stay below the threshold, and score what is
 left. All items above the threshold are verified: their words must be covered by common five-word
 shingles, in the question and the answer (the last sentence; each has two fifths of the words at least).
+
+Items of equal text are one entry of the index. Entries of like lengths have an index each, so that passages
+are no longer than those need; term statistics are those of the whole benchmark, in however many indexes and
+parts it is searched. Each worker process builds an index once.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthtab.llm.common import pick
+from hearthtab.llm.common import pick, staged
 
 SHINGLE_WORDS = 5
 # Least share of an item's weights in a passage, and of its words in common shingles.
@@ -35,6 +39,10 @@ LEAST_PART_COVER = 0.5
 # at most, which is half of its smaller part at most: where edits stand cannot decide.
 LEAST_PART = (1 - LEAST_COVER) / LEAST_PART_COVER
 K1, B = 1.2, 0.75
+# Shorter items are found only in texts that consist of them: their words occur anywhere.
+LEAST_ITEM_WORDS = SHINGLE_WORDS
+# Greatest number of words of the first class of lengths; each next class is four times as wide.
+FIRST_CLASS = 128
 BLOCK_ITEMS = 4
 # Characters of items in one index; a larger benchmark is searched in several passes.
 INDEX_CHARS = 64_000_000
@@ -82,22 +90,36 @@ class Item:
         return float(covered.mean()), shares[0], shares[1]
 
 
+@dataclass
+class Statistics:
+    """Of the whole benchmark: number of entries, mean number of words, entries with each term."""
+
+    entries: int
+    mean: float
+    frequency: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Statistics:
+        mean = sum(len(i.words) for i in items) / max(1, len(items))
+        return cls(len(items), mean, Counter(t for i in items for t in set(i.words)))
+
+
 class Index:
     """Posting lists of normalised BM25 weights, with block maxima."""
 
-    def __init__(self, items: list[Item]) -> None:
+    def __init__(self, items: list[Item], statistics: Statistics | None = None) -> None:
         self.items = items
         self.longest = max(len(i.words) for i in items)
+        known = statistics or Statistics.of(items)
         counts = [Counter(i.words) for i in items]
-        frequency = Counter(t for c in counts for t in c)
-        self.terms = {t: k for k, t in enumerate(sorted(frequency))}
-        mean = sum(len(i.words) for i in items) / len(items)
+        frequency, mean = known.frequency, known.mean
+        self.terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for number, (item, count) in enumerate(zip(items, counts, strict=True)):
             weights = {}
             for term, tf in count.items():
                 n = frequency[term]
-                idf = math.log(1 + (len(items) - n + 0.5) / (n + 0.5))
+                idf = math.log(1 + (known.entries - n + 0.5) / (n + 0.5))
                 norm = K1 * (1 - B + B * len(item.words) / mean)
                 weights[term] = idf * tf * (K1 + 1) / (tf + norm)
             total = sum(weights.values())
@@ -175,6 +197,39 @@ def _candidates(index: Index, terms: np.ndarray, passage: int, step: int) -> lis
     return starts[total[stops] - total[starts] >= THRESHOLD - 1e-4].tolist()
 
 
+@dataclass
+class Part:
+    """Entries of one part of the benchmark, and their indexes, which each process builds when first asked."""
+
+    items: list[Item]
+    statistics: Statistics | None = None
+    _indexes: list[Index] | None = None
+    _short: dict[tuple, list[object]] | None = None
+
+    def indexes(self) -> list[Index]:
+        if self._indexes is None:
+            classes: dict[int, list[Item]] = {}
+            self._short = {}
+            for item in self.items:
+                if len(item.words) < LEAST_ITEM_WORDS:
+                    self._short.setdefault(tuple(item.words), []).append(item.item_id)
+                else:
+                    size = max(0, math.ceil(math.log(len(item.words) / FIRST_CLASS, 4)))
+                    classes.setdefault(size, []).append(item)
+            known = self.statistics or Statistics.of(self.items)
+            self._indexes = [Index(classes[size], known) for size in sorted(classes)]
+        return self._indexes
+
+    def found(self, text: str) -> dict[object, tuple[float, float, float, float]]:
+        """Entries in a text: cover, score, covers of question and answer; the best of all passages."""
+        best = {}
+        for index in self.indexes():
+            best |= {index.items[k].item_id: v for k, v in matches_in(index, text).items()}
+        if self._short:
+            best |= dict.fromkeys(self._short.get(tuple(words_of(text)), ()), (1.0,) * 4)
+        return best
+
+
 def matches_in(index: Index, text: str) -> dict[int, tuple[float, float, float, float]]:
     """Verified items in a text: score and covers, the best of all passages."""
     words = words_of(text)
@@ -207,81 +262,108 @@ def find_leaks(
     ``answer_cover``; one row per document row and item.
 
     Documents without one give no row. Items without words are left out; equal items are all
-    found. A null or empty text has no passage; whole texts are read, of any length. The
-    benchmark is split by hash into parts of about ``INDEX_CHARS`` characters, each with an
-    index of its own that is broadcast; usually there is one part. Extra columns are not
-    read, and an empty table gives an empty result.
+    found, those of less than ``LEAST_ITEM_WORDS`` words only where a text consists of them. A null or empty
+    text has no passage; whole texts are read, of any length. The benchmark's distinct texts are split by hash
+    into parts of about ``INDEX_CHARS`` characters that are broadcast; usually there is one part. Extra
+    columns are not read, and an empty table gives an empty result.
     """
     rows = pick(docs, _id=id_column, _text=text_column).where("_text IS NOT NULL")
     id_kind = rows.schema["_id"].dataType.simpleString()
-    item_kind = benchmark.schema[item_column].dataType
-    found = None
-    for known in _item_parts(benchmark, item_column, item_text_column):
-        hits = _search(rows, known, id_kind, item_kind)
-        found = hits if found is None else found.unionByName(hits)
+    hits = None
+    for part in _item_parts(benchmark, item_text_column):
+        mine = _search(rows, part, id_kind)
+        hits = mine if hits is None else hits.unionByName(mine)
+    # All items of a text.
+    items = pick(benchmark, _item=item_column, _text=item_text_column).where("_text IS NOT NULL")
+    found = hits.join(items.select("_item", F.xxhash64("_text").alias("_key")), "_key")
     return found.select(
         F.col("_id").alias(id_column), F.col("_item").alias(item_column),
         "score", "cover", "question_cover", "answer_cover",
     )
 
 
-def has_leak(benchmark: DataFrame, item_column="item_id", item_text_column="text") -> list:
+def has_leak(benchmark: DataFrame, item_text_column="text") -> list:
     """Column functions, one per part of the benchmark: whether a text holds an item of it."""
     spark = benchmark.sparkSession
 
-    def of(items: list[Item]):
-        sent = spark.sparkContext.broadcast(items)
+    def of(part: Part):
+        sent = spark.sparkContext.broadcast(part)
 
         @F.pandas_udf("boolean")
         def leak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Index(sent.value) if sent.value else None
             for batch in batches:
-                yield pd.Series([bool(index and t and matches_in(index, t)) for t in batch], dtype=bool)
+                yield pd.Series([bool(t and sent.value.found(t)) for t in batch], dtype=bool)
 
         return leak
 
-    return [of(items) for items in _item_parts(benchmark, item_column, item_text_column)]
+    return [of(part) for part in _item_parts(benchmark, item_text_column)]
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each text, and its number of words."""
+    for batch in batches:
+        words = [words_of(t) for t in batch["_text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["_key"],
+                pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())),
+                pa.array([len(w) for w in words], pa.int64()),
+            ],
+            names=["_key", "terms", "size"],
+        )
+
 
+def _item_parts(benchmark: DataFrame, text_column: str) -> Iterator[Part]:
+    """Distinct texts with words, in parts of bounded size; one part at least, maybe empty.
 
-def _item_parts(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[list[Item]]:
-    """Items with words, in parts of bounded size; one part at least, maybe empty."""
-    items = pick(benchmark, _item=item_column, _text=text_column).where("_text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("n")).first()["n"]
+    Entries bear the hash of their text. With several parts the statistics of the whole benchmark are
+    computed by Spark, and each part gets those of its own terms.
+    """
+    texts = pick(benchmark, _text=text_column).where("_text IS NOT NULL").distinct()
+    texts = texts.withColumn("_key", F.xxhash64("_text"))
+    size = texts.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, math.ceil(size / INDEX_CHARS))
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == part).collect()
-        known = [i for i in (Item.of(r["_item"], r["_text"]) for r in mine) if i.words]
-        known.sort(key=lambda i: (i.words, str(i.item_id)))
-        yield known
+    if parts > 1:
+        texts = staged(texts, "benchmark")
+        terms = staged(texts.mapInArrow(_term_rows, "_key long, terms array<string>, size long").where("size > 0"), "terms")
+        whole = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
+        each = terms.select("_key", F.explode("terms").alias("term"))
+        counts = staged(each.groupBy("term").count(), "term_counts")
+    for number in range(parts):
+        own = F.pmod(F.col("_key"), F.lit(parts)) == number
+        found = [Item.of(r["_key"], r["_text"]) for r in texts.where(own).collect()]
+        known = sorted((i for i in found if i.words), key=lambda i: (i.words, i.item_id))
+        if parts == 1:
+            yield Part(known)
+            continue
+        mine = each.where(own).select("term").distinct().join(counts, "term")
+        yield Part(known, Statistics(whole["n"], whole["mean"], {r["term"]: r["count"] for r in mine.collect()}))
 
 
-def _search(rows: DataFrame, items: list[Item], id_kind: str, item_kind) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(items)
+def _search(rows: DataFrame, part: Part, id_kind: str) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value) if sent.value else None
+        part = sent.value
         for batch in batches:
-            place, item, values = [], [], []
-            for k, text in enumerate(batch["_text"] if index else ()):
-                for number, found in sorted(matches_in(index, text.as_py()).items()):
+            place, keys, values = [], [], []
+            for k, text in enumerate(batch["_text"] if part.items else ()):
+                for key, found in sorted(part.found(text.as_py()).items()):
                     place.append(k)
-                    item.append(index.items[number].item_id)
+                    keys.append(key)
                     values.append(found)
             columns = list(zip(*values, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["_id"].take(pa.array(place, pa.int64())),
-                    pa.array(item, _ARROW.get(item_kind.simpleString())),
+                    pa.array(keys, pa.int64()),
                     *[pa.array(columns[c], pa.float64()) for c in (1, 0, 2, 3)],
                 ],
-                names=["_id", "_item", "score", "cover", "question_cover", "answer_cover"],
+                names=["_id", "_key", "score", "cover", "question_cover", "answer_cover"],
             )
 
     return rows.mapInArrow(
         run,
-        f"_id {id_kind}, _item {item_kind.simpleString()}, score double, cover double, "
+        f"_id {id_kind}, _key long, score double, cover double, "
         "question_cover double, answer_cover double",
     )
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

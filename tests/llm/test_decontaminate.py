@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from hearthtab.llm import decontaminate as dc
 from hearthtab.llm.queries import op7_decontaminate
 from tests.llm import odd
@@ -97,3 +99,58 @@ def test_edits_at_every_place_of_items_with_short_parts():
         for copy in edited:
             text = f"{fresh(40)} {' '.join(copy)} {fresh(40)}"
             assert (0 in dc.matches_in(index, text)) == (item.cover(dc.words_of(text))[0] >= dc.LEAST_COVER)
+
+
+def test_scores_do_not_depend_on_the_parts(spark, monkeypatch):
+    """Term statistics are those of the whole benchmark, copies of an item count once."""
+    benchmark = spark.read.parquet(f"{MEDIUM}/benchmark.parquet")
+    benchmark = benchmark.unionByName(benchmark.where("item_id % 3 = 0").withColumn("item_id", F.col("item_id") + 10_000))
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["cover"]) for r in dc.find_leaks(docs, benchmark).collect())
+    whole = rows()
+    monkeypatch.setattr(dc, "INDEX_CHARS", 3000)
+    assert rows() == whole
+    monkeypatch.setattr(dc, "FIRST_CLASS", 20)
+    assert [r[:2] for r in rows()] == [r[:2] for r in whole]
+
+
+def test_short_items_are_found_in_texts_of_them_alone(spark):
+    benchmark = spark.createDataFrame([(1, "Paris."), (2, "It is Paris"), (3, "!")], "item_id long, text string")
+    docs = [(1, "We flew to Paris."), (2, "paris"), (3, "It is  PARIS!"), (4, "")]
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(2, 1), (3, 2)]
+
+
+def test_an_index_is_built_once_per_process(monkeypatch):
+    built = []
+    real = dc.Index.__init__
+    monkeypatch.setattr(dc.Index, "__init__", lambda self, *a: (built.append(1), real(self, *a))[1])
+    rng = random.Random(1)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    part = dc.Part([dc.Item.of(k, text(n)) for k, n in enumerate((20, 30, 300, 1000))])
+    for _ in range(5):
+        assert part.found(text(50)) == {}
+    assert len(built) == 3  # one per class of lengths
+    long = part.items[3]
+    assert part.found(f"{text(400)} {' '.join(long.words)}").keys() == {3}
+
+
+def test_recall_of_copies_with_four_fifths_of_an_item():
+    """Copies whose cover is just enough are retrieved by their weight, too."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.choice((2, 3, 6))))
+    common = [word() for _ in range(200)]
+    items = [dc.Item.of(k, " ".join(rng.choice(common) if rng.random() < 0.5 else word() for _ in range(rng.randrange(20, 60)))) for k in range(100)]
+    part, found, all_ = dc.Part(items), 0, 0
+    for item in items:
+        for _ in range(10):
+            copy = list(item.words)
+            n = len(copy)
+            size = rng.randrange(1, n // 5 + 1)
+            at = rng.randrange(n - size + 1)
+            copy[at : at + size] = [word() for _ in range(rng.randrange(2 * size))]
+            text = " ".join([rng.choice(common) for _ in range(80)] + copy + [rng.choice(common) for _ in range(80)])
+            if item.cover(dc.words_of(text))[0] >= dc.LEAST_COVER:
+                all_ += 1
+                found += item.item_id in part.found(text)
+    assert all_ > 500 and found >= 0.9 * all_
