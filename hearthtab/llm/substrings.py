@@ -10,7 +10,8 @@ on the input, and matches never cross rows.
 2. Of pieces equal as a whole all but the first repeat. A piece alone under its hash repeats nothing.
 3. The rest goes to shards by hash, in input order. Each shard is suffix-sorted
    (:mod:`hearthtab.llm.induced_sort`); suffixes sharing ``least`` bytes with their neighbour form a
-   class, of which all but the first position repeat.
+   class, of which all but the first position repeat. Texts without such pieces are settled before that
+   and not stored; the others wait, laid out by row, for what the shards find.
 
 Hot hashes (a line in a third of all rows) are found on one row in 64; their pieces are cut into single
 windows, each dealt by the hash of all its bytes, so that no shard gets them all. Copies of a piece are
@@ -37,7 +38,7 @@ from hearthtab.llm.common import pick, staged_by
 
 LEAST = 100
 GRAM = 32
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 # A hash is hot if so many pieces of one row in 64 have it; at most so many hashes are hot.
 SAMPLE_OF = 64
 HOT_IN_SAMPLE = 200
@@ -354,6 +355,36 @@ def _merged(place: np.ndarray, mark: np.ndarray, least: int) -> tuple[np.ndarray
     return place[first], begin[first], reach[last] - apart[last]
 
 
+_LEFT = "spans array<struct<start: long, end: long>>, n_removed long, kept_sha256 string, kept binary"
+
+
+def _settle(least: int, with_text: bool):
+    """Texts with marks: what is left where nothing has to be sorted; else the text and its marks."""
+    remove = _remove(least, with_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, _, key = _flat(batch["marks"])
+            waits = np.zeros(batch.num_rows, bool)
+            waits[place[np.asarray(key.is_valid())]] = True
+            later, now = batch.filter(pa.array(waits)), batch.filter(pa.array(~waits))
+            names = [*batch.schema.names, "spans", "n_removed", "kept_sha256", "kept"]
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            if later.num_rows:
+                empty = [pa.nulls(later.num_rows, t) for t in (span, pa.int64(), pa.string(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*later.columns, *empty], names)
+            if now.num_rows:
+                none = pa.nulls(now.num_rows, pa.list_(pa.int64()))
+                (left,) = remove(iter([now.append_column("more", none)]))
+                out = {c: now[c] for c in ("id", "id_hash", "row")} | {
+                    c: left[c] for c in ("spans", "n_removed", "kept_sha256", "kept")
+                }
+                columns = [out.get(n, pa.nulls(now.num_rows, batch.schema.field(n).type) if n in ("text", "marks") else None) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 def _remove(least: int, with_text: bool):
     """Texts with marks to what is left of them."""
 
@@ -417,9 +448,12 @@ def remove_repeats(
     text_column: str = "text",
     least: int = LEAST,
     with_text: bool = False,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Per row: identifier, n_bytes, n_removed, n_spans, spans (bytes, end exclusive), kept_sha256, and
     ``kept`` (binary, null unless ``with_text``).
+
+    ``shard_bytes``: text sorted by one task. Larger shards make fewer tasks and may exceed memory.
     """
     if not GRAM < least <= induced_sort.LONGEST:
         raise ValueError(f"strings must have {GRAM + 1} to {induced_sort.LONGEST} bytes")
@@ -440,29 +474,32 @@ def remove_repeats(
     )
     once = rows.groupBy(*whose).agg(F.first("id").alias("id"), F.first("text").alias("text"))
     # Laid out by row, so that the texts stay where they are when the sorted marks are joined.
-    marked = staged_by(once.join(marks, whose), "repeats_marked", whose)
+    joined = once.join(marks, whose).select("id", *whose, "text", "marks")
+    settled = _with_id(
+        id_type, f"id_hash long, row long, text string, marks array<struct<mark: long, key: long>>, {_LEFT}"
+    )
+    marked = staged_by(joined.mapInArrow(_settle(least, with_text), settled), "repeats_marked", whose)
+    waiting = marked.where("text is not null").select("id", *whose, "text", "marks")
 
     to_sort = F.filter("marks", lambda m: m["key"].isNotNull())
     of_marks = F.aggregate(
         to_sort, F.lit(0).cast("long"), lambda n, m: n + least + F.pmod(m["mark"], F.lit(1 << _WINDOWS))
     )
-    size = marked.agg(F.sum(of_marks)).first()[0] or 0
+    size = waiting.agg(F.sum(of_marks)).first()[0] or 0
     shards = (
-        marked.where(F.size(to_sort) > 0)
-        .mapInArrow(
+        waiting.mapInArrow(
             _cut_marked(least),
             _with_id(id_type, "id_hash long, row long, key long, start long, piece binary"),
         )
-        .repartition(max(1, -(-size // SHARD_BYTES)), "key")
+        .repartition(max(1, -(-size // shard_bytes)), "key")
         .sortWithinPartitions("id", "row", "start")
     )
     sorted_ = shards.mapInArrow(_sort_shard(least), "id_hash long, row long, mark long")
     more = sorted_.groupBy(*whose).agg(F.collect_list("mark").alias("more"))
-    removed = marked.join(more, whose, "left").mapInArrow(
-        _remove(least, with_text),
-        "id_hash long, row long, spans array<struct<start: long, end: long>>, n_removed long, "
-        "kept_sha256 string, kept binary",
+    removed = waiting.join(more, whose, "left").mapInArrow(
+        _remove(least, with_text), f"id_hash long, row long, {_LEFT}"
     )
+    removed = removed.unionByName(marked.where("text is null").select(removed.columns))
 
     whole = rows.select(
         "id", *whose,
