@@ -44,6 +44,8 @@ LEAST_ITEM_WORDS = SHINGLE_WORDS
 # Greatest number of words of the first class of lengths; each next class is four times as wide.
 FIRST_CLASS = 128
 BLOCK_ITEMS = 4
+# Greatest table of terms by blocks that is held whole; a larger one is summed up from lists.
+TABLE_CELLS = 4_000_000
 # Characters of items in one index; a larger benchmark is searched in several passes.
 INDEX_CHARS = 64_000_000
 # Words of a passage beyond the longest item of the index.
@@ -136,9 +138,17 @@ class Index:
             self.block_most.append(blocks)
         self.block_ids = [np.fromiter(b.keys(), np.int64, len(b)) for b in self.block_most]
         self.block_weights = [np.fromiter(b.values(), np.float64, len(b)) for b in self.block_most]
+        self.block_table = None
+        blocks = -(-len(items) // BLOCK_ITEMS)
+        if len(self.terms) * blocks <= TABLE_CELLS:
+            self.block_table = np.zeros((len(self.terms), blocks))
+            for term, (ids, weights) in enumerate(zip(self.block_ids, self.block_weights, strict=True)):
+                self.block_table[term, ids] = weights
 
     def reachable(self, terms: list[int], threshold: float = THRESHOLD) -> bool:
         """Whether the bound of any block reaches the threshold."""
+        if self.block_table is not None:
+            return bool(self.block_table[terms].sum(axis=0).max() >= threshold - 1e-6)
         blocks = np.concatenate([self.block_ids[t] for t in terms])
         weights = np.concatenate([self.block_weights[t] for t in terms])
         return bool(np.bincount(blocks, weights).max() >= threshold - 1e-6)
@@ -240,10 +250,10 @@ def matches_in(index: Index, text: str) -> dict[int, tuple[float, float, float,
     best: dict[int, tuple[float, float, float, float]] = {}
     for start in _candidates(index, terms, passage, step):
         part = terms[start : start + passage]
-        distinct = np.unique(part[part != none]).tolist()
+        distinct = np.unique(part[part != none])
         if index.most[distinct].sum() < THRESHOLD - 1e-4 or not index.reachable(distinct):
             continue
-        for item, score in index.search(distinct):
+        for item, score in index.search(distinct.tolist()):
             whole, question, answer = index.items[item].cover(words[start : start + passage])
             if whole >= LEAST_COVER and min(question, answer) >= LEAST_PART_COVER:
                 best[item] = max(best.get(item, (0.0,) * 4), (whole, score, question, answer))

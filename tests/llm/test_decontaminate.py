@@ -50,6 +50,9 @@ def test_wand_equals_exhaustive_scores():
             got = {i: round(s, 6) for i, s in index.search(terms, threshold)}
             assert got == expected
             assert index.reachable(terms, threshold) or not expected
+            table, index.block_table = index.block_table, None
+            assert index.reachable(terms, threshold) == (table[terms].sum(axis=0).max() >= threshold - 1e-6)
+            index.block_table = table
 
 
 def test_edits_and_casing_are_caught(spark):
