@@ -38,7 +38,7 @@ HARD_STEP = 64
 # Tokens laid out before their cuts are chosen; the last window goes on to the next round.
 BLOCK_TOKENS = 64 * WINDOW
 # Bounds of the cache of encoded words, per Python worker.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 48
 
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")

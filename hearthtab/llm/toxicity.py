@@ -64,7 +64,7 @@ DOCUMENT_COST = 1.0
 CLEAN_SHARE = 0.002
 LOWEST_BORDER, HIGHEST_BORDER = -0.12, 0.1
 # Bound of the cache of scored words, per Python worker.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 _SAMPLE_PARTS = 1_000_000
