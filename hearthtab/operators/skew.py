@@ -37,6 +37,10 @@ NONE_HEAVY = HeavyKeys(None, DEFAULT_LIMITS.rows_per_task)
 
 _PARTITION_BITS = 33
 
+# Range partitions are cut from samples that the driver gathers, about 300 rows per partition. Beyond this many,
+# each takes more rows than asked for, up to ``DEFAULT_LIMITS``; a task sorts those on disk.
+MOST_RANGES = 200
+
 
 def find_heavy(
     rows: DataFrame, keys: Sequence[str], limits: SkewLimits = DEFAULT_LIMITS
@@ -83,6 +87,12 @@ def salted_join(
     return left.drop("salts").join(right.drop("salts"), [*keys, "salt"], how).drop("salt")
 
 
+def _ranges(total: int, rows_per_task: int) -> int:
+    """Range partitions for ``total`` rows."""
+    most = max(MOST_RANGES, -(-total // DEFAULT_LIMITS.rows_per_task) + 1)
+    return min(-(-total // rows_per_task) + 1, most)
+
+
 def number_rows(
     rows: DataFrame,
     keys: Sequence[str],
@@ -95,10 +105,10 @@ def number_rows(
     """Exact ``row_number`` and row count per key, also where one key holds most rows.
 
     Rows of ordinary keys are numbered in a window per key. Rows of heavy keys are sorted
-    by key, order and ``row_id`` over range partitions of about ``rows_per_task`` rows each and
-    written; a row's place in its partition, the sizes of earlier partitions and the place of its
-    key's first row give its number. ``row_id`` makes places unique, so copies of one row are
-    cut apart as well.
+    by key, order and ``row_id`` over range partitions of about ``rows_per_task`` rows each, or more
+    from ``MOST_RANGES`` partitions on, and written; a row's place in its partition, the sizes of
+    earlier partitions and the place of its key's first row give its number. ``row_id`` makes places
+    unique, so copies of one row are cut apart as well.
     """
     keys = list(keys)
     of_key = Window.partitionBy(*keys)
@@ -117,7 +127,7 @@ def number_rows(
 
     many = rows.join(heavy.table.select(*keys), keys, "left_semi")
     total = heavy.table.agg(F.sum("rows")).first()[0]
-    tasks = -(-total // heavy.rows_per_task) + 1
+    tasks = _ranges(total, heavy.rows_per_task)
     path = new_location(rows.sparkSession, "heavy-rows")
     by = [*keys, *order, *row_id]
     (

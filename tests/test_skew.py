@@ -104,6 +104,24 @@ def test_tasks_stay_small_at_any_size(spark, monkeypatch, tmp_path, copies):
     assert sizes <= 4 * 100
 
 
+def test_few_ranges_of_many_heavy_rows(spark, monkeypatch, tmp_path):
+    """What the driver gathers and the files follow the range partitions: a low limit makes no more of them."""
+    written = []
+    monkeypatch.setattr(skew, "new_location", lambda spark, name: written.append(f"{tmp_path}/{name}") or written[-1])
+    rows = spark.range(1500).selectExpr("id % 7 AS o", "id", "IF(id % 3 = 0, -1L, id) AS k")
+    heavy = find_heavy(rows, ["k"], SkewLimits(rows_per_task=1))
+    numbered = number_rows(rows, ["k"], ["o"], ["id"], "n", "size", heavy)
+    assert numbered.where("k = -1").agg(F.max("n"), F.countDistinct("n")).first() == (500, 500)
+    assert len(list((tmp_path / "heavy-rows").glob("part-*"))) <= skew.MOST_RANGES
+
+
+def test_ranges_grow_with_the_rows():
+    assert skew._ranges(4000, 100) == 41
+    assert skew._ranges(72_000_000, 1000) == skew.MOST_RANGES
+    assert skew._ranges(10**9, 1000) == 1001
+    assert skew._ranges(10**9, 10**8) == 11
+
+
 def test_heavy_keys(spark):
     rows = spark.range(1000).selectExpr("id % 100 AS k")
     assert find_heavy(rows, ["k"], SkewLimits(10)).table is None
