@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,22 +59,27 @@ def _household_columns(
     ]
 
 
-def household_rollup(person: DataFrame) -> DataFrame:
+def household_rollup(person: DataFrame, laid_by: Sequence[str] = ()) -> DataFrame:
     """One row per household from recoded persons.
 
-    Household income is summed if the persons have harmonized income.
+    Household income is summed if the persons have harmonized income. ``laid_by`` names columns that follow
+    from the household key and by which the persons lie in buckets: the rollup keeps them and needs no shuffle.
     """
-    return person.groupBy(*HOUSEHOLD_KEY).agg(*_household_columns(person))
+    return person.groupBy(*HOUSEHOLD_KEY, *laid_by).agg(*_household_columns(person))
 
 
-def join_household(person: DataFrame, household: DataFrame, heavy: HeavyKeys) -> DataFrame:
+def join_household(
+    person: DataFrame, household: DataFrame, heavy: HeavyKeys, laid_by: Sequence[str] = ()
+) -> DataFrame:
     """Persons with their household's columns; shared names get ``_hh``.
 
-    ``heavy`` names households too large for one task; look them up once on a stored table.
+    ``heavy`` names households too large for one task; look them up once on a stored table. ``laid_by`` names
+    columns of both tables that follow from the household key, such as what they lie in buckets by.
     """
-    shared = [c for c in household.columns if c in person.columns and c not in HOUSEHOLD_KEY]
+    keys = [*HOUSEHOLD_KEY, *laid_by]
+    shared = [c for c in household.columns if c in person.columns and c not in keys]
     renamed = household.withColumnsRenamed({name: f"{name}_hh" for name in shared})
-    return salted_join(person, renamed, HOUSEHOLD_KEY, ["PERNUM"], heavy)
+    return salted_join(person, renamed, keys, ["PERNUM"], heavy)
 
 
 def reference_persons(person: DataFrame) -> DataFrame:

@@ -29,6 +29,17 @@ KEEP_VERSIONS = 2
 _MANIFESTS = "_manifests"
 
 
+@dataclass(frozen=True)
+class Buckets:
+    """Rows of a table dealt over ``number`` buckets by ``column``, which is in the files but not in the table.
+
+    The rows are to lie by ``column`` already, or each task writes a file for every bucket.
+    """
+
+    column: str
+    number: int
+
+
 class ConcurrentWriteError(RuntimeError):
     """Another job changed the tables in the meantime."""
 
@@ -182,11 +193,14 @@ class Change:
         self._number = (numbers[-1] if numbers else 0) + 1
         self._version = f"{self._number:012d}-{uuid.uuid4().hex[:12]}"
         self._written: set[str] = set()
+        # Table to its name in the session's catalog, which is where Spark looks buckets up.
+        self._catalog: dict[str, str] = {}
 
     def __enter__(self) -> Change:
         return self
 
     def __exit__(self, kind, error, trace) -> None:
+        self._forget_buckets()
         if kind is None:
             self.commit()
         else:
@@ -201,27 +215,35 @@ class Change:
         check: Callable[[DataFrame], None] | None = None,
         replace: Sequence[object] | None = None,
         digest: Callable[[DataFrame], dict[object, str]] | None = None,
+        buckets: Buckets | None = None,
+        gathered: bool = False,
     ) -> DataFrame:
         """Write rows aside and return them as read back.
 
         Without ``replace`` they become the whole table. Otherwise ``data`` has rows of these partition
         values only; they take the place of the partitions of these values and all others stay as they
-        are, without being read or written. ``digest`` gives a digest per partition value.
+        are, without being read or written. ``digest`` gives a digest per partition value. With ``buckets``
+        the rows can be read by bucket until the change ends (``bucketed``). Rows that are ``gathered`` are
+        written where they are.
         """
         spark = self._spark
         if name in self._written:
             raise ValueError(f"table {name!r} has been written in this change")
-        schema = json.loads(data.schema.json())
+        columns = [c for c in data.columns if buckets is None or c != buckets.column]
+        schema = json.loads(data.select(*columns).schema.json())
         before = self._tables.get(name)
         if replace is not None and before is not None and not _same_columns(before.schema, schema):
             raise ValueError(f"the rows of table {name!r} have other columns than the table")
-        # Rebalancing gathers each partition into few files; adaptive execution splits large ones.
-        gathered = data.hint("rebalance", partition_by)
-        if cluster_by:
-            gathered = gathered.sortWithinPartitions(partition_by, *cluster_by)
         place = _version_folder(self._folder, name, self._version)
         self._written.add(name)
-        gathered.write.partitionBy(partition_by).parquet(place)
+        if buckets is None:
+            # Rebalancing gathers each partition into few files; adaptive execution splits large ones.
+            laid = data if gathered else data.hint("rebalance", partition_by)
+            if cluster_by:
+                laid = laid.sortWithinPartitions(partition_by, *cluster_by)
+            laid.write.partitionBy(partition_by).parquet(place)
+        else:
+            self._write_buckets(name, data, partition_by, cluster_by, buckets, place)
         found = [n for n in _names(spark, place) if n.startswith(f"{partition_by}=")]
         directories = dict.fromkeys(found, self._version)
         rows = _read(spark, self._folder, name, TableVersion(schema, partition_by, directories))
@@ -241,6 +263,30 @@ class Change:
         self._tables[name] = TableVersion(schema, partition_by, directories, digests)
         return rows
 
+    def _write_buckets(
+        self,
+        name: str,
+        data: DataFrame,
+        partition_by: str,
+        cluster_by: Sequence[str],
+        buckets: Buckets,
+        place: str,
+    ) -> None:
+        self._catalog[name] = f"hearthtab_{uuid.uuid4().hex}"
+        writer = data.write.partitionBy(partition_by).bucketBy(buckets.number, buckets.column)
+        if cluster_by:
+            writer = writer.sortBy(*cluster_by)
+        writer.option("path", place).format("parquet").saveAsTable(self._catalog[name])
+
+    def bucketed(self, name: str) -> DataFrame:
+        """What this change wrote into a table with buckets, the bucket column included, read by bucket."""
+        return self._spark.table(self._catalog[name])
+
+    def _forget_buckets(self) -> None:
+        """Take the tables from the catalog; their files are not the catalog's and stay."""
+        while self._catalog:
+            self._spark.sql(f"DROP TABLE IF EXISTS {self._catalog.popitem()[1]}")
+
     def commit(self) -> Manifest:
         """Make the change visible, then remove what no kept version needs."""
         numbers = _numbers(self._spark, self._folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from hearthtab.operators.skew import SkewLimits
 from hearthtab.operators.validate import ValidationError
 from hearthtab.plans import build, fixture, queries
 from tests.compare import spark_rows
@@ -67,6 +68,45 @@ def test_merge_shuffles_the_persons_once(spark, tables):
     assert plan.count("FileScan parquet") == 2
 
 
+def test_build_moves_the_persons_once(spark, small, tables, tmp_path, monkeypatch):
+    """Rollup and merge read the stages by bucket, without a shuffle; the tables are the same."""
+    plans = {}
+
+    def noted(name):
+        real = getattr(build, name)
+
+        def call(*parts):
+            made = real(*parts)
+            with build._joins_by_bucket(spark):
+                plans[name] = made._jdf.queryExecution().executedPlan().toString()
+            return made
+
+        monkeypatch.setattr(build, name, call)
+
+    noted("household_rollup")
+    noted("join_household")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = build.build_tables(fixture.person(spark, small), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {name: plan.count("Exchange") for name, plan in plans.items()} == {
+        "household_rollup": 0, "join_household": 0,
+    }
+    assert spark_rows(built.person_with_household) == spark_rows(tables.person_with_household)
+    assert build.SLICE not in built.person.columns + built.household.columns
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("hearthtab_")]
+    # A year lies in few files.
+    assert len(list(tmp_path.glob("person/*/YEAR=2000/*.parquet"))) == 1
+
+
+def test_heavy_households_are_merged_over_tasks(spark, small, tables, tmp_path):
+    """The smallest limits make households heavy, which are not read by bucket."""
+    built = build.build_tables(fixture.person(spark, small), str(tmp_path), SkewLimits(rows_per_task=6))
+    for name in build.STAGE_NAMES:
+        assert spark_rows(getattr(built, name)) == spark_rows(getattr(tables, name))
+
+
 def test_published_csvs(spark, small, tables, tmp_path):
     results = build.published_tables(tables)
     assert len(results) == 9
