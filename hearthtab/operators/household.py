@@ -74,12 +74,22 @@ def join_household(
     """Persons with their household's columns; shared names get ``_hh``.
 
     ``heavy`` names households too large for one task; look them up once on a stored table. ``laid_by`` names
-    columns of both tables that follow from the household key, such as what they lie in buckets by.
+    columns of both tables that follow from the household key, such as what they lie in buckets by. Such tables
+    are joined by ``laid_order``, so persons sorted by it stay sorted and are not sorted again.
     """
-    keys = [*HOUSEHOLD_KEY, *laid_by]
+    keys = laid_order(laid_by) if laid_by else [*HOUSEHOLD_KEY]
     shared = [c for c in household.columns if c in person.columns and c not in keys]
     renamed = household.withColumnsRenamed({name: f"{name}_hh" for name in shared})
-    return salted_join(person, renamed, keys, ["PERNUM"], heavy)
+    merged = salted_join(person, renamed, keys, ["PERNUM"], heavy)
+    if not laid_by:
+        return merged
+    others = [f"`{c}`" for c in merged.columns if c not in keys]
+    return merged.select(*HOUSEHOLD_KEY, *laid_by, *others)
+
+
+def laid_order(laid_by: Sequence[str]) -> list[str]:
+    """The household key and ``laid_by`` in the order of the stages' files, which lie by year."""
+    return [*reversed(HOUSEHOLD_KEY), *laid_by]
 
 
 def reference_persons(person: DataFrame) -> DataFrame:

@@ -41,18 +41,32 @@ _PARTITION_BITS = 33
 # each takes more rows than asked for, up to ``DEFAULT_LIMITS``; a task sorts those on disk.
 MOST_RANGES = 200
 
+# Rows are counted in this many groups of keys first: these are combined in a task before they are shuffled.
+KEY_GROUPS = 65_536
+
 
 def find_heavy(
     rows: DataFrame, keys: Sequence[str], limits: SkewLimits = DEFAULT_LIMITS
 ) -> HeavyKeys:
     """Count rows per key, reading the key columns only, and keep the heavy keys as a table.
 
-    Run it once on a stored table and pass the result on. Rows are combined per task before they
-    are shuffled; a table smaller than the limit is not counted by key.
+    Run it once on a stored table and pass the result on. Only keys of a group with more rows than
+    the limit are counted one by one; a table smaller than the limit is not counted by key.
     """
     limit = limits.rows_per_task
-    if rows.count() <= limit:
+    total = rows.count()
+    if total <= limit:
         return HeavyKeys(None, limit)
+    # With half the limit in a group on average, too many groups would exceed it.
+    if total <= limit * KEY_GROUPS // 2:
+        rows = rows.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).alias("_group"))
+        groups = rows.groupBy("_group").agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
+        large = new_location(rows.sparkSession, "key-groups")
+        groups.select("_group").write.parquet(large)
+        kept = rows.sparkSession.read.schema("_group bigint").parquet(large)
+        if kept.isEmpty():
+            return HeavyKeys(None, limit)
+        rows = rows.join(F.broadcast(kept), "_group", "left_semi")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
     path = new_location(rows.sparkSession, "heavy-keys")
     sizes.write.parquet(path)

@@ -17,6 +17,7 @@ from hearthtab.operators.household import (
     PERSON_KEY,
     household_rollup,
     join_household,
+    laid_order,
 )
 from hearthtab.operators.skew import DEFAULT_LIMITS, SkewLimits, find_heavy
 from hearthtab.operators.validate import (
@@ -170,7 +171,8 @@ def _stage(
     # A bucket is read by one task, so heavy households are read from the files as they come.
     heavy = find_heavy(person.select(*HOUSEHOLD_KEY), HOUSEHOLD_KEY, limits)
     laid_by = (SLICE,) if heavy.table is None else ()
-    rolled = household_rollup(change.bucketed("person") if laid_by else person, laid_by)
+    laid = change.bucketed("person") if laid_by else person
+    rolled = household_rollup(laid, laid_by)
     total = Observation()
     household = change.write(
         "household",
@@ -186,13 +188,17 @@ def _stage(
     if in_households != persons:
         raise ValidationError(f"household rollup: {in_households} of {persons} persons in households")
 
-    tables = [change.bucketed("person"), change.bucketed("household")] if laid_by else [person, household]
-    merged = join_household(*tables, heavy, laid_by).drop(SLICE)
+    if laid_by:
+        # Sorted once, for the join and for the files; counted as well, which keeps Spark from dropping the sort.
+        order = [*laid_order(laid_by), "PERNUM"]
+        laid = laid.sortWithinPartitions(*order).observe(Observation(), F.count(F.lit(1)).alias("rows"))
+        household = change.bucketed("household")
+    merged = join_household(laid, household, heavy, laid_by).drop(SLICE)
     with _joins_by_bucket(extract.sparkSession):
         change.write(
             "person_with_household",
             merged,
-            cluster_by=("SERIAL", "PERNUM"),
+            cluster_by=() if laid_by else ("SERIAL", "PERNUM"),
             check=expect("person with household", lambda: persons),
             replace=years,
             digest=digest,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 import pytest
 
 from hearthtab.operators.skew import SkewLimits
 from hearthtab.operators.validate import ValidationError
 from hearthtab.plans import build, fixture, queries
+from hearthtab.sources import versions
 from tests.compare import spark_rows
 
 
@@ -100,6 +102,34 @@ def test_build_moves_the_persons_once(spark, small, tables, tmp_path, monkeypatc
     assert len(list(tmp_path.glob("person/*/YEAR=2000/*.parquet"))) == 1
 
 
+def test_merge_sorts_the_persons_once(spark, small, tables, tmp_path, monkeypatch):
+    """The join sorts persons in the order of the files, so that nothing is sorted after it."""
+    plans = []
+    real = versions.Change.write
+
+    def noted(change, name, data, **options):
+        if name == "person_with_household":
+            plans.append((data._jdf.queryExecution().executedPlan().toString(), options["cluster_by"]))
+        return real(change, name, data, **options)
+
+    monkeypatch.setattr(versions.Change, "write", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = build.build_tables(fixture.person(spark, small), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ((plan, cluster_by),) = plans
+    assert plan.count("Sort [") == 2  # persons and households
+    assert not cluster_by
+    assert built.person_with_household.columns[:3] == ["SERIAL", "YEAR", "PERNUM"]
+    files = list(tmp_path.glob("person_with_household/*/*/*.parquet"))
+    assert files
+    for file in files:
+        rows = pq.ParquetFile(file).read(["SERIAL", "PERNUM"]).to_pylist()
+        places = [(row["SERIAL"], row["PERNUM"]) for row in rows]
+        assert places == sorted(places)
+
+
 def test_heavy_households_are_merged_over_tasks(spark, small, tables, tmp_path):
     """The smallest limits make households heavy, which are not read by bucket."""
     built = build.build_tables(fixture.person(spark, small), str(tmp_path), SkewLimits(rows_per_task=6))

@@ -51,6 +51,23 @@ class Folder:
             self.con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
 
 
+def test_heavy_keys_are_looked_for_in_groups(spark, monkeypatch):
+    """Without a large group no key is counted; keys that share a group with a heavy one are told from it."""
+    taken = []
+    real = skew.new_location
+    monkeypatch.setattr(skew, "new_location", lambda spark, name: taken.append(name) or real(spark, name))
+    key = "CASE WHEN id < 300 THEN 7 WHEN id < 500 THEN NULL ELSE id DIV 2 END AS k"
+    rows = spark.range(2000).selectExpr(key, "id % 2 AS j", "'x' AS _group")
+    assert find_heavy(rows, ["k", "j"], SkewLimits(rows_per_task=150)).table is None
+    assert taken == ["key-groups"]
+    expected = [(None, 0, 100), (None, 1, 100), (7, 0, 150), (7, 1, 150)]
+    # 1504 keys in many groups, in 80, and with too many rows for eight groups.
+    for groups in (skew.KEY_GROUPS, 80, 8):
+        monkeypatch.setattr(skew, "KEY_GROUPS", groups)
+        found = find_heavy(rows, ["k", "j"], SkewLimits(rows_per_task=99)).table
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_fixture_is_skewed(spark, skewed):
     heavy = fixture.heavy_households(spark, skewed, LIMITS)
     lines = spark.read.parquet(f"{skewed}/lineitem.parquet")
