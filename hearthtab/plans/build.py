@@ -150,18 +150,12 @@ def _stage(
     read = Observation()
     observed = extract.observe(read, F.count(F.lit(1)).alias("rows"))
 
-    def check_person(written: DataFrame) -> None:
-        expect("person recode", lambda: read.get["rows"])(written)
-        validate_unique_key(written, PERSON_KEY, "person recode")
-        # Reached only if no key is repeated.
-        checks.append(("unique person key", written.count(), written.count()))
-
     buckets = _buckets(extract.sparkSession)
     person = change.write(
         "person",
         add_harmonized_income(recode_person(_by_slice(observed, buckets))),
         cluster_by=("SERIAL", "PERNUM"),
-        check=check_person,
+        check=expect("person recode", lambda: read.get["rows"]),
         replace=years,
         digest=digest,
         buckets=buckets,
@@ -172,6 +166,9 @@ def _stage(
     heavy = find_heavy(person.select(*HOUSEHOLD_KEY), HOUSEHOLD_KEY, limits)
     laid_by = (SLICE,) if heavy.table is None else ()
     laid = change.bucketed("person") if laid_by else person
+    validate_unique_key(laid, (*PERSON_KEY, *laid_by), "person recode")
+    # Reached only if no key is repeated.
+    checks.append(("unique person key", persons, persons))
     rolled = household_rollup(laid, laid_by)
     total = Observation()
     household = change.write(

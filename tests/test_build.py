@@ -130,6 +130,19 @@ def test_merge_sorts_the_persons_once(spark, small, tables, tmp_path, monkeypatc
         assert places == sorted(places)
 
 
+def test_person_keys_are_checked_by_bucket(spark, small, tmp_path, monkeypatch):
+    plans = []
+    real = build.validate_unique_key
+
+    def noted(rows, keys, step):
+        plans.append(rows.groupBy(*keys).count()._jdf.queryExecution().executedPlan().toString())
+        real(rows, keys, step)
+
+    monkeypatch.setattr(build, "validate_unique_key", noted)
+    build.build_tables(fixture.person(spark, small), str(tmp_path))
+    assert [plan.count("Exchange") for plan in plans] == [0]
+
+
 def test_heavy_households_are_merged_over_tasks(spark, small, tables, tmp_path):
     """The smallest limits make households heavy, which are not read by bucket."""
     built = build.build_tables(fixture.person(spark, small), str(tmp_path), SkewLimits(rows_per_task=6))
